@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.references import BLANKS
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, release
 
 
 def _link(name: str) -> Column:
@@ -45,14 +45,13 @@ def _peel(nodes: DataFrame) -> DataFrame:
     jump: ancestor 2^k steps up, null beyond the end. end, depth: where the way up ended so far.
     """
     state = nodes.select("k", F.when(F.col("known"), F.col("p")).alias("jump"), F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("depth"), F.col("k").alias("end"))
-    state = cut_lineage(state)
     residual, steps = -1, 1
     while True:
         sent = state.where("jump is not null").groupBy(F.col("jump").alias("k")).agg(F.sum("size").alias("below"))
         up = state.select(F.col("k").alias("jump"), F.col("jump").alias("jump2"), F.col("end").alias("end2"), F.col("depth").alias("depth2"))
         grown = state.join(up, "jump", "left").join(sent, "k", "left")
         on = F.col("jump").isNotNull()
-        state = cut_lineage(
+        after = cut_lineage(
             grown.select(
                 "k",
                 F.col("jump2").alias("jump"),
@@ -63,6 +62,8 @@ def _peel(nodes: DataFrame) -> DataFrame:
                 F.col("below").isNotNull().alias("unpeeled"),
             )
         )
+        release(state)
+        state = after
         left = state.where("unpeeled").count()
         if left == residual or left == 0:
             return state.withColumnRenamed("unpeeled", "residual").withColumn("open", F.col("jump").isNotNull())
@@ -75,9 +76,10 @@ def _cycles(members: DataFrame) -> DataFrame:
     while True:
         ahead = state.select(F.col("k").alias("jump"), F.col("jump").alias("jump2"), F.col("root").alias("root2"))
         after = cut_lineage(state.join(ahead, "jump").select("k", F.col("jump2").alias("jump"), F.least("root", "root2").alias("root"), (F.col("root2") < F.col("root")).alias("moved")))
+        release(state)
         if _is_empty(after.where("moved")):
             return after.select("k", "root")
-        state = after.drop("moved")
+        state = after
 
 
 def _climb(nodes: DataFrame, ends: DataFrame) -> DataFrame:
@@ -87,9 +89,10 @@ def _climb(nodes: DataFrame, ends: DataFrame) -> DataFrame:
     while True:
         up = state.select(F.col("k").alias("end"), F.col("end").alias("end2"), F.col("depth").alias("depth2"))
         after = cut_lineage(state.join(up, "end").select("k", F.col("end2").alias("end"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("depth2") > 0).alias("moved")))
+        release(state)
         if _is_empty(after.where("moved")):
             return after.drop("moved")
-        state = after.drop("moved")
+        state = after
 
 
 def hierarchy(rows: DataFrame, node: str, parent: str, valid_by: tuple[str, ...]) -> DataFrame:
@@ -132,10 +135,11 @@ def ancestor_pairs(rows: DataFrame, node: str, parent: str, valid_by: tuple[str,
     while not _is_empty(ups):
         # ups: exactly ``steps`` up; pairs: all of 1..steps up. A node is linked to an ancestor at most once.
         far = ups.select("k", F.col("a").alias("via")).join(pairs.withColumnRenamed("k", "via"), "via").select("k", "a", (F.col("d") + steps).alias("d"))
-        all_pairs = pairs.unionByName(far).groupBy("k", "a").agg(F.min("d").alias("d"))
-        pairs = cut_lineage(all_pairs)
-        ups = cut_lineage(ups.select("k", F.col("a").alias("via")).join(ups.select(F.col("k").alias("via"), "a"), "via").select("k", "a").withColumn("d", F.lit(2 * steps).cast("bigint")))
-        ups = ups.join(pairs.where(F.col("d") == 2 * steps).select("k", "a"), ["k", "a"])
+        grown = cut_lineage(pairs.unionByName(far).groupBy("k", "a").agg(F.min("d").alias("d")))
+        twice = ups.select("k", F.col("a").alias("via")).join(ups.select(F.col("k").alias("via"), "a"), "via").select("k", "a")
+        after = cut_lineage(twice.join(grown.where(F.col("d") == 2 * steps), ["k", "a"]))
+        release(pairs, ups)
+        pairs, ups = grown, after
         steps *= 2
     names = one.select("k", "id")
     out = pairs.join(names, "k").join(names.select(F.col("k").alias("a"), F.col("id").alias("ancestor_id")), "a")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,21 +24,56 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
     return builder.config(map=settings).getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+_written: dict[str, SparkSession] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table written to the shared folder, so that lost executors cost no recomputation.
+
+    A written table, not checkpoint(): what follows is planned by the table's real size. A checkpoint
+    keeps the size estimated for its plan, and that estimate multiplies with each join of a loop.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    _written[path] = spark
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_tessera_path", None)
+        if path and (spark := _written.pop(path, None)) is not None:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _release_all() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone
+            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
