@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -38,7 +39,10 @@ FUNCTION_WORDS = frozenset(
     """.split()
 )
 _LINK = r"(?:https?://|www\.)[^\s<>\"')\]]+"
-_TERM = re.compile(rf"(?P<link>{_LINK})|#(?P<tag>\w+)|(?P<word>[^\W_]+(?:['’][^\W_]+)?)|(?P<end>[.!?]+(?=[\s\"')\]]|$))|(?P<cut>[,;:/|•·»›>\t\"()\[\]{{}}&*]+|\s[-–—]\s)")
+#: Links, hashtags, words, sentence endings, and what separates the items of a list.
+_TERMS = re.compile(rf"{_LINK}|#\w+|[^\W_]+(?:['’][^\W_]+)?|[.!?]+(?=[\s\"')\]]|$)|[,;:/|•·»›>\t\"()\[\]{{}}&*]+|\s[-–—]\s").findall
+#: The same for lines without links and hashtags.
+_PLAIN_TERMS = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?]+(?=[\s\"')\]]|$)|[,;:/|•·»›>\t\"()\[\]{}&*]+|\s[-–—]\s").findall
 _PLAIN_LINK = re.compile(_LINK)
 _SENTENCE_END = 1_000_000  # items on either side of one are no neighbours
 _MARKUP = re.compile(r"<(?!https?:)/?[A-Za-z!][^<>]*>")
@@ -59,6 +63,7 @@ _MACHINE = re.compile(
 )
 _KEY = re.compile(r"\"(?:[^\"\\]|\\.)*\"\s*:")
 _TOKEN = re.compile(r"[^\W_]+")
+_NUMBERED = re.compile(r"[^\W_]*\d[^\W_]*")
 
 #: Terms to either side within which recurrences count, and how many there must be.
 GAP_WINDOW, RECURRENCES = 24, 3
@@ -78,15 +83,23 @@ def machine_line(line: str) -> bool:
     """Whether a line is output of a program rather than text."""
     if _MACHINE.match(line):
         return True
-    words = _TOKEN.findall(_PLAIN_LINK.sub(" ", line))
-    keys = len(_KEY.findall(line))
-    if keys and len(words) <= 9 * keys:
+    bare = _PLAIN_LINK.sub(" ", line) if "://" in line or "www." in line else line
+    words = len(_TOKEN.findall(bare))
+    if '"' in line and (keys := len(_KEY.findall(line))) and words <= 9 * keys:
         return True
-    cells = line.strip().split(",")
-    if len(cells) > 2 and len(line) <= 30 * len(cells) and (" " not in line.strip() or sum(c.strip()[:1].isdigit() for c in cells) * 2 >= len(cells)) and any(c.isdigit() for c in line):
-        return True
-    numbers = sum(any(ch.isdigit() for ch in w) for w in words)
-    return numbers * 2 > len(words) > 3 or 0 < numbers == len(words)
+    numbers = len(_NUMBERED.findall(bare))
+    if numbers and line.count(",") > 1:
+        cells = line.strip().split(",")
+        if len(line) <= 30 * len(cells) and (" " not in line.strip() or sum(c.strip()[:1].isdigit() for c in cells) * 2 >= len(cells)):
+            return True
+    return numbers * 2 > words > 3 or 0 < numbers == words
+
+
+@lru_cache(maxsize=100_000)
+def _word(shown: str) -> tuple[str, bool]:
+    """The term of a word and whether it is a function word."""
+    word = shown.lower()
+    return word, word in FUNCTION_WORDS or "'" in word or "\u2019" in word or not (word[0] < "\u0250" or unicodedata.name(word[0], "").startswith("LATIN"))
 
 
 def terms_of(text: str) -> tuple[list[str], list[bool], list[int]]:
@@ -95,7 +108,7 @@ def terms_of(text: str) -> tuple[list[str], list[bool], list[int]]:
     Terms of machine output are empty. Words in scripts whose function words are not known count as
     function words, so they never make lists or repetition.
     """
-    text = unicodedata.normalize("NFKC", text)
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
     text = _MARKUP.sub(" | ", _HREF.sub(r">\1<", text)) if "<" in text else text
     terms: list[str] = []
     plain: list[bool] = []
@@ -111,25 +124,30 @@ def terms_of(text: str) -> tuple[list[str], list[bool], list[int]]:
             plain += [True] * n
             items += [item] * n
             continue
-        for m in _TERM.finditer(line):
-            kind = m.lastgroup
-            if kind == "cut":
+        for shown in (_TERMS if "://" in line or "www." in line or "#" in line else _PLAIN_TERMS)(line):
+            first = shown[0]
+            if first.isalnum():
+                if "://" in shown or shown.startswith("www."):
+                    item += 1
+                    n = max(1, len(_TOKEN.findall(shown)) - shown.startswith("http"))
+                    terms += ["://"] * n
+                    plain += [False] * n
+                    items += [item] * n
+                    item += 1
+                else:
+                    word, function = _word(shown)
+                    terms.append(word)
+                    plain.append(function)
+                    items.append(item)
+            elif first == "#" and len(shown) > 1:
+                terms.append(shown.lower())
+                plain.append(False)
+                items.append(item)
                 item += 1
-            elif kind == "end":
+            elif first in ".!?":
                 item += _SENTENCE_END
-            elif kind == "link":
-                item += 1
-                n = max(1, len(_TOKEN.findall(m["link"])) - m["link"].startswith("http"))
-                terms += ["://"] * n
-                plain += [False] * n
-                items += [item] * n
-                item += 1
             else:
-                word = m[kind].lower()
-                terms.append("#" + word if kind == "tag" else word)
-                plain.append(word in FUNCTION_WORDS or "'" in word or "\u2019" in word or not (word[0] < "\u0250" or unicodedata.name(word[0], "").startswith("LATIN")))
-                items.append(item)
-                item += kind == "tag"
+                item += 1
     return terms, plain, items
 
 
@@ -149,18 +167,38 @@ def recurring(terms: list[str], plain: list[bool]) -> list[bool]:
 
 
 def periodic(terms: list[str], plain: list[bool]) -> list[bool]:
-    """Terms in lag windows where the autocorrelation of the content terms peaks at some lag."""
+    """Terms in lag windows where the autocorrelation of the content terms peaks at some lag.
+
+    Equal terms at a lag are counted from the gaps between recurrences, so a text without them costs one pass.
+    """
     n = len(terms)
     marked = [False] * n
-    for begin in range(0, n, LAG_WINDOW // 2):
-        window = terms[begin : begin + LAG_WINDOW]
-        content = [None if p else t for t, p in zip(window, plain[begin : begin + LAG_WINDOW])]
-        if len(window) < LEAST or sum(c is not None for c in content) * 2 < len(window):
+    half = LAG_WINDOW // 2
+    equal: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))  # by window and lag
+    last: dict[str, list[int]] = {}
+    for j, t in enumerate(terms):
+        if plain[j]:
+            continue
+        at = last.setdefault(t, [])
+        for i in reversed(at):
+            if j - i > LAGS:
+                break
+            for window in (i // half - 1, i // half):
+                if window >= 0 and j < window * half + LAG_WINDOW:
+                    equal[window][j - i] += 1
+        at.append(j)
+    if not equal:
+        return marked
+    content = _sums([not p for p in plain])
+    words = _sums([t != "" for t in terms])
+    for window, lags in equal.items():
+        begin, end = window * half, min(n, window * half + LAG_WINDOW)
+        size = end - begin
+        if size < LEAST or (content[end] - content[begin]) * 2 < size or (words[end] - words[begin]) * 2 < size:
             continue
-        for lag in range(1, min(LAGS, len(window) // 2) + 1):
-            pairs = [a == b for a, b in zip(content, content[lag:]) if a is not None]
-            if sum(pairs) >= max(PERIODIC * len(pairs), LEAST // 4):
-                marked[begin : begin + len(window)] = [t != "" for t in window]
+        for lag, same in lags.items():
+            if lag <= size // 2 and same >= max(PERIODIC * (content[end - lag] - content[begin]), LEAST // 4):
+                marked[begin:end] = [t != "" for t in terms[begin:end]]
                 break
     return marked
 
@@ -223,11 +261,13 @@ def spam_share(text: str | None) -> float:
     if n < LEAST:
         return 0.0
     again = [a or b for a, b in zip(recurring(terms, plain), periodic(terms, plain))]
+    marked = listed(terms, plain, items)
+    if not any(again) and not any(marked):
+        return 0.0
     content = _sums([not p for p in plain])
     words = _sums([t != "" for t in terms])
     repeats = _sums([a and not p for a, p in zip(again, plain)])
     different = vocabulary(terms, plain)
-    marked = listed(terms, plain, items)
     for i in range(n):
         if again[i] and not marked[i]:
             lo, hi = max(0, i - GAP_WINDOW), min(n, i + GAP_WINDOW + 1)
