@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.queries import problems
+from tessera.queries import language, problems, profiles, store, surface, workload
 
-MODULES = (problems,)
+MODULES = (problems, language, store, profiles, workload, surface)
 
 
 def queries() -> dict[str, Callable]:
