@@ -18,13 +18,18 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from tessera.functions.text import path_step
+from tessera.operators.hierarchy import hierarchy
 from tessera.operators.paths import normal_steps, show
 from tessera.operators.references import BLANKS
-from tessera.operators.series import with_previous
+from tessera.operators.series import as_of, with_previous
+from tessera.session import cut_lineage
 
 CHANGES = "artifact_id string, root_key string, change string, field_path string, other_path string"
 _SKETCH = 8  # smallest value hashes kept of a column
@@ -210,3 +215,73 @@ def schema_changes(artifacts: DataFrame, roots: DataFrame, fields: DataFrame) ->
     old = columns.select(F.col("artifact_id").alias("previous_id"), "root_key", F.col("columns").alias("old"))
     both = pairs.join(new, ["artifact_id", "root_key"], "left").join(old, ["previous_id", "root_key"], "left")
     return both.select("artifact_id", "root_key", "old", "new").mapInArrow(_compare_batches, CHANGES)
+
+
+SERIES = ["upstream_instance_id", "source_tool", "root_key"]
+
+
+def column_names(artifacts: DataFrame, roots: DataFrame, fields: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """(artifact_id, root_key, names): for captures with renamed top-level fields the name each is unified under.
+
+    A field keeps the name it had before its first rename. A name that was given away by a rename and
+    comes up again is another column and gets ``~n``, n being the number of times it was given away.
+    """
+    changes = schema_changes(artifacts, roots, fields) if changes is None else changes
+    valid = F.struct("generation", "ingested_at")
+    of = artifacts.where("artifact_id is not null").groupBy("artifact_id").agg(*[F.max_by(c, valid).alias(c) for c in ("upstream_instance_id", "source_tool", "created_seq")])
+    top = F.rlike("field_path", F.lit(r"^\$(\.[A-Za-z_]\w*|\['(?:[^'\\]|\\.)*'\])$"))
+    events = cut_lineage(changes.where((F.col("change") == "renamed") & top).join(of, "artifact_id").select(*SERIES, "created_seq", F.col("field_path").alias("new"), F.col("other_path").alias("old")))
+    # each event's earlier event, the one that made the name it takes away; events are rare against rows
+    made = events.select(*SERIES, F.col("new").alias("path"), (2 * F.col("created_seq")).alias("at"), F.concat_ws("\u0001", *SERIES, "created_seq", "new").alias("event"))
+    asked = events.select(*SERIES, F.col("old").alias("path"), (2 * F.col("created_seq") - 1).alias("at"), F.lit(None).cast("string").alias("event"), "new", "old", "created_seq")
+    linked = as_of(made.unionByName(asked, allowMissingColumns=True), [*SERIES, "path"], "at", "event", "earlier").where("old is not null")
+    tree = linked.select(F.concat_ws("\u0001", *SERIES, "created_seq", "new").alias("event"), "earlier", "old", F.lit(1).alias("gen"), *SERIES, "created_seq", "new")
+    rooted = hierarchy(tree, "event", "earlier", ("gen",)) if events.limit(1).count() else None
+    if rooted is None:
+        return fields.select("artifact_id", "root_key", F.expr("cast(map() as map<string,string>)").alias("names")).limit(0)
+    first = tree.select(F.col("event").alias("root_id"), F.col("old").alias("first"))
+    named = cut_lineage(rooted.join(first, "root_id").select(F.col("id").alias("event"), "first").join(tree, "event").select(*SERIES, "created_seq", "new", "old", "first"))
+    # what each path of each capture is called, for paths that any rename of its series touches
+    touched = named.select(*SERIES, F.col("new").alias("path")).unionByName(named.select(*SERIES, F.col("old").alias("path"))).distinct()
+    used = fields.where("artifact_id is not null and root_key is not null").select("artifact_id", "root_key", normal_path("field_path").alias("path")).distinct()
+    used = used.join(of, "artifact_id").join(touched, [*SERIES, "path"], "left_semi")
+    given = named.groupBy(*SERIES, F.col("old").alias("path"), "created_seq").agg(F.count(F.lit(1)).alias("given"))
+    away = running_given(given)
+    notes = (
+        named.select(*SERIES, F.col("new").alias("path"), (2 * F.col("created_seq")).alias("at"), F.col("first").alias("note"))
+        .unionByName(away.select(*SERIES, "path", (2 * F.col("created_seq")).alias("at"), F.concat("path", F.lit("~"), F.col("times").cast("string")).alias("note")))
+    )
+    asked = used.select(*SERIES, "path", (2 * F.col("created_seq") + 1).alias("at"), F.lit(None).cast("string").alias("note"), "artifact_id")
+    called = as_of(notes.unionByName(asked, allowMissingColumns=True), [*SERIES, "path"], "at", "note", "name").where("artifact_id is not null and name is not null")
+    pairs = F.map_from_entries(F.collect_list(F.struct("path", "name")))
+    return called.groupBy("artifact_id", "root_key").agg(pairs.alias("names"))
+
+
+def running_given(given: DataFrame) -> DataFrame:
+    """How often a name had been given away by each such rename (a handful for any one name)."""
+    so_far = Window.partitionBy(*SERIES, "path").orderBy("created_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return given.withColumn("times", F.sum("given").over(so_far))
+
+
+@F.pandas_udf(StringType())
+def normal_path(paths: pd.Series) -> pd.Series:
+    return paths.map(lambda p: show(normal_steps(p)), na_action="ignore")
+
+
+def unified_records(records: DataFrame, names: DataFrame, renamed_only: bool = False) -> DataFrame:
+    """(artifact_id, root_path, idx, fields): every record as a map from unified top-level names to JSON text.
+
+    Records that are no objects have no fields. A record's own names stay where no rename is known; of
+    fields that would share a name the later ones are numbered.
+    """
+    v = F.try_parse_json("record")
+    members = F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: F.to_json(x))
+    members = F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), members)
+    keyed = F.transform_keys(members, lambda k, x: path_step(k))
+    rows = records.select("artifact_id", "root_path", "idx", keyed.alias("own")).join(names.withColumnRenamed("root_key", "root_path"), ["artifact_id", "root_path"], "inner" if renamed_only else "left")
+    shown = F.transform(F.map_keys("own"), lambda k: F.coalesce(F.try_element_at("names", F.concat(F.lit("$"), k)), F.concat(F.lit("$"), k)))
+    # a field that profile and renames do not know may have the unified name of another: it is numbered
+    apart = F.transform(F.col("shown"), lambda n, i: F.when(F.array_position("shown", n) < i + 1, F.concat(n, F.lit("~"), (i + 1).cast("string"))).otherwise(n))
+    rows = rows.withColumn("shown", shown)
+    renamed = F.map_from_arrays(apart, F.map_values("own"))
+    return rows.select("artifact_id", "root_path", "idx", F.when(F.col("names").isNull(), F.transform_keys("own", lambda k, x: F.concat(F.lit("$"), k))).otherwise(renamed).alias("fields"))

@@ -24,3 +24,19 @@ def with_previous(rows: DataFrame, series: list[str], seq: str, value: str, out:
     on = [within[c].eqNullSafe(carried[c]) for c in series] + [within["_block"] == carried["_block"]]
     joined = within.join(carried, on, "left")
     return joined.select(*[within[c] for c in rows.columns if c != "_block"], F.coalesce(within["_prev"], carried["_carry"]).alias(out))
+
+
+def as_of(rows: DataFrame, series: list[str], seq: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
+    """Add to each row the last ``value`` that is not null at or before it, by ``seq``, in its series.
+
+    Laid out in blocks like ``with_previous``. Of rows with equal seq the ones with a value come first.
+    """
+    rows = rows.withColumn("_block", F.coalesce(F.floor(F.col(seq) / block), F.lit(-(2**62))).cast("long"))
+    inner = Window.partitionBy(*series, "_block").orderBy(F.col(seq).asc_nulls_first(), F.col(value).isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.withColumn("_last", F.last(value, ignorenulls=True).over(inner))
+    ends = rows.where(F.col(value).isNotNull()).groupBy(*series, "_block").agg(F.max_by(value, F.struct(seq, value)).alias("_end"))
+    starts = rows.select(*series, "_block").distinct().join(ends, [*series, "_block"], "left")
+    before = Window.partitionBy(*series).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = starts.select(*series, "_block", F.last("_end", ignorenulls=True).over(before).alias("_carry")).where("_carry is not null")
+    joined = within.join(carried, [*series, "_block"], "left")
+    return joined.select(*[c for c in rows.columns if c != "_block"], F.coalesce("_last", "_carry").alias(out))

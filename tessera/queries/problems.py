@@ -40,6 +40,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.schema_changes(*(table(spark, sf_dir, n) for n in ("artifacts", "artifact_schema_roots", "artifact_schema_fields")))
 
 
+def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as one table whose columns go by one name through all renames."""
+    tables = [table(spark, sf_dir, n) for n in ("artifacts", "artifact_schema_roots", "artifact_schema_fields")]
+    return drift.unified_records(table(spark, sf_dir, "artifact_records"), drift.column_names(*tables))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every object in an array inside a record, with the link to the object around it."""
     return nesting.nested_objects(table(spark, sf_dir, "artifact_records")).select("artifact_id", "root_path", "idx", "node_path", "parent_path")
@@ -62,7 +68,7 @@ def p4_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id").alias("artifact_id"), "ancestor_id", "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p3_found, p3_subtypes, p4_found, p4_ancestors)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p2_unified, p3_found, p3_subtypes, p4_found, p4_ancestors)}
 
 _P1 = """
 with h as (select artifact_id, regexp_replace(lower(trim(payload_hash_full, e' \\t\\r\\n')), '^sha256:', '') k, ingested_at from artifacts where artifact_id is not null and payload_hash_full is not null),

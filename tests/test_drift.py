@@ -90,3 +90,22 @@ def test_previous_row_across_blocks(spark):
         own = sorted((r for r in rows if r[0] == series), key=lambda r: (r[1] is not None, r[1] or 0))
         expected |= {r[2]: (own[i - 1][2] if i else None) for i, r in enumerate(own)}
     assert {r.v: r.p for r in got.collect()} == expected
+
+
+def test_unified_records(spark):
+    from tessera.operators.drift import column_names, unified_records
+
+    a = [(f"a{i}", "u", "t", i, 1, D(2025, 1, 1), "x") for i in range(1, 6)]
+    names = {1: ["id", "name"], 2: ["id", "title"], 3: ["id", "label"], 4: ["id", "label", "name"], 5: ["id", "label", "name"]}
+    r = [(f"a{i}", "$", "exact", "complete") for i in names]
+    f = [(f"a{i}", "$", f"$.{n}", '["number"]' if n == "id" else '["string"]', None, None) for i, own in names.items() for n in own]
+    tables = spark.createDataFrame(a, ARTIFACTS), spark.createDataFrame(r, ROOTS), spark.createDataFrame(f, FIELDS)
+    records = [("a1", "$", 0, '{"id":1,"name":"n"}'), ("a2", "$", 0, '{"id":1,"title":"n"}'), ("a3", "$", 0, '{"label":"n","name":"stray"}'), ("a5", "$", 0, '{"label":"n","name":"m"}'), ("a5", "$", 1, "[1]"), ("a5", "$", 2, None), ("zz", "$", 0, '{"q z":1}')]
+    df = spark.createDataFrame(records, "artifact_id string, root_path string, idx int, record string")
+    got = {(r.artifact_id, r.idx): r.fields for r in unified_records(df, column_names(*tables)).collect()}
+    assert got[("a1", 0)] == {"$.id": "1", "$.name": '"n"'} == got[("a2", 0)]
+    assert got[("a3", 0)] == {"$.name": '"n"', "$.name~2": '"stray"'}
+    assert got[("a5", 0)] == {"$.name": '"n"', "$.name~1": '"m"'}
+    assert got[("a5", 1)] is None and got[("a5", 2)] is None and got[("zz", 0)] == {"$['q z']": "1"}
+    empty = [t.limit(0) for t in tables]
+    assert unified_records(df, column_names(*empty)).count() == len(records)
