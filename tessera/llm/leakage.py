@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 #: Characters that show nothing (soft hyphen, zero-width, joiners, direction marks, byte-order mark).
 INVISIBLE = dict.fromkeys([0x00AD, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF])
 _ASCII_WORDS = re.compile(r"[a-z0-9]+").findall
@@ -116,4 +118,4 @@ def _search(docs: DataFrame, items, window: int) -> DataFrame:
             rows = [(d, i) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for i in search.find(t)]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([i for _, i in rows], pa.int64())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id bigint, item_id bigint")
+    return spread(docs).mapInArrow(run, "doc_id bigint, item_id bigint")

@@ -21,6 +21,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.session import spread
+
 # Common function words of the languages at hand.
 FUNCTION_WORDS = frozenset(
     """
@@ -295,4 +297,4 @@ def spam_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], schema=schema)
 
     rows = documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[text].cast("string").alias("text"))
-    return rows.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint").distinct()
+    return spread(rows.where("doc_id is not null and text is not null")).mapInArrow(run, "doc_id bigint").distinct()

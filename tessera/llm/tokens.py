@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.session import spread
+
 VOCABULARY = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits text before the merges of byte_bpe_50k.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -178,4 +180,4 @@ def token_ids(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], schema=schema)
 
     rows = documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[text].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(rows).mapInArrow(run, "doc_id bigint, ids array<int>")
