@@ -11,6 +11,7 @@ import ast
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
@@ -65,6 +66,7 @@ def _allow(*modules: str) -> None:
             raise CodeError("IMPORT_NOT_ALLOWED", m)
 
 
+@lru_cache(maxsize=64)
 def compiled(source: str) -> Callable[..., Any]:
     check(source)
     space: dict[str, Any] = {"__builtins__": {k: v for k, v in _builtins().items() if k not in BLOCKED} | {"__import__": _import}}

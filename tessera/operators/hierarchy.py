@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.references import BLANKS
-from tessera.session import cut_lineage, release
+from tessera.session import cut_lineage, cut_lineage_counting, release
 
 
 def _link(name: str) -> Column:
@@ -44,30 +44,32 @@ def _peel(nodes: DataFrame) -> DataFrame:
 
     jump: ancestor 2^k steps up, null beyond the end. end, depth: where the way up ended so far.
     """
-    state = nodes.select("k", F.when(F.col("known"), F.col("p")).alias("jump"), F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("depth"), F.col("k").alias("end"))
-    residual, steps = -1, 1
+    one = F.lit(1).cast("bigint")
+    state = nodes.select("k", F.when(F.col("known"), F.col("p")).alias("jump"), one.alias("size"), F.lit(0).cast("bigint").alias("depth"), F.col("k").alias("end"), one.alias("steps"))
+    residual = -1
     while True:
         sent = state.where("jump is not null").groupBy(F.col("jump").alias("k")).agg(F.sum("size").alias("below"))
         up = state.select(F.col("k").alias("jump"), F.col("jump").alias("jump2"), F.col("end").alias("end2"), F.col("depth").alias("depth2"))
         grown = state.join(up, "jump", "left").join(sent, "k", "left")
         on = F.col("jump").isNotNull()
-        after = cut_lineage(
+        after, left = cut_lineage_counting(
             grown.select(
                 "k",
                 F.col("jump2").alias("jump"),
                 (F.col("size") + F.coalesce("below", F.lit(0))).alias("size"),
                 # while the way up goes on, end holds the farthest ancestor reached and depth its distance
                 F.when(on, F.col("end2")).otherwise(F.col("end")).alias("end"),
-                F.when(on, F.lit(steps) + F.col("depth2")).otherwise(F.col("depth")).alias("depth"),
+                F.when(on, F.col("steps") + F.col("depth2")).otherwise(F.col("depth")).alias("depth"),
+                (2 * F.col("steps")).alias("steps"),
                 F.col("below").isNotNull().alias("unpeeled"),
-            )
+            ),
+            F.col("unpeeled"),
         )
         release(state)
         state = after
-        left = state.where("unpeeled").count()
         if left == residual or left == 0:
             return state.withColumnRenamed("unpeeled", "residual").withColumn("open", F.col("jump").isNotNull())
-        residual, steps = left, steps * 2
+        residual = left
 
 
 def _cycles(members: DataFrame) -> DataFrame:
@@ -75,9 +77,9 @@ def _cycles(members: DataFrame) -> DataFrame:
     state = cut_lineage(members.select("k", F.col("p").alias("jump"), F.col("id").alias("root")))
     while True:
         ahead = state.select(F.col("k").alias("jump"), F.col("jump").alias("jump2"), F.col("root").alias("root2"))
-        after = cut_lineage(state.join(ahead, "jump").select("k", F.col("jump2").alias("jump"), F.least("root", "root2").alias("root"), (F.col("root2") < F.col("root")).alias("moved")))
+        after, moved = cut_lineage_counting(state.join(ahead, "jump").select("k", F.col("jump2").alias("jump"), F.least("root", "root2").alias("root"), (F.col("root2") < F.col("root")).alias("moved")), F.col("moved"))
         release(state)
-        if _is_empty(after.where("moved")):
+        if not moved:
             return after.select("k", "root")
         state = after
 
@@ -88,9 +90,9 @@ def _climb(nodes: DataFrame, ends: DataFrame) -> DataFrame:
     state = cut_lineage(state.select("k", F.when(F.col("at_end"), F.col("k")).otherwise(F.col("p")).alias("end"), F.when(F.col("at_end"), 0).otherwise(1).cast("bigint").alias("depth")))
     while True:
         up = state.select(F.col("k").alias("end"), F.col("end").alias("end2"), F.col("depth").alias("depth2"))
-        after = cut_lineage(state.join(up, "end").select("k", F.col("end2").alias("end"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("depth2") > 0).alias("moved")))
+        after, moved = cut_lineage_counting(state.join(up, "end").select("k", F.col("end2").alias("end"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("depth2") > 0).alias("moved")), F.col("moved"))
         release(state)
-        if _is_empty(after.where("moved")):
+        if not moved:
             return after.drop("moved")
         state = after
 

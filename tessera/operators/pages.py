@@ -39,13 +39,20 @@ LISTS = ("$.data", "$.results", "$.items", "$.records", "$.entries", "$.nodes")
 WRAPPER = "result"
 
 
-def _wrapped(paths: tuple[str, ...]) -> list[str]:
-    return [*paths, *[p.replace("$.", f"$.{WRAPPER}.", 1) for p in paths]]
+def _wrapped(v: Column, paths: tuple[str, ...]) -> list[list[Column]]:
+    """The values at the paths, and at the same paths in the wrapper."""
+    inner = jsonpath.get(v, f"$.{WRAPPER}")
+    return [[jsonpath.get(x, p) for p in paths] for x in (v, inner)]
 
 
-def _first(candidates: list[Column], fits: Callable[[Column], Column]) -> Column:
-    """The first candidate that fits; a lambda over an array, so the plan stays small however many there are."""
-    return F.get(F.filter(F.array(*candidates), fits), F.lit(0))
+def _first(v: Column, groups: list[list[Column]], fits: Callable[[Column], Column]) -> Column:
+    """The first candidate that fits, those in the wrapper only where there is one.
+
+    A lambda over an array, so the plan stays small however many candidates there are.
+    """
+    plain, wrapped = groups
+    first = lambda xs: F.get(F.filter(F.array(*xs), fits), F.lit(0))
+    return F.coalesce(first(plain), F.when(jsonpath.get(v, f"$.{WRAPPER}").isNotNull(), first(wrapped)))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,7 +61,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _first_bool(v: Column, paths: tuple[str, ...]) -> Column:
-    return _first([jsonpath.get(v, p) for p in _wrapped(paths)], lambda x: F.coalesce(F.schema_of_variant(x) == "BOOLEAN", F.lit(False))).cast("boolean")
+    return _first(v, _wrapped(v, paths), lambda x: F.coalesce(F.schema_of_variant(x) == "BOOLEAN", F.lit(False))).cast("boolean")
 
 
 def _filled(x: Column) -> Column:
@@ -63,7 +70,7 @@ def _filled(x: Column) -> Column:
 
 
 def _first_filled(v: Column, paths: tuple[str, ...]) -> Column:
-    return _first([jsonpath.get(v, p) for p in _wrapped(paths)], _filled).cast("string")
+    return _first(v, _wrapped(v, paths), _filled).cast("string")
 
 
 def next_value(v: Column) -> Column:
@@ -83,15 +90,16 @@ def is_true(x: Column) -> Column:
 
 def record_count(v: Column) -> Column:
     """The length of the response, or of its first usual list; null if there is none."""
-    first = _first([v, *[jsonpath.get(v, p) for p in _wrapped(LISTS)]], lambda x: F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("ARRAY")), F.lit(False)))
+    plain, wrapped = _wrapped(v, LISTS)
+    first = _first(v, [[v, *plain], wrapped], lambda x: F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("ARRAY")), F.lit(False)))
     return F.size(F.try_variant_get(first, "$", "array<variant>"))
 
 
 def cursor(v: Column) -> Column:
     """struct(param, value, confidence) of the first known cursor; null without one."""
-    specs = [(p.replace("$.", f"$.{WRAPPER}.", 1), n, c) for p, n, c in CURSORS] + list(CURSORS)
-    candidates = [F.struct(F.lit(n).alias("param"), jsonpath.get(v, p).alias("x"), F.lit(c).alias("confidence")) for p, n, c in specs]
-    return _let(_first(candidates, lambda s: _filled(s["x"])), lambda s: F.when(s.isNotNull(), F.struct(s["param"].alias("param"), s["x"].cast("string").alias("value"), s["confidence"].alias("confidence"))))
+    at = lambda x: [F.struct(F.lit(n).alias("param"), jsonpath.get(x, p).alias("x"), F.lit(c).alias("confidence")) for p, n, c in CURSORS]
+    found = _first(v, [at(v), at(jsonpath.get(v, f"$.{WRAPPER}"))], lambda s: _filled(s["x"]))
+    return _let(found, lambda s: F.when(s.isNotNull(), F.struct(s["param"].alias("param"), s["x"].cast("string").alias("value"), s["confidence"].alias("confidence"))))
 
 
 def next_url_parameters(v: Column) -> Column:

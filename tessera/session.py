@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,6 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
 _written: dict[str, SparkSession] = {}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for costly work by row: a scan with fewer parts than the cluster has cores is dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def cut_lineage_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """The same with the number of rows that meet a condition, counted as they are written."""
+    seen = Observation()
+    return cut_lineage(df.observe(seen, F.count(F.when(condition, 1)).alias("n"))), seen.get["n"]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder, so that lost executors cost no recomputation.
 
