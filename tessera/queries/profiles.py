@@ -76,6 +76,24 @@ def m6_reservoir(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.reservoir(rows, ["artifact_id", "root_path"], "idx", "size", "seed")
 
 
+@R("m5_streamed_roots", ENVELOPES + "select payload_hash_full, json_array_length(j, '$.content')::bigint elements from e")
+def m5_streamed_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """Outermost arrays found in one pass over the text, within budgets (SRC15, M10, M11)."""
+    from tessera.operators.partial import map_payloads
+
+    roots = map_payloads(envelopes(spark, sf), "payload_hash_full", "envelope")
+    return roots.where("root_path = '$.content' and closed").select("payload_hash_full", "elements")
+
+
+@R("m12_collapsed")
+def m12_collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    """The roots of every payload laid end to end."""
+    from tessera.operators.partial import collapsed, map_payloads
+
+    one = collapsed(map_payloads(envelopes(spark, sf), "payload_hash_full", "envelope"), "payload_hash_full")
+    return one.select("payload_hash_full", "elements", "oversize", "complete")
+
+
 @R("m8_seed", "select distinct artifact_id, sha256(artifact_id || '|' || root_path || '|fp') seed from artifact_records")
 def m8_seed(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "artifact_records").select("artifact_id", F.sha2(F.concat_ws("|", "artifact_id", "root_path", F.lit("fp")), 256).alias("seed")).distinct()

@@ -179,3 +179,25 @@ def test_streaming_pages(spark, tmp_path):
     for _ in range(2):
         stream.ingest(stream.read_pages(spark, str(tmp_path / "in")), out, str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(out).count() == 2  # the repeated page once, also after a restart
+
+
+def test_partial_mapping(spark):
+    from tessera.operators.partial import Budget, collapsed, map_payloads
+
+    texts = {"a": '[{"a":1},{"b":[1,"x"]},3]', "b": '{"x":{"items":[{"a":null}],"n":2},"y":[]}', "c": '[{"a":1},{"b":', "d": None, "e": "", "f": '"s"', "g": "[1,2,3,4]", "h": '[{"big":"' + "x" * 90 + '"},{"a":1}]'}
+    df = spark.createDataFrame(list(texts.items()), "k string, t string")
+    roots = map_payloads(df, "k", "t", Budget(elements=3, record_bytes=50))
+    got = {(r.k, r.root_path): (r.elements, r.objects, r.oversize, r.closed, r.stop_reason, r.indices) for r in roots.collect()}
+    assert got == {
+        ("a", "$"): (3, 2, 0, True, None, [0, 1]),
+        ("b", "$.x.items"): (1, 1, 0, True, None, [0]),
+        ("b", "$.y"): (0, 0, 0, True, None, []),
+        ("c", "$"): (1, 1, 0, False, "parse_error", [0]),
+        ("g", "$"): (3, 0, 0, False, "max_elements", []),
+        ("h", "$"): (2, 2, 1, True, None, [1]),
+    }
+    paths = {r.k: r.paths for r in roots.where("root_path = '$'").collect()}
+    assert paths["a"] == {"$.a": "number", "$.b": "array", "$.b[*]": "number,string"}
+    one = {r.k: (r.elements, r.complete, [tuple(s) for s in r.starts]) for r in collapsed(roots, "k").collect()}
+    assert one["b"] == (1, True, [("$.x.items", 0), ("$.y", 1)]) and one["c"][1] is False
+    assert map_payloads(df.limit(0), "k", "t").collect() == []
