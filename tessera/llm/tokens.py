@@ -98,20 +98,29 @@ class PrefixEncoder:
             known = self._fits[pair] = self.stays(left, right, 1 << 60)
         return known
 
+    def _settle(self, last: list[int], end: int, matches: list[tuple[int, int]]) -> None:
+        """Store the one token that ends the encoding of the first ``end`` bytes."""
+        for length, token in sorted(matches, reverse=True):
+            before = last[end - length] if end > length else None
+            if before == -1 or not self.reachable(token):
+                continue
+            if before is None or self.compatible(before, token):
+                last[end] = token
+                return
+
     def encode(self, piece: bytes) -> list[int]:
         n = len(piece)
         last = [-1] * (n + 1)
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        # matches come by the position they end at, and every byte ends one
+        matches: list[tuple[int, int]] = []
+        here = 0
         for at, match in self._automaton.iter(piece.decode("latin-1")):
-            ending[at + 1].append(match)
-        for end in range(1, n + 1):
-            for length, token in sorted(ending[end], reverse=True):
-                before = last[end - length] if end > length else None
-                if before == -1 or not self.reachable(token):
-                    continue
-                if before is None or self.compatible(before, token):
-                    last[end] = token
-                    break
+            if at != here:
+                self._settle(last, here + 1, matches)
+                matches, here = [], at
+            matches.append(match)
+        if matches:
+            self._settle(last, here + 1, matches)
         ids = []
         end = n
         while end:
