@@ -91,3 +91,8 @@ def text_as_json(t: Column) -> Column:
     twice = parse(F.when(type_name(once) == "string", once.cast("string")))
     pick = lambda v: F.when(type_name(v).isin("object", "array"), v)
     return F.coalesce(pick(once), pick(twice))
+
+
+def once(c: Column) -> Column:
+    """A column that is worked out once a row: filters on it are not pushed below, where they would work it out for each use."""
+    return F.explode(F.array(c))

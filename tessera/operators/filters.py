@@ -88,19 +88,36 @@ def _compile(f: dict, v: Column) -> Column:
     if op == "not_exists":
         return x.isNull()
     if op == "in":
-        given = [_literal(y) for y in value if y is not None]
-        hit = reduce(lambda a, b: a | b, [ordered(x) == y for y in given], F.lit(False)) if value else F.lit(False)
+        hit = reduce(lambda a, b: a | b, [_compare("eq", x, y) for y in value if y is not None], F.lit(False))
         # a null in the list makes what is not found unknown
         return F.when(hit, True).otherwise(F.lit(None).cast("boolean")) if None in value else hit
     if op == "contains":
         return F.contains(ascii_lower(text_of(x)), ascii_lower(F.lit(value)))
     if op == "array_contains":
-        found = F.exists(elements(x), lambda e: e.isNull() | (type_name(e) == "null") if value is None else F.coalesce(ordered(e) == _literal(value), F.lit(False)))
+        found = F.exists(elements(x), lambda e: e.isNull() | (type_name(e) == "null") if value is None else F.coalesce(_compare("eq", e, value), F.lit(False)))
         return F.coalesce(found, F.lit(False))
     if value is None:
         absent = x.isNull() | F.is_variant_null(x)
         return absent if op == "eq" else ~absent
-    return COMPARE[op](ordered(x), _literal(value))
+    return _compare(op, x, value)
+
+
+#: Whole numbers that a double holds exactly, and no other number rounds to.
+_EXACT = 2**53 - 1
+
+
+def _compare(op: str, x: Column, value: Any) -> Column:
+    """Storage-class comparison with one literal; every class is decided by one plain comparison."""
+    kind = F.schema_of_variant(x)
+    is_text = (kind == "STRING") | F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+    is_number = (kind == "BIGINT") | (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
+    if isinstance(value, str):
+        text = F.when(kind == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x))
+        return F.when(is_text, COMPARE[op](text, F.lit(value))).when(is_number | (kind == "BOOLEAN"), F.lit(op in ("ne", "lt", "lte")))
+    if abs(value) > _EXACT:
+        return COMPARE[op](ordered(x), _literal(value))
+    number = F.when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("double")).otherwise(F.try_variant_get(x, "$", "double"))
+    return F.when(is_number | (kind == "BOOLEAN"), COMPARE[op](number, F.lit(float(value)))).when(is_text, F.lit(op in ("ne", "gt", "gte")))
 
 
 def _literal(value: Any) -> Column:

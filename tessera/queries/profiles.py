@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import canonical, redaction, text
-from tessera.functions.variants import at, elements, parse_or_text, text_as_json, type_name
+from tessera.functions.variants import at, elements, once, parse_or_text, text_as_json, type_name
 from tessera.operators import pages, profile, sampling
 from tessera.queries.registry import ENVELOPES, RECORDS, Registry, envelopes, records
-from tessera.session import table
+from tessera.session import spread, table
 
 R = Registry()
 KEY = ["artifact_id", "root_path", "idx"]
@@ -43,7 +43,7 @@ def a6_inventory(spark: SparkSession, sf: str) -> DataFrame:
 )
 def a7_path_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Every path of the records below named roots, with how many records have it (M3)."""
-    rows = table(spark, sf, "artifact_records").where("root_path <> '$'").select("root_path", "record").distinct().withColumn("v", F.try_parse_json("record")).where("v is not null")
+    rows = table(spark, sf, "artifact_records").where("root_path <> '$'").select("root_path", "record").distinct().select("root_path", "record", once(F.try_parse_json("record")).alias("v")).where("v is not null")
     return profile.path_profile(rows, ["root_path", "record"], ["root_path"]).select("root_path", "path", "observed", "nullable", "required")
 
 
@@ -335,7 +335,7 @@ _PAGE = """case o_orderkey % 5 when 0 then '{"has_more":true,"next_cursor":"c' |
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey", F.expr(_PAGE).alias("page")).withColumn("v", F.parse_json("page"))
+    return spread(table(spark, sf, "orders").select("o_orderkey")).select("o_orderkey", F.expr(_PAGE).alias("page")).select("o_orderkey", once(F.parse_json("page")).alias("v"))
 
 
 @R("g2_has_more", "select o_orderkey, case o_orderkey % 5 when 0 then true when 1 then false when 2 then true when 3 then false end more from orders")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.functions.variants import once
+from tessera.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +34,8 @@ class Registry:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(artifact_id, root_path, idx, v) of the records that are valid JSON."""
-    rows = table(spark, sf_dir, "artifact_records").select("artifact_id", "root_path", "idx", F.try_parse_json("record").alias("v"))
+    rows = spread(table(spark, sf_dir, "artifact_records").select("artifact_id", "root_path", "idx", "record"))
+    rows = rows.select("artifact_id", "root_path", "idx", once(F.try_parse_json("record")).alias("v"))
     return rows.where("v is not null")
 
 
@@ -46,7 +48,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "payload_blobs").select("payload_hash_full", "ingested_at", "envelope", F.try_parse_json("envelope").alias("v"))
     rows = rows.where(F.schema_of_variant("v").startswith("OBJECT") & F.try_variant_get("v", "$.content", "array<variant>").isNotNull())
     first = rows.groupBy("payload_hash_full").agg(F.min_by("envelope", F.struct("ingested_at", "envelope")).alias("envelope"))
-    return first.withColumn("v", F.parse_json("envelope"))
+    return first.select("payload_hash_full", "envelope", once(F.parse_json("envelope")).alias("v"))
 
 
 ENVELOPES = """with e as (select payload_hash_full, arg_min(envelope, (ingested_at, envelope))::json j from payload_blobs

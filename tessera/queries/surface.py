@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.variants import once
 from tessera.operators import code
 from tessera.operators.filters import compile_filter
 from tessera.operators.select import Select, select
@@ -63,7 +64,7 @@ def a19_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 @R("c8_select_orders", "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F' and o_totalprice > 100000 order by o_totalprice desc, o_orderkey limit 50")
 def c8_select_orders(spark: SparkSession, sf: str) -> DataFrame:
     """The select operator over a table read as JSON records."""
-    rows = table(spark, sf, "orders").select("o_orderkey", F.parse_json(F.to_json(F.struct("*"))).alias("v"))
+    rows = table(spark, sf, "orders").select("o_orderkey", once(F.parse_json(F.to_json(F.struct("*")))).alias("v"))
     where = {"logic": "and", "filters": [{"path": "$.o_orderstatus", "op": "eq", "value": "F"}, {"path": "$.o_totalprice", "op": "gt", "value": 100000}]}
     page = select(rows, Select(paths=["o_orderkey", "o_totalprice"], where=where, order_by="to_number(o_totalprice) DESC", limit=50), ["o_orderkey"])
     return page.select("o_orderkey", F.get_json_object("item", "$['$.o_totalprice']").cast("double").alias("o_totalprice"))
@@ -72,7 +73,7 @@ def c8_select_orders(spark: SparkSession, sf: str) -> DataFrame:
 @R("f3_json_column", "select event_id, (props->>'$.k')::bigint k from events where (props->>'$.k')::bigint > 50")
 def f3_json_column(spark: SparkSession, sf: str) -> DataFrame:
     """A predicate on a JSON column beside typed ones."""
-    rows = table(spark, sf, "events").select("event_id", F.try_parse_json("props").alias("v"))
+    rows = table(spark, sf, "events").select("event_id", once(F.try_parse_json("props")).alias("v"))
     return rows.where(compile_filter({"path": "$.k", "op": "gt", "value": 50}, F.col("v"))).select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"))
 
 
