@@ -219,19 +219,19 @@ def src13_integrity(spark: SparkSession, sf: str) -> DataFrame:
 @R("s8_canonical_hash")
 def s8_canonical_hash(spark: SparkSession, sf: str) -> DataFrame:
     """Hashes of the canonical form of every record: equal for different serialisations."""
-    return table(spark, sf, "artifact_records").select(*KEY, canonical.canonical_hash(F.col("record")).alias("record_hash"))
+    return spread(table(spark, sf, "artifact_records").select(*KEY, "record")).select(*KEY, canonical.canonical_hash(F.col("record")).alias("record_hash"))
 
 
 @R("s4_shapes")
 def s4_shapes(spark: SparkSession, sf: str) -> DataFrame:
     """How many records of each structure there are."""
-    return table(spark, sf, "artifact_records").select(canonical.shape_of(F.col("record")).alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
+    return spread(table(spark, sf, "artifact_records").select(*KEY, "record")).select(canonical.shape_of(F.col("record")).alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R("nav_p18_resolved")
 def p18_resolved(spark: SparkSession, sf: str) -> DataFrame:
     """Records with the JSON inside their strings expanded."""
-    return table(spark, sf, "artifact_records").select(*KEY, canonical.resolved(F.col("record")).alias("record"))
+    return spread(table(spark, sf, "artifact_records").select(*KEY, "record")).select(*KEY, canonical.resolved(F.col("record")).alias("record"))
 
 
 _IDENT = "regexp_full_match({c}, '[A-Za-z_][A-Za-z0-9_]*')"
