@@ -17,6 +17,7 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from json.encoder import encode_basestring
 
 import pandas as pd
 import pyarrow as pa
@@ -24,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessera.functions.text import path_step
 from tessera.operators.hierarchy import hierarchy
-from tessera.operators.paths import normal_steps, show
+from tessera.operators.nesting import STRING_LAYERS, _reject, _utf8, unwrap
+from tessera.operators.paths import name_step, normal_steps, show
 from tessera.operators.references import BLANKS
 from tessera.operators.series import as_of, with_previous
 from tessera.session import cut_lineage
@@ -221,7 +222,7 @@ SERIES = ["upstream_instance_id", "source_tool", "root_key"]
 
 
 def column_names(artifacts: DataFrame, roots: DataFrame, fields: DataFrame, changes: DataFrame | None = None) -> DataFrame:
-    """(artifact_id, root_key, names): for captures with renamed top-level fields the name each is unified under.
+    """(artifact_id, root_key, names): for captures with renamed top-level fields (of records or of their elements) the name each is unified under.
 
     A field keeps the name it had before its first rename. A name that was given away by a rename and
     comes up again is another column and gets ``~n``, n being the number of times it was given away.
@@ -229,7 +230,7 @@ def column_names(artifacts: DataFrame, roots: DataFrame, fields: DataFrame, chan
     changes = schema_changes(artifacts, roots, fields) if changes is None else changes
     valid = F.struct("generation", "ingested_at")
     of = artifacts.where("artifact_id is not null").groupBy("artifact_id").agg(*[F.max_by(c, valid).alias(c) for c in ("upstream_instance_id", "source_tool", "created_seq")])
-    top = F.rlike("field_path", F.lit(r"^\$(\.[A-Za-z_]\w*|\['(?:[^'\\]|\\.)*'\])$"))
+    top = F.rlike("field_path", F.lit(r"^\$(?:\[\*\])*(\.[A-Za-z_]\w*|\['(?:[^'\\]|\\.)*'\])$"))
     events = cut_lineage(changes.where((F.col("change") == "renamed") & top).join(of, "artifact_id").select(*SERIES, "created_seq", F.col("field_path").alias("new"), F.col("other_path").alias("old")))
     # each event's earlier event, the one that made the name it takes away; events are rare against rows
     made = events.select(*SERIES, F.col("new").alias("path"), (2 * F.col("created_seq")).alias("at"), F.concat_ws("\u0001", *SERIES, "created_seq", "new").alias("event"))
@@ -268,20 +269,107 @@ def normal_path(paths: pd.Series) -> pd.Series:
     return paths.map(lambda p: show(normal_steps(p)), na_action="ignore")
 
 
+UNIFIED = "artifact_id string, root_path string, idx int, element string, fields map<string,string>, value string"
+
+
+class _Number(str):
+    """A number as it is written."""
+
+
+_decode = json.JSONDecoder(parse_constant=_reject, parse_int=_Number, parse_float=_Number).decode
+
+
+def _parse(text: str) -> tuple[bool, object]:
+    try:
+        return True, _decode(text)
+    except (ValueError, RecursionError):
+        return False, None
+
+
+class Unifier:
+    """Rows and unified names of the records of one capture."""
+
+    def __init__(self, names: dict[str, str]) -> None:
+        self.names = names
+
+    def rows(self, text: str | None) -> list[tuple]:
+        """(element, fields, value) of a record: one row, or one for each element of an array."""
+        if text is None:
+            return [(None, None, None)]
+        ok, value = _parse(text)
+        try:
+            return list(self._rows(value, None, "$", STRING_LAYERS)) if ok else [(None, None, _utf8(text))]
+        except RecursionError:
+            return [(None, None, _utf8(text))]
+
+    def _rows(self, value: object, element: str | None, path: str, layers: int) -> Iterator[tuple]:
+        if type(value) is str and (held := unwrap(value, layers, _parse)):
+            value, layers = held
+        if type(value) is dict:
+            yield element, [(_utf8(at), _utf8(self._text(x, layers))) for at, x in self._members(value, path)], None
+        elif type(value) is list and value:
+            for i, x in enumerate(value):
+                yield from self._rows(x, f"{element or ''}[{i}]", path + "[*]", layers)
+        else:
+            yield element, None, _utf8(self._text(value, layers))
+
+    def _members(self, value: dict, path: str) -> list[tuple[str, object]]:
+        """The unified names of an object's members; known names come first, others that would share one are numbered."""
+        found, taken = {}, set()
+        order = sorted(value)
+        for known in (True, False):
+            for i, name in enumerate(order):
+                own = path + name_step(name)
+                if (own in self.names) is known:
+                    at, n = self.names.get(own, own), i + 1
+                    shown = at
+                    while shown in taken:
+                        shown, n = f"{at}~{n}", n + 1
+                    taken.add(shown)
+                    found[name] = shown
+        return [(found[name], value[name]) for name in order]
+
+    def _text(self, value: object, layers: int) -> str:
+        """JSON text of a value, strings that hold an object or array as what they hold."""
+        kind = type(value)
+        if kind is str:
+            if layers and value[:1] in ("{", "[", '"', " ", "\t", "\r", "\n") and (held := unwrap(value, layers, _parse)):
+                return self._text(*held)
+            return encode_basestring(value)
+        if kind is dict:
+            return "{" + ",".join([f"{encode_basestring(k)}:{self._text(value[k], layers)}" for k in sorted(value)]) + "}"
+        if kind is list:
+            return "[" + ",".join([self._text(x, layers) for x in value]) + "]"
+        return str(value) if kind is _Number else "null" if value is None else "true" if value else "false"
+
+
+def _unify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(n, pa.string()) for n in ("artifact_id", "root_path")] + [("idx", pa.int32()), ("element", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("value", pa.string())])
+    for batch in batches:
+        captures: dict[tuple, Unifier] = {}
+        origin: list[int] = []
+        rows: list[tuple] = []
+        keys = zip(batch.column("artifact_id").to_pylist(), batch.column("root_path").to_pylist())
+        for i, (key, text) in enumerate(zip(keys, batch.column("record").to_pylist())):
+            if key not in captures:
+                captures[key] = Unifier(dict(batch.column("names")[i].as_py() or ()))
+            found = captures[key].rows(text)
+            origin.extend([i] * len(found))
+            rows.extend(found)
+        take = pa.array(origin, pa.int32())
+        out = [batch.column(c).take(take) for c in ("artifact_id", "root_path", "idx")]
+        out += [pa.array([r[j] for r in rows], schema.field(3 + j).type) for j in range(3)]
+        yield pa.RecordBatch.from_arrays(out, schema=schema)
+
+
 def unified_records(records: DataFrame, names: DataFrame, renamed_only: bool = False) -> DataFrame:
-    """(artifact_id, root_path, idx, fields): every record as a map from unified top-level names to JSON text.
+    """(artifact_id, root_path, idx, element, fields, value): every record as a map from unified top-level names to JSON text.
 
-    Records that are no objects have no fields. A record's own names stay where no rename is known; of
-    fields that would share a name the later ones are numbered.
+    Strings that hold an object or array count as it, like in ``nesting``. A record that is an array has
+    a row for each element, ``element`` being its position (``[0]``), with the names the profile has for
+    them (``$[*].a``). What is no object has its JSON text in ``value`` instead of fields, a record that
+    is no valid JSON its own text. A record's own names stay where no rename is known; of fields that
+    would share a name those no rename is known of are numbered.
     """
-    v = F.try_parse_json("record")
-    members = F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: F.to_json(x))
-    members = F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), members)
-    keyed = F.transform_keys(members, lambda k, x: path_step(k))
-    rows = records.select("artifact_id", "root_path", "idx", keyed.alias("own")).join(names.withColumnRenamed("root_key", "root_path"), ["artifact_id", "root_path"], "inner" if renamed_only else "left")
-    shown = F.transform(F.map_keys("own"), lambda k: F.coalesce(F.try_element_at("names", F.concat(F.lit("$"), k)), F.concat(F.lit("$"), k)))
-    # a field that profile and renames do not know may have the unified name of another: it is numbered
-    apart = F.transform(F.col("shown"), lambda n, i: F.when(F.array_position("shown", n) < i + 1, F.concat(n, F.lit("~"), (i + 1).cast("string"))).otherwise(n))
-    rows = rows.withColumn("shown", shown)
-    renamed = F.map_from_arrays(apart, F.map_values("own"))
-    return rows.select("artifact_id", "root_path", "idx", F.when(F.col("names").isNull(), F.transform_keys("own", lambda k, x: F.concat(F.lit("$"), k))).otherwise(renamed).alias("fields"))
+    rows = records.select("artifact_id", "root_path", "idx", "record").join(names.withColumnRenamed("root_key", "root_path"), ["artifact_id", "root_path"], "inner" if renamed_only else "left")
+    return rows.mapInArrow(_unify_batches, UNIFIED)

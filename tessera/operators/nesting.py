@@ -16,7 +16,7 @@ before; null parts of a record key are kept as nulls and equal each other.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,7 +47,7 @@ def parse(text: str | None, exact: bool = False) -> tuple[bool, object]:
         return False, None
 
 
-def unwrap(text: str, layers: int) -> tuple[object, int] | None:
+def unwrap(text: str, layers: int, parse: Callable[[str], tuple[bool, object]] = parse) -> tuple[object, int] | None:
     """The object or array held by a string and the string layers left, None if it holds neither."""
     value: object = text
     while layers and isinstance(value, str) and value.lstrip(" \t\r\n")[:1] in ("{", "[", '"'):

@@ -109,3 +109,28 @@ def test_unified_records(spark):
     assert got[("a5", 1)] is None and got[("a5", 2)] is None and got[("zz", 0)] == {"$['q z']": "1"}
     empty = [t.limit(0) for t in tables]
     assert unified_records(df, column_names(*empty)).count() == len(records)
+
+
+def test_unified_records_of_every_serialisation(spark):
+    from tessera.operators.drift import column_names, unified_records
+
+    a = [(f"a{i}", "u", "t", i, 1, D(2025, 1, 1), "x") for i in (1, 2)]
+    r = [(f"a{i}", "$", "exact", "complete") for i in (1, 2)]
+    f = [(f"a{i}", "$", path, '["string"]', None, None) for i, n in ((1, "name"), (2, "title")) for path in (f"$.{n}", f"$[*].{n}")]
+    f += [(f"a{i}", "$", "$[*]", '["object"]', None, None) for i in (1, 2)]
+    tables = spark.createDataFrame(a, ARTIFACTS), spark.createDataFrame(r, ROOTS), spark.createDataFrame(f, FIELDS)
+    texts = ['"{\\"title\\":\\"s\\"}"', '"[{\\"title\\":\\"t\\"}]"', '[{"title":"x"},[{"title":"y"}],7,"{\\"title\\":\\"z\\"}"]', "[]", '"text"', "{bad", '{"n":1.10,"o":"{\\"k\\":[]}","\u00e9":12345678901234567890123}']
+    df = spark.createDataFrame([("a2", "$", i, x) for i, x in enumerate(texts)], "artifact_id string, root_path string, idx int, record string")
+    got = {(r.idx, r.element): (r.fields, r.value) for r in unified_records(df, column_names(*tables)).collect()}
+    assert got == {
+        (0, None): ({"$.name": '"s"'}, None),
+        (1, "[0]"): ({"$[*].name": '"t"'}, None),
+        (2, "[0]"): ({"$[*].name": '"x"'}, None),
+        (2, "[1][0]"): ({"$[*][*].title": '"y"'}, None),
+        (2, "[2]"): (None, "7"),
+        (2, "[3]"): ({"$[*].name": '"z"'}, None),
+        (3, None): (None, "[]"),
+        (4, None): (None, '"text"'),
+        (5, None): (None, "{bad"),
+        (6, None): ({"$.n": "1.10", "$.o": '{"k":[]}', "$['\u00e9']": "12345678901234567890123"}, None),
+    }
