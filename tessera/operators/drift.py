@@ -14,20 +14,22 @@ no columns; a series of one profile has no changes.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from json.encoder import encode_basestring
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from tessera.operators.hierarchy import hierarchy
 from tessera.operators.nesting import STRING_LAYERS, _reject, _utf8, unwrap
-from tessera.operators.paths import name_step, normal_steps, show
+from tessera.operators.paths import bracket_name, name_step, normal_steps, show
 from tessera.operators.references import BLANKS
 from tessera.operators.series import as_of, with_previous
 from tessera.session import cut_lineage
@@ -222,7 +224,7 @@ SERIES = ["upstream_instance_id", "source_tool", "root_key"]
 
 
 def column_names(artifacts: DataFrame, roots: DataFrame, fields: DataFrame, changes: DataFrame | None = None) -> DataFrame:
-    """(artifact_id, root_key, names): for captures with renamed top-level fields (of records or of their elements) the name each is unified under.
+    """(artifact_id, root_key, names): for captures with renamed fields, at any depth, the path each is unified under.
 
     A field keeps the name it had before its first rename. A name that was given away by a rename and
     comes up again is another column and gets ``~n``, n being the number of times it was given away.
@@ -230,8 +232,7 @@ def column_names(artifacts: DataFrame, roots: DataFrame, fields: DataFrame, chan
     changes = schema_changes(artifacts, roots, fields) if changes is None else changes
     valid = F.struct("generation", "ingested_at")
     of = artifacts.where("artifact_id is not null").groupBy("artifact_id").agg(*[F.max_by(c, valid).alias(c) for c in ("upstream_instance_id", "source_tool", "created_seq")])
-    top = F.rlike("field_path", F.lit(r"^\$(?:\[\*\])*(\.[A-Za-z_]\w*|\['(?:[^'\\]|\\.)*'\])$"))
-    events = cut_lineage(changes.where((F.col("change") == "renamed") & top).join(of, "artifact_id").select(*SERIES, "created_seq", F.col("field_path").alias("new"), F.col("other_path").alias("old")))
+    events = cut_lineage(changes.where(F.col("change") == "renamed").join(of, "artifact_id").select(*SERIES, "created_seq", F.col("field_path").alias("new"), F.col("other_path").alias("old")))
     # each event's earlier event, the one that made the name it takes away; events are rare against rows
     made = events.select(*SERIES, F.col("new").alias("path"), (2 * F.col("created_seq")).alias("at"), F.concat_ws("\u0001", *SERIES, "created_seq", "new").alias("event"))
     asked = events.select(*SERIES, F.col("old").alias("path"), (2 * F.col("created_seq") - 1).alias("at"), F.lit(None).cast("string").alias("event"), "new", "old", "created_seq")
@@ -269,6 +270,50 @@ def normal_path(paths: pd.Series) -> pd.Series:
     return paths.map(lambda p: show(normal_steps(p)), na_action="ignore")
 
 
+_LAST = re.compile(r"(\.[A-Za-z_][A-Za-z0-9_]*|\['(?:[^'\\]|\\.)*'\])((?:~\d+)?)\Z", re.DOTALL)
+
+
+class Names:
+    """The unified paths of one capture, step by step from the top, so that what no rename is known of follows its parent."""
+
+    def __init__(self, names: dict[str, str] | None) -> None:
+        self.last = {own: m.group() for own, at in (names or {}).items() if (m := _LAST.search(own)) and (m := _LAST.search(at))}
+
+    def step(self, own: str, step: str) -> str:
+        """The unified last step of a path; elements keep their place."""
+        return self.last.get(own, step)
+
+    def unified(self, path: str) -> str:
+        own = at = "$"
+        for step in normal_steps(path):
+            own += step
+            at += self.step(own, step)
+        return at
+
+
+@F.pandas_udf(StringType())
+def unified_path(paths: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([Names(dict(n) if n is not None else None).unified(p) for p, n in zip(paths, names)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _types(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda r: sorted(type_set(r)))
+
+
+def mixed_columns(artifacts: DataFrame, fields: DataFrame, names: DataFrame) -> DataFrame:
+    """(artifact_id, root_key, mixed): the unified paths that have more than one type in the profiles of the capture's series."""
+    valid = F.struct("generation", "ingested_at")
+    of = artifacts.where("artifact_id is not null").groupBy("artifact_id").agg(*[F.max_by(c, valid).alias(c) for c in ("upstream_instance_id", "source_tool")])
+    own = fields.where("artifact_id is not null and root_key is not null and field_path is not null").select("artifact_id", "root_key", "field_path", "types").distinct()
+    # series keys in one struct, whose null parts equal each other
+    series = F.struct("upstream_instance_id", "source_tool", "root_key").alias("series")
+    paths = own.join(names, ["artifact_id", "root_key"], "left").join(of, "artifact_id").select(series, unified_path("field_path", "names").alias("path"), F.explode(_types("types")).alias("type"))
+    mixed = paths.groupBy("series", "path").agg(F.countDistinct("type").alias("n")).where("n > 1").groupBy("series").agg(F.collect_list("path").alias("mixed"))
+    captures = own.select("artifact_id", "root_key").distinct().join(of, "artifact_id").select("artifact_id", "root_key", series)
+    return captures.join(mixed, "series").select("artifact_id", "root_key", "mixed")
+
+
 UNIFIED = "artifact_id string, root_path string, idx int, element string, fields map<string,string>, value string"
 
 
@@ -289,8 +334,9 @@ def _parse(text: str) -> tuple[bool, object]:
 class Unifier:
     """Rows and unified names of the records of one capture."""
 
-    def __init__(self, names: dict[str, str]) -> None:
-        self.names = names
+    def __init__(self, names: dict[str, str] | None = None, mixed: list[str] | None = None) -> None:
+        self.names = Names(names)
+        self.mixed = frozenset(mixed or ())
 
     def rows(self, text: str | None) -> list[tuple]:
         """(element, fields, value) of a record: one row, or one for each element of an array."""
@@ -306,41 +352,56 @@ class Unifier:
         if type(value) is str and (held := unwrap(value, layers, _parse)):
             value, layers = held
         if type(value) is dict:
-            yield element, [(_utf8(at), _utf8(self._text(x, layers))) for at, x in self._members(value, path)], None
+            yield element, [(_utf8(path + step), _utf8(self._text(value[name], path + name_step(name), path + step, layers))) for name, step in self._members(value, path)], None
         elif type(value) is list and value:
             for i, x in enumerate(value):
                 yield from self._rows(x, f"{element or ''}[{i}]", path + "[*]", layers)
         else:
-            yield element, None, _utf8(self._text(value, layers))
+            yield element, None, _utf8(self._text(value, path, path, layers))
 
-    def _members(self, value: dict, path: str) -> list[tuple[str, object]]:
-        """The unified names of an object's members; known names come first, others that would share one are numbered."""
-        found, taken = {}, set()
+    def _members(self, value: dict, path: str) -> list[tuple[str, str]]:
+        """(name, unified step) of an object's members; known names come first, others that would share one are numbered."""
         order = sorted(value)
+        if not self.names.last:
+            return [(name, name_step(name)) for name in order]
+        found, taken = {}, set()
         for known in (True, False):
             for i, name in enumerate(order):
-                own = path + name_step(name)
-                if (own in self.names) is known:
-                    at, n = self.names.get(own, own), i + 1
-                    shown = at
+                own = name_step(name)
+                if (path + own in self.names.last) is known:
+                    step, n = self.names.step(path + own, own), i + 1
+                    shown = step
                     while shown in taken:
-                        shown, n = f"{at}~{n}", n + 1
+                        shown, n = f"{step}~{n}", n + 1
                     taken.add(shown)
                     found[name] = shown
-        return [(found[name], value[name]) for name in order]
+        return [(name, found[name]) for name in order]
 
-    def _text(self, value: object, layers: int) -> str:
-        """JSON text of a value, strings that hold an object or array as what they hold."""
+    def _text(self, value: object, own: str, at: str, layers: int) -> str:
+        """JSON text of a value at its own and its unified path, strings that hold an object or array as what they hold."""
         kind = type(value)
         if kind is str:
-            if layers and value[:1] in ("{", "[", '"', " ", "\t", "\r", "\n") and (held := unwrap(value, layers, _parse)):
-                return self._text(*held)
-            return encode_basestring(value)
+            if not (layers and value[:1] in ("{", "[", '"', " ", "\t", "\r", "\n") and (held := unwrap(value, layers, _parse))):
+                return encode_basestring(value)
+            value, layers = held
+            kind = type(value)
         if kind is dict:
-            return "{" + ",".join([f"{encode_basestring(k)}:{self._text(value[k], layers)}" for k in sorted(value)]) + "}"
-        if kind is list:
-            return "[" + ",".join([self._text(x, layers) for x in value]) + "]"
-        return str(value) if kind is _Number else "null" if value is None else "true" if value else "false"
+            members = self._members(value, own)
+            text = "{" + ",".join([f"{encode_basestring(_key(s))}:{self._text(value[k], own + name_step(k), at + s, layers)}" for k, s in members]) + "}"
+        elif kind is list:
+            text = "[" + ",".join([self._text(x, own + "[*]", at + "[*]", layers) for x in value]) + "]"
+        elif value is None:
+            return "null"
+        else:
+            text = str(value) if kind is _Number else "true" if value else "false"
+        return encode_basestring(text) if at in self.mixed else text
+
+
+@lru_cache(maxsize=100_000)
+def _key(step: str) -> str:
+    """The field name of a step, with its number if it has one."""
+    base, mark = _LAST.match(step).groups()
+    return (base[1:] if base[0] == "." else bracket_name(base[2:-2])) + mark
 
 
 def _unify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +413,7 @@ def _unify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         keys = zip(batch.column("artifact_id").to_pylist(), batch.column("root_path").to_pylist())
         for i, (key, text) in enumerate(zip(keys, batch.column("record").to_pylist())):
             if key not in captures:
-                captures[key] = Unifier(dict(batch.column("names")[i].as_py() or ()))
+                captures[key] = Unifier(dict(batch.column("names")[i].as_py() or ()), batch.column("mixed")[i].as_py())
             found = captures[key].rows(text)
             origin.extend([i] * len(found))
             rows.extend(found)
@@ -362,14 +423,18 @@ def _unify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays(out, schema=schema)
 
 
-def unified_records(records: DataFrame, names: DataFrame, renamed_only: bool = False) -> DataFrame:
+def unified_records(records: DataFrame, names: DataFrame, renamed_only: bool = False, mixed: DataFrame | None = None) -> DataFrame:
     """(artifact_id, root_path, idx, element, fields, value): every record as a map from unified top-level names to JSON text.
 
     Strings that hold an object or array count as it, like in ``nesting``. A record that is an array has
     a row for each element, ``element`` being its position (``[0]``), with the names the profile has for
     them (``$[*].a``). What is no object has its JSON text in ``value`` instead of fields, a record that
-    is no valid JSON its own text. A record's own names stay where no rename is known; of fields that
-    would share a name those no rename is known of are numbered.
+    is no valid JSON its own text. Names inside objects and arrays are unified like those at the top. A
+    record's own names stay where no rename is known; of fields that would share a name those no rename
+    is known of are numbered. Columns that are ``mixed`` (see ``mixed_columns``) have one type: strings,
+    numbers and booleans as they are written, objects and arrays as JSON text.
     """
     rows = records.select("artifact_id", "root_path", "idx", "record").join(names.withColumnRenamed("root_key", "root_path"), ["artifact_id", "root_path"], "inner" if renamed_only else "left")
+    none = F.lit(None).cast("array<string>")
+    rows = rows.withColumn("mixed", none) if mixed is None else rows.join(mixed.withColumnRenamed("root_key", "root_path"), ["artifact_id", "root_path"], "left")
     return rows.mapInArrow(_unify_batches, UNIFIED)

@@ -25,6 +25,11 @@ def name_step(name: str) -> str:
     return f".{name}" if _IDENT.match(name) else f"['{name.translate(_ESCAPE)}']"
 
 
+def bracket_name(raw: str) -> str:
+    """The name written between the quotes of a bracket."""
+    return re.sub(r"\\(.)", lambda e: _UNESCAPE.get(e[1], e[1]), raw, flags=re.DOTALL)
+
+
 @lru_cache(maxsize=200_000)
 def normal_steps(path: str) -> tuple[str, ...]:
     """The steps of a path in normal form; text that is no path is kept as one step."""
@@ -45,7 +50,7 @@ def normal_steps(path: str) -> tuple[str, ...]:
             steps.append(f"[{int(m['pos'])}]")
         else:
             raw = m["single"] if m["single"] is not None else m["double"]
-            steps.append(name_step(re.sub(r"\\(.)", lambda e: _UNESCAPE.get(e[1], e[1]), raw, flags=re.DOTALL)))
+            steps.append(name_step(bracket_name(raw)))
         at = m.end()
     return tuple(steps)
 

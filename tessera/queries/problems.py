@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import drift, hierarchy, nesting, references
 from tessera.operators.references import Reference, Target, composed, normal_hash
-from tessera.session import table
+from tessera.session import cut_lineage, table
 
 VALID_BY = ("generation", "ingested_at")
 
@@ -41,9 +41,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records as one table whose columns go by one name through all renames."""
-    tables = [table(spark, sf_dir, n) for n in ("artifacts", "artifact_schema_roots", "artifact_schema_fields")]
-    return drift.unified_records(table(spark, sf_dir, "artifact_records"), drift.column_names(*tables))
+    """All records as one table whose columns go by one name, at every depth, and have one type through all changes."""
+    tables = artifacts, _, fields = [table(spark, sf_dir, n) for n in ("artifacts", "artifact_schema_roots", "artifact_schema_fields")]
+    names = cut_lineage(drift.column_names(*tables))
+    return drift.unified_records(table(spark, sf_dir, "artifact_records"), names, mixed=drift.mixed_columns(artifacts, fields, names))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

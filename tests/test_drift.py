@@ -134,3 +134,26 @@ def test_unified_records_of_every_serialisation(spark):
         (5, None): (None, "{bad"),
         (6, None): ({"$.n": "1.10", "$.o": '{"k":[]}', "$['\u00e9']": "12345678901234567890123"}, None),
     }
+
+
+def test_unified_records_at_every_depth(spark):
+    from tessera.operators.drift import column_names, mixed_columns, unified_records
+
+    a = [(f"a{i}", "u", "t", i, 1, D(2025, 1, 1), "x") for i in (1, 2, 3)]
+    r = [(f"a{i}", "$", "exact", "complete") for i in (1, 2, 3)]
+    o, s, n, l = '["object"]', '["string"]', '["number"]', '["array"]'
+    columns = {
+        1: {"$.a": o, "$.a.x": s, "$.a.k": n, "$.l": l, "$.l[*]": o, "$.l[*].y": s, "$.v": n},
+        2: {"$.a": o, "$.a.z": s, "$.a.k": n, "$.l": l, "$.l[*]": o, "$.l[*]['w w']": s, "$.v": s},  # renamed inside
+        3: {"$.b": o, "$.b.z": s, "$.b.k": n, "$.b.new": s, "$.l": l, "$.l[*]": o, "$.l[*]['w w']": s, "$.v": s},  # then the object around
+    }
+    f = [(f"a{i}", "$", p, t, None, None) for i, own in columns.items() for p, t in own.items()]
+    artifacts, roots, fields = spark.createDataFrame(a, ARTIFACTS), spark.createDataFrame(r, ROOTS), spark.createDataFrame(f, FIELDS)
+    texts = ['{"a":{"x":"1","k":2},"l":[{"y":"p"}],"v":3}', '{"a":{"z":"1","k":2},"l":[{"w w":"p"}],"v":"3"}', '{"b":{"z":"1","k":2,"new":"n"},"l":"[{\\"w w\\":\\"p\\"}]","v":{"q":null}}']
+    df = spark.createDataFrame([(f"a{i + 1}", "$", 0, x) for i, x in enumerate(texts)], "artifact_id string, root_path string, idx int, record string")
+    names = column_names(artifacts, roots, fields)
+    got = {r.artifact_id: r.fields for r in unified_records(df, names, mixed=mixed_columns(artifacts, fields, names)).collect()}
+    same = {"$.a": '{"k":2,"x":"1"}', "$.l": '[{"y":"p"}]', "$.v": '"3"'}
+    assert got["a1"] == got["a2"] == same
+    assert {k: v for k, v in got["a3"].items() if k == "$.l"} == {"$.l": '[{"y":"p"}]'}
+    assert got["a3"]["$.a"] == '{"k":2,"new":"n","x":"1"}' and got["a3"]["$.v"] == '"{\\"q\\":null}"'
