@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import TYPE_ORDER, path_step, truncated
 from tessera.functions.variants import elements, members, text_of, type_name
+from tessera.operators.nesting import _utf8, parse
+from tessera.operators.paths import name_step
 from tessera.session import cut_lineage
 
 FIELDS_TOP_LIMIT = 50
 
 
-def nodes(records: DataFrame, keys: list[str], value: str = "v", max_depth: int = 64) -> DataFrame:
+def nodes(records: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """(keys, path, kind, x): every value of every record below its root, positions left out.
 
     One level of the tree a round, as deep as the deepest record; scalars leave the loop at once. Each
@@ -22,7 +26,7 @@ def nodes(records: DataFrame, keys: list[str], value: str = "v", max_depth: int
     """
     frontier = records.select(*keys, F.lit("$").alias("path"), F.col(value).alias("x")).withColumn("kind", type_name(F.col("x")))
     levels = []
-    for _ in range(max_depth):
+    while True:
         inner = frontier.where(F.col("kind").isin("object", "array"))
         if not inner.limit(1).count():
             break
@@ -46,6 +50,79 @@ def path_profile(records: DataFrame, keys: list[str], group: list[str], value: s
     return merged.join(totals, group).select(*group, "path", types.alias("types"), "observed", F.array_contains("kinds", "null").alias("nullable"), (F.col("observed") == F.col("total")).alias("required"), truncated(F.col("example")).alias("example"))
 
 
+_KINDS = {type(None): 1, bool: 2, int: 4, float: 4, str: 8, list: 16, dict: 32}  # bits in the order of TYPE_ORDER
+_MOST_PATHS = 100_000  # counts a task holds before it passes them on
+
+
+def _paths(text: str) -> dict[str, int] | None:
+    """The paths below a record's root with the kinds they have, None if it is no valid JSON."""
+    ok, value = parse(text)
+    if not ok:
+        return None
+    found: dict[str, int] = {}
+    left = [("$", value)]
+    while left:
+        path, x = left.pop()
+        inner = [(path + name_step(k), v) for k, v in x.items()] if type(x) is dict else [(path + "[*]", v) for v in x] if type(x) is list else ()
+        for at, v in inner:
+            found[at] = found.get(at, 0) | _KINDS[type(v)]
+            if type(v) is dict or type(v) is list:
+                left.append((at, v))
+    return found
+
+
+def _count_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("root_path", pa.string()), ("path", pa.string()), ("kinds", pa.int32()), ("n", pa.int64())])
+    counts: dict[tuple, list[int]] = {}
+    key: tuple | None = None
+    record: dict[str, int] | None = None  # of all rows of one key
+
+    def close() -> None:
+        if record is not None:
+            for path, kinds in [("", 0), *record.items()]:
+                own = counts.setdefault((key[1], path), [0, 0])
+                own[0] |= kinds
+                own[1] += 1
+
+    def flush() -> pa.RecordBatch:
+        rows = [(r, _utf8(p), k, n) for (r, p), (k, n) in counts.items()]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    for batch in batches:
+        keys = zip(*[batch.column(c).to_pylist() for c in ("artifact_id", "root_path", "idx")])
+        for own, text in zip(keys, batch.column("record").to_pylist()):
+            if own != key:
+                close()
+                key, record = own, None
+            found = _paths(text)
+            if found is not None:
+                record = found if record is None else {p: record.get(p, 0) | found.get(p, 0) for p in record | found}
+        if len(counts) > _MOST_PATHS:
+            yield flush()
+    close()
+    yield flush()
+
+
+def record_profile(records: DataFrame) -> DataFrame:
+    """Per root_path and path: types, records that have it, nullable, required.
+
+    A record is what has one (artifact_id, root_path, idx), null parts equal each other; rows that repeat
+    a key count once, with all their paths. Null records and texts that are no valid JSON count as none.
+    Each task adds up its own records, so only counts are shuffled; there is no limit of depth but the
+    parser's.
+    """
+    key = ["artifact_id", "root_path", "idx"]
+    rows = records.where("record is not null").select(*key, "record").repartition(*key).sortWithinPartitions(*key)
+    counts = rows.mapInArrow(_count_paths, "root_path string, path string, kinds int, n bigint")
+    counts = counts.groupBy("root_path", "path").agg(F.bit_or("kinds").alias("kinds"), F.sum("n").alias("observed"))
+    totals = counts.where("path = ''").select(F.col("root_path").alias("of"), F.col("observed").alias("total"))
+    out = counts.where("path <> ''").join(totals, F.col("root_path").eqNullSafe(F.col("of")))
+    kind = lambda i: F.col("kinds").bitwiseAND(1 << i) != 0
+    types = F.filter(F.array(*[F.when(kind(i), t) for i, t in enumerate(TYPE_ORDER)]), lambda t: t.isNotNull())
+    return out.select("root_path", "path", types.alias("types"), "observed", kind(0).alias("nullable"), (F.col("observed") == F.col("total")).alias("required"))
+
+
 def fields_top(records: DataFrame, group: list[str], index: str = "idx", value: str = "v", limit: int = FIELDS_TOP_LIMIT) -> DataFrame:
     """Per group, top-level field and type: how many of the first records have it."""
     first = records.where(F.col(index) < limit)

@@ -42,11 +42,17 @@ def a6_inventory(spark: SparkSession, sf: str) -> DataFrame:
     select root_path, path, count(distinct record)::bigint observed, bool_or(type = 'NULL') nullable, count(distinct record) = any_value(total) required from q join total using (root_path) group by 1, 2""",
 )
 def a7_path_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Every path of the records below named roots, with how many records have it (M3)."""
+    """Every path of the records below named roots, with how many different texts have it (M3); ``a7_record_profile`` is of all records."""
     rows = table(spark, sf, "artifact_records").where("root_path <> '$'").select("root_path", "record").distinct().select("root_path", "record", once(F.try_parse_json("record")).alias("v")).where("v is not null")
     return profile.path_profile(rows, ["root_path", "record"], ["root_path"]).select("root_path", "path", "observed", "nullable", "required")
 
 
+@R("a7_record_profile")
+def a7_record_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Every path of the records of every root, ``$`` too, with how many records have it (M3)."""
+    return profile.record_profile(table(spark, sf, "artifact_records"))
+
+
 @R("m13_schema_hash", "with f as (select distinct artifact_id, root_key, field_path, types from artifact_schema_fields where types is not null) select artifact_id, root_key, 'sha256:' || sha256('[' || string_agg('{\"path\":' || to_json(field_path) || ',\"types\":' || to_json(types) || '}', ',' order by '{\"path\":' || to_json(field_path) || ',\"types\":' || to_json(types) || '}') || ']') schema_hash from f group by 1, 2")
 def m13_schema_hash(spark: SparkSession, sf: str) -> DataFrame:
     return profile.schema_hash(table(spark, sf, "artifact_schema_fields").where("types is not null"), ["artifact_id", "root_key"], "field_path", "types")

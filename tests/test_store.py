@@ -201,3 +201,18 @@ def test_partial_mapping(spark):
     one = {r.k: (r.elements, r.complete, [tuple(s) for s in r.starts]) for r in collapsed(roots, "k").collect()}
     assert one["b"] == (1, True, [("$.x.items", 0), ("$.y", 1)]) and one["c"][1] is False
     assert map_payloads(df.limit(0), "k", "t").collect() == []
+
+
+def test_record_profile_of_all_records(spark):
+    deep = '{"d":' * 100 + "1" + "}" * 100
+    rows = [("a", "$", 0, '{"x":1}'), ("a", "$", 1, '{"x":1}'), ("b", "$", 0, '{"x":null,"l":[{"k":"s"},2]}'), ("b", "$", 0, '{"x":2,"q z":true}'), ("b", "$", 1, "{bad"), ("b", "$", 2, None), ("c", "$.r", 0, deep), (None, None, None, '{"x":"t"}'), (None, None, None, '{"x":"t"}')]
+    got = {(r.root_path, r.path): (r.types, r.observed, r.nullable, r.required) for r in profile.record_profile(spark.createDataFrame(rows, "artifact_id string, root_path string, idx int, record string")).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "$.r"} == {
+        ("$", "$.x"): (["null", "number"], 3, True, True),
+        ("$", "$.l"): (["array"], 1, False, False),
+        ("$", "$.l[*]"): (["number", "object"], 1, False, False),
+        ("$", "$.l[*].k"): (["string"], 1, False, False),
+        ("$", "$['q z']"): (["boolean"], 1, False, False),
+        (None, "$.x"): (["string"], 1, False, True),
+    }
+    assert got["$.r", "$" + ".d" * 100] == (["number"], 1, False, True) and sum(k[0] == "$.r" for k in got) == 100
