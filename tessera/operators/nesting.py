@@ -18,11 +18,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tessera.operators.paths import name_step
+from tessera.operators.paths import name_step, normal_steps, show
 
 STRING_LAYERS = 3
 _NULL, _BOOL, _NUMBER, _TEXT = 1, 2, 3, 4
@@ -212,6 +214,30 @@ def nested_objects(records: DataFrame, keys: tuple[str, ...] = ("artifact_id", "
     return rows.mapInArrow(_flatten(list(keys), with_fields, schema), ", ".join(ddl))
 
 
+_PATH = StructType([StructField(c, StringType()) for c in ("node_path", "parent_path", "field")])
+
+
+@F.pandas_udf(_PATH)
+def _nested_path(paths: pd.Series) -> pd.DataFrame:
+    rows = []
+    for path in paths:
+        steps = normal_steps(path)
+        # an element belongs to the object around its array
+        inner = max((i + 1 for i, s in enumerate(steps[:-1]) if s == "[*]"), default=0)
+        rows.append((show(steps), show(steps[:inner]), "".join(steps[inner:])))
+    return pd.DataFrame(rows, columns=["node_path", "parent_path", "field"])
+
+
+def nested_paths(fields: DataFrame, keys: tuple[str, ...], path: str) -> DataFrame:
+    """(keys, node_path, parent_path, field): every path in normal form, the path of the object it belongs to and what is left below it.
+
+    Like objects, paths belong to the innermost array element around them, or to the root ``$``. Both
+    notations of a path are one row; null paths are none.
+    """
+    own = fields.where(F.col(path).isNotNull()).select(*keys, path).distinct()
+    return own.select(*keys, _nested_path(path).alias("p")).select(*keys, "p.*").distinct()
+
+
 def subtype_catalog(objects: DataFrame) -> DataFrame:
     """One row per subtype table: place (supertype), variant, its field names and its number of rows."""
     names = F.array_sort(F.map_keys("fields"))

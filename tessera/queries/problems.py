@@ -57,6 +57,23 @@ def p3_subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nesting.subtype_catalog(nesting.nested_objects(table(spark, sf_dir, "artifact_records"), with_fields=True))
 
 
+def p3_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the subtype tables: every object in an array of a record with place, variant, scalar fields and parent link."""
+    found = nesting.nested_objects(table(spark, sf_dir, "artifact_records"), with_fields=True)
+    return found.select("place", "variant", "artifact_id", "root_path", "idx", "node_path", "parent_path", "fields")
+
+
+def p3_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every object in an array of an envelope."""
+    found = nesting.nested_objects(table(spark, sf_dir, "payload_blobs"), ("payload_hash_full",), "envelope", with_fields=True)
+    return found.select("place", "variant", "payload_hash_full", "node_path", "parent_path", "fields")
+
+
+def p3_field_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field path of a profile as a field of the object it belongs to, which is the root or an array's element."""
+    return nesting.nested_paths(table(spark, sf_dir, "artifact_schema_fields"), ("artifact_id", "root_key"), "field_path")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root, depth, number of descendants and state of every artifact."""
     found = hierarchy.hierarchy(table(spark, sf_dir, "artifacts"), "artifact_id", "parent_artifact_id", VALID_BY)
@@ -69,7 +86,7 @@ def p4_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id").alias("artifact_id"), "ancestor_id", "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p2_unified, p3_found, p3_subtypes, p4_found, p4_ancestors)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p2_unified, p3_found, p3_subtypes, p3_objects, p3_envelopes, p3_field_paths, p4_found, p4_ancestors)}
 
 _P1 = """
 with h as (select artifact_id, regexp_replace(lower(trim(payload_hash_full, e' \\t\\r\\n')), '^sha256:', '') k, ingested_at from artifacts where artifact_id is not null and payload_hash_full is not null),

@@ -84,3 +84,26 @@ def test_variants_and_typed_tables(spark):
     assert {(r.place, r.scalar_fields, r.n) for r in catalog} == {("$.lines[*]", "qty,sku", 6), ("$.lines[*]", "sku", 3)}
     typed = subtype_table(objects, "$.lines[*]", {"sku": "string", "qty": "double"})
     assert {(r.node_path, r.sku, r.qty) for r in typed.where("idx = 2").collect()} == {("$.lines[0]", "s", 2.0), ("$.lines[1]", "t", 2.0), ("$.lines[2]", "u", None)}
+
+
+def test_problem_3_over_its_other_tables(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    inner = '{"content":[{"type":"json","value":{"rows":[{"n":1},{"n":2}]}}]}'
+    spark.createDataFrame([("h1", inner), ("h1", inner), ("h2", None), ("h3", "{bad")], "payload_hash_full string, envelope string").write.parquet(f"{tmp_path}/payload_blobs.parquet")
+    spark.createDataFrame([("a", "$", 0, '{"l":[{"n":1,"m":[{"k":"s"}]}]}')], "artifact_id string, root_path string, idx int, record string").write.parquet(f"{tmp_path}/artifact_records.parquet")
+    paths = ["$.a", "$['a']", "$.l", "$.l[*]", "$.l[*].m", "$.l[*].m[*]", "$['l'][*].m[*].k.z", None]
+    spark.createDataFrame([("a", "$", p) for p in paths], "artifact_id string, root_key string, field_path string").write.parquet(f"{tmp_path}/artifact_schema_fields.parquet")
+    got = lambda name, *c: sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).select(*c).collect())
+    at = "$.content[0].value.rows"
+    assert got("p3_envelopes", "payload_hash_full", "node_path", "parent_path", "place") == [("h1", "$.content[0]", "$", "$.content[*]"), ("h1", f"{at}[0]", "$.content[0]", "$.content[*].value.rows[*]"), ("h1", f"{at}[1]", "$.content[0]", "$.content[*].value.rows[*]")]
+    objects = {r.node_path: (r.parent_path, r.place, r.fields) for r in entry.queries()["p3_objects"](spark, str(tmp_path)).collect()}
+    assert objects == {"$.l[0]": ("$", "$.l[*]", {"n": "1.0"}), "$.l[0].m[0]": ("$.l[0]", "$.l[*].m[*]", {"k": "s"})}
+    assert got("p3_field_paths", "node_path", "parent_path", "field") == [
+        ("$.a", "$", ".a"),
+        ("$.l", "$", ".l"),
+        ("$.l[*]", "$", ".l[*]"),
+        ("$.l[*].m", "$.l[*]", ".m"),
+        ("$.l[*].m[*]", "$.l[*]", ".m[*]"),
+        ("$.l[*].m[*].k.z", "$.l[*].m[*]", ".k.z"),
+    ]
