@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import drift, hierarchy, nesting, references
 from tessera.operators.references import Reference, Target, composed, normal_hash
+from tessera.queries import nesting_sql
 from tessera.session import cut_lineage, table
 
 VALID_BY = ("generation", "ingested_at")
@@ -52,23 +53,71 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nesting.nested_objects(table(spark, sf_dir, "artifact_records")).select("artifact_id", "root_path", "idx", "node_path", "parent_path")
 
 
+def _record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nesting.flat_rows(table(spark, sf_dir, "artifact_records"))
+
+
 def p3_subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog of subtype tables: supertype, variant, scalar fields, rows."""
-    return nesting.subtype_catalog(nesting.nested_objects(table(spark, sf_dir, "artifact_records"), with_fields=True))
+    """The catalog of subtype tables: supertype, variant, fields, rows."""
+    return nesting.subtype_catalog(_record_rows(spark, sf_dir))
+
+
+def p3_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of every supertype's table with the type that holds all their values."""
+    return nesting.column_types(_record_rows(spark, sf_dir), by=("place",))
+
+
+def p3_variant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of every subtype table with their types."""
+    return nesting.column_types(_record_rows(spark, sf_dir))
 
 
 def p3_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the subtype tables: every object in an array of a record with place, variant, scalar fields and parent link."""
-    found = nesting.nested_objects(table(spark, sf_dir, "artifact_records"), with_fields=True)
-    return found.select("place", "variant", "artifact_id", "root_path", "idx", "node_path", "parent_path", "fields")
+    """The rows of the subtype tables: every record, object in an array and other element with place, variant, fields and parent link."""
+    return _record_rows(spark, sf_dir).select("place", "variant", "artifact_id", "root_path", "idx", "node_path", "parent_path", "fields")
+
+
+def p3_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of every record at its row and field; numbers as numbers, whatever else as text."""
+    cells = nesting.cells(_record_rows(spark, sf_dir))
+    number = F.col("kind").isin("integer", "number")
+    kind = F.when(number, "number").otherwise(F.col("kind"))
+    return cells.select("artifact_id", "root_path", "idx", "node_path", "parent_path", "place", "field", kind.alias("kind"), F.when(~number, F.col("value")).alias("text"), F.when(number, F.expr("try_cast(value as double)")).alias("number"))
+
+
+def _typed(rows: DataFrame, place: str, fields: dict[str, str] | None = None) -> DataFrame:
+    found = nesting.subtype_table(rows, place, fields).drop("variant")
+    return found.toDF(*[c.replace(".", "_") for c in found.columns])
+
+
+def p3_table_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of one supertype: releases of repositories, linked to their record."""
+    return _typed(_record_rows(spark, sf_dir), "$.releases[*]", {"tag": "string", "assets": "string"})
+
+
+def p3_table_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of the assets of releases, linked to their release."""
+    return _typed(_record_rows(spark, sf_dir), "$.releases[*].assets[*]")
+
+
+def p3_table_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of the elements of an array of numbers."""
+    return _typed(_record_rows(spark, sf_dir), "$.geometry.coordinates[*]")
 
 
 def p3_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every object in an array of an envelope."""
-    found = nesting.nested_objects(table(spark, sf_dir, "payload_blobs"), ("payload_hash_full",), "envelope", with_fields=True)
+    """The rows of the subtype tables of envelopes."""
+    found = nesting.flat_rows(table(spark, sf_dir, "payload_blobs"), ("payload_hash_full",), "envelope")
     return found.select("place", "variant", "payload_hash_full", "node_path", "parent_path", "fields")
 
 
+def p3_envelope_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of each kind every field of the envelopes' tables has."""
+    found = nesting.cells(nesting.flat_rows(table(spark, sf_dir, "payload_blobs"), ("payload_hash_full",), "envelope"))
+    kind = F.when(F.col("kind") == "integer", "number").otherwise(F.col("kind"))
+    return found.groupBy("place", "field", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def p3_field_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field path of a profile as a field of the object it belongs to, which is the root or an array's element."""
     return nesting.nested_paths(table(spark, sf_dir, "artifact_schema_fields"), ("artifact_id", "root_key"), "field_path")
@@ -86,7 +135,7 @@ def p4_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id").alias("artifact_id"), "ancestor_id", "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p2_unified, p3_found, p3_subtypes, p3_objects, p3_envelopes, p3_field_paths, p4_found, p4_ancestors)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p2_unified, p3_found, p3_subtypes, p3_columns, p3_variant_columns, p3_objects, p3_cells, p3_table_releases, p3_table_assets, p3_table_coordinates, p3_envelopes, p3_envelope_cells, p3_field_paths, p4_found, p4_ancestors)}
 
 _P1 = """
 with h as (select artifact_id, regexp_replace(lower(trim(payload_hash_full, e' \\t\\r\\n')), '^sha256:', '') k, ingested_at from artifacts where artifact_id is not null and payload_hash_full is not null),
@@ -119,7 +168,7 @@ up(k, a, d) as (select v.k, v.p, 1 from v where exists (select 1 from v w where
 pairs as (select k, a, min(d) d from up group by 1, 2)
 """
 
-ORACLE = {
+ORACLE = nesting_sql.ORACLE | {
     "p1_found": _P1 + "select * from found where reason is not null",
     "p1_by_period": _P1 + "select ref_table, reason, period, count(*)::bigint n from found where reason is not null group by 1, 2, 3",
     "p4_ancestors": _P4 + "select x.id artifact_id, y.id ancestor_id, d::bigint distance from pairs join v x using (k) join v y on y.k = pairs.a",
