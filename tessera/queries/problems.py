@@ -129,13 +129,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("artifact_id"), "root_id", "depth", "n_desc", "state")
 
 
+def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every artifact's path from its root, or from the first member of a cycle, down to it."""
+    return hierarchy.paths(table(spark, sf_dir, "artifacts"), "artifact_id", "parent_artifact_id", VALID_BY).withColumnRenamed("id", "artifact_id")
+
+
 def p4_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every artifact with each artifact it reaches by going up; read the other way round, its descendants."""
     pairs = hierarchy.ancestor_pairs(table(spark, sf_dir, "artifacts"), "artifact_id", "parent_artifact_id", VALID_BY)
     return pairs.select(F.col("id").alias("artifact_id"), "ancestor_id", "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p2_unified, p3_found, p3_subtypes, p3_columns, p3_variant_columns, p3_objects, p3_cells, p3_table_releases, p3_table_assets, p3_table_coordinates, p3_envelopes, p3_envelope_cells, p3_field_paths, p4_found, p4_ancestors)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p2_unified, p3_found, p3_subtypes, p3_columns, p3_variant_columns, p3_objects, p3_cells, p3_table_releases, p3_table_assets, p3_table_coordinates, p3_envelopes, p3_envelope_cells, p3_field_paths, p4_found, p4_paths, p4_ancestors)}
 
 _P1 = """
 with h as (select artifact_id, regexp_replace(lower(trim(payload_hash_full, e' \\t\\r\\n')), '^sha256:', '') k, ingested_at from artifacts where artifact_id is not null and payload_hash_full is not null),
@@ -165,24 +170,26 @@ with recursive v as (select artifact_id id, lower(trim(artifact_id)) k, nullif(l
   from (select *, row_number() over (partition by artifact_id order by generation desc, ingested_at desc) n from artifacts) where n = 1),
 up(k, a, d) as (select v.k, v.p, 1 from v where exists (select 1 from v w where w.k = v.p)
   union select up.k, v.p, d + 1 from up join v on v.k = up.a where exists (select 1 from v w where w.k = v.p) and d < 400),
-pairs as (select k, a, min(d) d from up group by 1, 2)
-"""
-
-ORACLE = nesting_sql.ORACLE | {
-    "p1_found": _P1 + "select * from found where reason is not null",
-    "p1_by_period": _P1 + "select ref_table, reason, period, count(*)::bigint n from found where reason is not null group by 1, 2, 3",
-    "p4_ancestors": _P4 + "select x.id artifact_id, y.id ancestor_id, d::bigint distance from pairs join v x using (k) join v y on y.k = pairs.a",
-    "p4_found": _P4
-    + """, cyc as (select k from pairs where k = a),
+pairs as (select k, a, min(d) d from up group by 1, 2), cyc as (select k from pairs where k = a),
 ends as (select v.k, v.id, v.p, (select count(*) from pairs where pairs.a = v.k and pairs.k <> v.k) n_desc, v.k in (select k from cyc) c from v),
 far as (select k, max(d) d from pairs group by 1),
-first as (select pairs.k, min(d) d from pairs join cyc on cyc.k = pairs.a group by 1)
-select e.id artifact_id,
+first as (select pairs.k, min(d) d from pairs join cyc on cyc.k = pairs.a group by 1),
+found as (select e.id artifact_id,
   case when e.c then (select min(y.id) from pairs q join v y on y.k = q.a where q.k = e.k)
        when f.k is not null then (select min(z.id) from pairs q join cyc on cyc.k = q.a join v z on z.k = q.a where q.k = e.k)
        when far.k is null then e.id else (select y.id from pairs q join v y on y.k = q.a where q.k = e.k and q.d = far.d) end root_id,
   (case when e.c then 0 when f.k is not null then f.d else coalesce(far.d, 0) end)::bigint depth, e.n_desc::bigint n_desc,
   case when e.c then 'cycle' when f.k is not null then 'below_cycle'
        when (select y.p from v y where y.k = coalesce((select q.a from pairs q where q.k = e.k and q.d = far.d), e.k)) is null then 'tree' else 'dangling' end state
-from ends e left join far on far.k = e.k left join first f on f.k = e.k""",
+from ends e left join far on far.k = e.k left join first f on f.k = e.k)
+"""
+
+ORACLE = nesting_sql.ORACLE | {
+    "p1_found": _P1 + "select * from found where reason is not null",
+    "p1_by_period": _P1 + "select ref_table, reason, period, count(*)::bigint n from found where reason is not null group by 1, 2, 3",
+    "p4_ancestors": _P4 + "select x.id artifact_id, y.id ancestor_id, d::bigint distance from pairs join v x using (k) join v y on y.k = pairs.a",
+    "p4_found": _P4 + "select * from found",
+    "p4_paths": _P4
+    + """select f.*, list_append(coalesce(o.path, []), f.artifact_id) path from found f left join
+(select x.id, list(y.id order by d desc) path from found g join v x on x.id = g.artifact_id join pairs on pairs.k = x.k join v y on y.k = pairs.a where d <= g.depth group by 1) o on o.id = f.artifact_id""",
 }

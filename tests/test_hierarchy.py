@@ -1,6 +1,6 @@
 import random
 
-from tessera.operators.hierarchy import ancestor_pairs, hierarchy
+from tessera.operators.hierarchy import ancestor_pairs, hierarchy, paths
 
 ROWS = "node string, parent string, gen int, root_id string, k string"
 
@@ -28,13 +28,27 @@ def brute(links):
     return {up[n][0]: (root, depth, len(reach[n]), state) for n, (root, depth, state) in out.items()}, {(up[n][0], up[a][0]) for a in up for n in reach[a]}
 
 
-def check(spark, links, extra=()):
+def check(spark, links, extra=(), cores=(0, 8192)):
     df = spark.createDataFrame([(n, p, 2, "clash", "clash") for n, p in links.items()] + list(extra), ROWS)
     expected, pairs = brute(links)
-    got = {r.id: (r.root_id, r.depth, r.n_desc, r.state) for r in hierarchy(df, "node", "parent", ("gen",)).collect()}
-    assert got == expected
-    above = ancestor_pairs(df, "node", "parent", ("gen",)).collect()
-    assert {(r.id, r.ancestor_id) for r in above if r.id != r.ancestor_id} == pairs
+    up = {n.strip().lower(): (n, (p or "").strip().lower()) for n, p in links.items()}
+    for core in cores:  # 0: all in rounds, without the one task at the end
+        if core:  # the same rounds without paths
+            got = {r.id: (r.root_id, r.depth, r.n_desc, r.state) for r in hierarchy(df, "node", "parent", ("gen",), core=core).collect()}
+            assert got == expected
+        for r in paths(df, "node", "parent", ("gen",), core=core).collect():
+            own = [r.id]
+            while len(own) <= r.depth:
+                own.insert(0, up[up[own[0].strip().lower()][1]][0])
+            assert (r.root_id, r.depth, r.n_desc, r.state) == expected[r.id] and r.path == own, core
+        above = ancestor_pairs(df, "node", "parent", ("gen",), core=core).collect()
+        assert {(r.id, r.ancestor_id) for r in above if r.id != r.ancestor_id} == pairs, core
+        for r in above:
+            at = r.id
+            for _ in range(r.distance):
+                at = up[up[at.strip().lower()][1]][0]
+            assert at == r.ancestor_id
+        assert len({(r.id, r.ancestor_id) for r in above}) == len(above)
 
 
 def test_shapes(spark):
@@ -43,17 +57,23 @@ def test_shapes(spark):
 
 def test_random_forests(spark):
     rng = random.Random(2)
-    for n in (1, 40):
+    for n in (1, 30):
         links = {f"n{i}": rng.choice([None, "gone", *[f"N{rng.randrange(n)}" for _ in range(8)]]) for i in range(n)}
         check(spark, links)
 
 
+def test_long_cycle_with_chains_into_it(spark):
+    links = {f"c{i}": f"c{(i + 1) % 9}" for i in range(9)} | {f"t{i}": f"t{i - 1}" if i else "c4" for i in range(12)} | {f"u{i}": "t5" for i in range(3)}
+    check(spark, links, cores=(5,))
+
+
 def test_long_chain_and_wide_node(spark):
-    links = {"r": None} | {f"c{i}": f"c{i - 1}" if i else "r" for i in range(70)} | {f"w{i}": "r" for i in range(200)}
-    check(spark, links)
+    links = {"r": None} | {f"c{i}": f"c{i - 1}" if i else "r" for i in range(20)} | {f"w{i}": "r" for i in range(200)}
+    check(spark, links, cores=(0, 8192))
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], ROWS)
     assert hierarchy(df, "node", "parent", ("gen",)).collect() == []
+    assert paths(df, "node", "parent", ("gen",)).collect() == []
     assert ancestor_pairs(df, "node", "parent", ("gen",)).collect() == []
