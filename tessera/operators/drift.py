@@ -1,9 +1,12 @@
 """Schemas that drift between captures.
 
-Each profile's columns get a type set, a sketch of their known values and a name; vanished and new
-columns of successive profiles of one series become the two sides of a bipartite graph whose edges
-join columns of equal types under the same or a renamed parent, weighted by likeness of sketch and
-name. A maximum-weight matching proposes the renames; a proposal stands only if it is unambiguous.
+Each profile's columns get a type set, sketches of their known values and of how these are written,
+and a name; vanished and new columns of successive profiles of one series become the two sides of a
+bipartite graph whose edges join columns of equal types under the same or a matched parent, weighted by
+likeness. A maximum-weight matching picks the pairs. A pair that is the only possible one of its kind
+weighs more than any two others, so likeness never breaks it: it is ``renamed``. Where several pairs are
+possible likeness decides: such a pair is ``likely``, no change to be reported (both sides are, as
+removed and added) but one column for the unified table.
 
 Defined results: profiles whose mode is not exact or whose completeness is not complete (nulls
 included) are passed over; repeated rows and both path notations of a column are one column, with
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from json.encoder import encode_basestring
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,8 +38,11 @@ from tessera.operators.references import BLANKS
 from tessera.operators.series import as_of, with_previous
 from tessera.session import cut_lineage
 
-CHANGES = "artifact_id string, root_key string, change string, field_path string, other_path string"
-_SKETCH = 8  # smallest value hashes kept of a column
+DIFFERENCES = "artifact_id string, root_key string, change string, field_path string, other_path string, likeness double"
+_SKETCH = 8  # smallest hashes kept of a column
+#: Likeness from which an ambiguous pair counts as one column.
+LIKELY = 0.5
+_CERTAIN, _MOVED = 4.0, 3.0  # weights above those of any two pairs that likeness speaks for
 
 
 def type_set(raw: str | None) -> frozenset[str]:
@@ -50,15 +57,29 @@ def type_set(raw: str | None) -> frozenset[str]:
     return frozenset(x for x in (str(v).strip().lower() for v in values if v is not None) if x and x != "null")
 
 
-def value_sketch(example: str | None, distinct: str | None) -> frozenset[int]:
-    """The smallest hashes of the values known of a column."""
+def _smallest(values: set[str]) -> frozenset[int]:
+    return frozenset(sorted(zlib.crc32(v.encode("utf-8", "replace")) for v in values)[:_SKETCH])
+
+
+_RUNS = [(re.compile(r"[A-Z]+"), "A"), (re.compile(r"[^\W\dA-Z_]+"), "a"), (re.compile(r"\d+"), "9")]
+
+
+def _shape(value: str) -> str:
+    """How a value is written: runs of letters and digits as one character each."""
+    for run, mark in _RUNS:
+        value = run.sub(mark, value)
+    return value
+
+
+def value_sketch(example: str | None, distinct: str | None) -> tuple[frozenset[int], frozenset[int]]:
+    """The smallest hashes of the values known of a column, and of their shapes."""
     values = {example} if example is not None else set()
     try:
         known = json.loads(distinct) if distinct else []
-        values |= {json.dumps(v, sort_keys=True) for v in known} if isinstance(known, list) else {distinct}
+        values |= {v if isinstance(v, str) else json.dumps(v, sort_keys=True) for v in known} if isinstance(known, list) else {distinct}
     except ValueError:
         values.add(distinct)
-    return frozenset(sorted(zlib.crc32(v.encode("utf-8", "replace")) for v in values)[:_SKETCH])
+    return _smallest(values), _smallest({_shape(v) for v in values})
 
 
 def _grams(name: str) -> set[str]:
@@ -70,123 +91,158 @@ def _overlap(a: set | frozenset, b: set | frozenset) -> float:
     return len(a & b) / len(a | b) if a or b else 0.0
 
 
-def max_weight_matching(weights: list[list[float | None]]) -> list[int | None]:
-    """For each row the column matched to it, maximising the number of matched pairs, then their weight.
+def max_weight_matching(edges: dict[tuple[int, int], float]) -> dict[int, int]:
+    """Left -> right of the matching of greatest total weight; ``edges`` has the weight (above 0) of each pair.
 
-    Shortest augmenting paths with potentials; None in ``weights`` is no edge.
+    Worked out for each connected component by itself, by shortest augmenting paths with potentials.
     """
-    n, m = len(weights), max((len(r) for r in weights), default=0)
-    if not n or not m:
-        return [None] * n
-    size = max(n, m)
-    far = 4.0 * (size + 1)  # an absent edge costs more than all real ones together
-    cost = [[far if i >= n or j >= m or weights[i][j] is None else 1.0 - weights[i][j] for j in range(size)] for i in range(size)]
-    u, v, owner = [0.0] * (size + 1), [0.0] * (size + 1), [0] * (size + 1)
-    for i in range(1, size + 1):
-        owner[0], j0 = i, 0
-        slack, back, done = [float("inf")] * (size + 1), [0] * (size + 1), [False] * (size + 1)
-        while True:
-            done[j0] = True
-            i0, step, j1 = owner[j0], float("inf"), 0
-            for j in range(1, size + 1):
-                if not done[j]:
-                    reduced = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if reduced < slack[j]:
-                        slack[j], back[j] = reduced, j0
-                    if slack[j] < step:
-                        step, j1 = slack[j], j
-            for j in range(size + 1):
-                if done[j]:
-                    u[owner[j]] += step
-                    v[j] -= step
-                else:
-                    slack[j] -= step
-            j0 = j1
-            if owner[j0] == 0:
-                break
-        while j0:
-            owner[j0], j0 = owner[back[j0]], back[j0]
-    found: list[int | None] = [None] * n
-    for j in range(1, size + 1):
-        i = owner[j] - 1
-        if i < n and j - 1 < m and weights[i][j - 1] is not None:
-            found[i] = j - 1
+    near: dict[tuple[str, int], list[tuple[str, int]]] = defaultdict(list)
+    for i, j in edges:
+        near["l", i].append(("r", j))
+        near["r", j].append(("l", i))
+    found: dict[int, int] = {}
+    seen: set[tuple[str, int]] = set()
+    for start in near:
+        if start in seen:
+            continue
+        seen.add(start)
+        part = [start]
+        for node in part:
+            for x in near[node]:
+                if x not in seen:
+                    seen.add(x)
+                    part.append(x)
+        left, right = sorted(i for side, i in part if side == "l"), sorted(j for side, j in part if side == "r")
+        if len(left) == 1 == len(right):
+            found[left[0]] = right[0]
+            continue
+        # leaving a node alone costs nothing, a pair earns its weight
+        cost = np.zeros((len(left), len(left) + len(right)))
+        place = {j: y for y, j in enumerate(right)}
+        for x, i in enumerate(left):
+            for _, j in near["l", i]:
+                cost[x, place[j]] = -edges[i, j]
+        for x, y in enumerate(_assign(cost)):
+            if y < len(right) and (left[x], right[y]) in edges:
+                found[left[x]] = right[y]
     return found
 
 
+def _assign(cost: np.ndarray) -> list[int]:
+    """The column of each row in the cheapest assignment; there are no fewer columns than rows."""
+    n, m = cost.shape
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=int)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        slack, back, done = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=bool)
+        while owner[at]:
+            done[at] = True
+            reduced = cost[owner[at] - 1] - u[owner[at]] - v[1:]
+            better = ~done[1:] & (reduced < slack[1:])
+            slack[1:][better] = reduced[better]
+            back[1:][better] = at
+            open_slack = np.where(done, np.inf, slack)
+            nearest = int(open_slack.argmin())
+            step = open_slack[nearest]
+            u[owner[done]] += step
+            v[done] -= step
+            slack[~done] -= step
+            at = nearest
+        while at:
+            owner[at], at = owner[back[at]], back[at]
+    out = [0] * n
+    for y in range(1, m + 1):
+        if owner[y]:
+            out[owner[y] - 1] = y - 1
+    return out
+
+
 class Profile:
-    """The columns of one capture: steps -> (types, sketch)."""
+    """The columns of one capture: steps -> types, value sketch, shape sketch."""
 
     def __init__(self, columns: list[dict] | None):
         self.types: dict[tuple, frozenset] = {}
-        self.sketch: dict[tuple, frozenset] = {}
+        self._columns: dict[tuple, list[dict]] = defaultdict(list)
+        self._sketches: dict[tuple, tuple[frozenset, frozenset]] = {}
         for c in columns or []:
             steps = normal_steps(c["field_path"])
             self.types[steps] = self.types.get(steps, frozenset()) | type_set(c["types"])
-            self.sketch[steps] = self.sketch.get(steps, frozenset()) | value_sketch(c["example_value"], c["distinct_values"])
+            self._columns[steps].append(c)
+
+    def sketches(self, steps: tuple) -> tuple[frozenset, frozenset]:
+        if steps not in self._sketches:
+            both = [value_sketch(c["example_value"], c["distinct_values"]) for c in self._columns[steps]]
+            self._sketches[steps] = tuple(frozenset(sorted(frozenset().union(*part))[:_SKETCH]) for part in zip(*both))
+        return self._sketches[steps]
+
 
+def likeness(old: Profile, new: Profile, a: tuple, b: tuple) -> float:
+    """0 to 1: half for the names, the rest for the way values are written and for the values."""
+    (values_a, shapes_a), (values_b, shapes_b) = old.sketches(a), new.sketches(b)
+    return 0.5 * _overlap(_grams(a[-1]), _grams(b[-1])) + 0.3 * _overlap(shapes_a, shapes_b) + 0.2 * _overlap(values_a, values_b)
 
-def renames(old: Profile, new: Profile) -> dict[tuple, tuple]:
-    """Old steps -> new steps of the columns that were renamed."""
+
+def matches(old: Profile, new: Profile) -> dict[tuple, tuple[tuple, float, bool]]:
+    """Old steps -> (new steps, likeness, whether the pair is the only possible one) of the columns that were renamed."""
     gone, come = [s for s in old.types if s not in new.types and s], [s for s in new.types if s not in old.types and s]
-    cell_old, cell_new = defaultdict(list), defaultdict(list)
+    cell_old, cell_new, moved_to = defaultdict(list), defaultdict(list), {}
     for s in gone:
         cell_old[s[:-1], old.types[s]].append(s)
     for s in come:
         cell_new[s[:-1], new.types[s]].append(s)
-    under_old = defaultdict(list)
-    for s in gone:
-        under_old[s[:-1]].append(s)
-    found: dict[tuple, tuple] = {}
+        moved_to[s] = new.types[s]
+    found: dict[tuple, tuple[tuple, float, bool]] = {}
     taken: set[tuple] = set()
-    for depth in sorted({len(s) for s in gone}):
-        # one matching for each pair of parents: a parent kept as it is, or a renamed one
-        for parent in [p for p in under_old if len(p) == depth - 1]:
-            left = under_old[parent]
-            targets = [parent] + ([found[parent]] if parent in found else [])
-            right = [s for t in targets for (p, _), cell in cell_new.items() if p == t for s in cell if s not in taken]
-            weights = [[_weight(old, new, a, b, parent) for b in right] for a in left]
-            for a, j in zip(left, max_weight_matching(weights)):
-                if j is not None and _certain(a, right[j], cell_old, cell_new, old.types, found):
-                    found[a] = right[j]
-                    taken.add(right[j])
+    # columns of one parent and one type set; parents come before what is in them
+    for (parent, types), left in sorted(cell_old.items(), key=lambda c: len(c[0][0])):
+        same = [b for b in cell_new.get((parent, types), ()) if b not in taken]
+        only = len(left) == 1 == len(cell_new.get((parent, types), ()))
+        above = found.get(parent)
+        edges: dict[tuple[int, int], float] = {}
+        right = list(same)
+        place = {b: j for j, b in enumerate(right)}
+        for i, a in enumerate(left):
+            for j, b in enumerate(same):
+                score = likeness(old, new, a, b)
+                if only or score >= LIKELY:
+                    edges[i, j] = score + (_CERTAIN if only else 0.0)
+            if above and (b := (*above[0], a[-1])) not in taken and moved_to.get(b) == types:
+                if b not in place:
+                    place[b] = len(right)
+                    right.append(b)
+                # under a renamed parent an equal name is enough
+                edges.setdefault((i, place[b]), 1.0 + (_MOVED - 1.0 if above[2] else 0.0))
+        for i, j in max_weight_matching(edges).items():
+            a, b = left[i], right[j]
+            direct = a[:-1] == b[:-1]
+            found[a] = (b, likeness(old, new, a, b), only if direct else above[2])
+            taken.add(b)
     return found
 
 
-def _weight(old: Profile, new: Profile, a: tuple, b: tuple, parent: tuple) -> float | None:
-    if old.types[a] != new.types[b] or (b[:-1] != parent and a[-1] != b[-1]):
-        return None
-    return 0.6 * _overlap(_grams(a[-1]), _grams(b[-1])) + 0.3 * _overlap(old.sketch[a], new.sketch[b])
-
-
-def _certain(a: tuple, b: tuple, cell_old: dict, cell_new: dict, types: dict, found: dict) -> bool:
-    if a[:-1] == b[:-1]:
-        return len(cell_old[a[:-1], types[a]]) == 1 == len(cell_new[b[:-1], types[a]])
-    return found.get(a[:-1]) == b[:-1] and a[-1] == b[-1]
-
-
-def compare(old: Profile, new: Profile) -> list[tuple[str, str, str]]:
-    """(change, field_path, other_path) of all differences."""
+def compare(old: Profile, new: Profile) -> list[tuple[str, str, str, float | None]]:
+    """(change, field_path, other_path, likeness) of all differences."""
     if old.types == new.types:
         return []
-    pairs = renames(old, new)
-    target = {b: a for a, b in pairs.items()}
-    out = [("retyped", show(s), "") for s, t in new.types.items() if s in old.types and old.types[s] != t]
-    out += [("renamed", show(b), show(a)) for b, a in target.items()]
-    out += [("removed", show(s), "") for s in old.types if s not in new.types and s not in pairs]
-    out += [("added", show(s), "") for s in new.types if s not in old.types and s not in target]
+    pairs = matches(old, new)
+    sure = {a: b for a, (b, _, certain) in pairs.items() if certain}
+    target = set(sure.values())
+    out = [("retyped", show(s), "", None) for s, t in new.types.items() if s in old.types and old.types[s] != t]
+    out += [("renamed" if certain else "likely", show(b), show(a), score) for a, (b, score, certain) in pairs.items()]
+    out += [("removed", show(s), "", None) for s in old.types if s not in new.types and s not in sure]
+    out += [("added", show(s), "", None) for s in new.types if s not in old.types and s not in target]
     return out
 
 
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([(x.split()[0], pa.string()) for x in CHANGES.split(", ")])
+    schema = pa.schema([(x.split()[0], pa.float64() if x.endswith("double") else pa.string()) for x in DIFFERENCES.split(", ")])
     for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[] for _ in schema]
         for r in batch.to_pylist():
             for change in compare(Profile(r["old"]), Profile(r["new"])):
                 for column, value in zip(rows, (r["artifact_id"], r["root_key"], *change)):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
 
 def _is(name: str, value: str) -> Column:
@@ -202,7 +258,12 @@ def counting_profiles(artifacts: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def schema_changes(artifacts: DataFrame, roots: DataFrame, fields: DataFrame) -> DataFrame:
-    """(artifact_id, root_key, change, field_path, other_path) of each capture against the one before it.
+    """(artifact_id, root_key, change, field_path, other_path) of each capture against the one before it."""
+    return differences(artifacts, roots, fields).where("change <> 'likely'").drop("likeness")
+
+
+def differences(artifacts: DataFrame, roots: DataFrame, fields: DataFrame) -> DataFrame:
+    """(artifact_id, root_key, change, field_path, other_path, likeness): the changes, and the ambiguous pairs likeness speaks for as ``likely``.
 
     A profile's columns are gathered once (as many as its schema is wide); what is compared is always
     two profiles, whatever the length of their series.
@@ -217,22 +278,22 @@ def schema_changes(artifacts: DataFrame, roots: DataFrame, fields: DataFrame) ->
     new = columns.select("artifact_id", "root_key", F.col("columns").alias("new"))
     old = columns.select(F.col("artifact_id").alias("previous_id"), "root_key", F.col("columns").alias("old"))
     both = pairs.join(new, ["artifact_id", "root_key"], "left").join(old, ["previous_id", "root_key"], "left")
-    return both.select("artifact_id", "root_key", "old", "new").mapInArrow(_compare_batches, CHANGES)
+    return both.select("artifact_id", "root_key", "old", "new").mapInArrow(_compare_batches, DIFFERENCES)
 
 
 SERIES = ["upstream_instance_id", "source_tool", "root_key"]
 
 
 def column_names(artifacts: DataFrame, roots: DataFrame, fields: DataFrame, changes: DataFrame | None = None) -> DataFrame:
-    """(artifact_id, root_key, names): for captures with renamed fields, at any depth, the path each is unified under.
+    """(artifact_id, root_key, names): for captures with renamed fields (for certain or likely), at any depth, the path each is unified under.
 
     A field keeps the name it had before its first rename. A name that was given away by a rename and
     comes up again is another column and gets ``~n``, n being the number of times it was given away.
     """
-    changes = schema_changes(artifacts, roots, fields) if changes is None else changes
+    changes = differences(artifacts, roots, fields) if changes is None else changes
     valid = F.struct("generation", "ingested_at")
     of = artifacts.where("artifact_id is not null").groupBy("artifact_id").agg(*[F.max_by(c, valid).alias(c) for c in ("upstream_instance_id", "source_tool", "created_seq")])
-    events = cut_lineage(changes.where(F.col("change") == "renamed").join(of, "artifact_id").select(*SERIES, "created_seq", F.col("field_path").alias("new"), F.col("other_path").alias("old")))
+    events = cut_lineage(changes.where(F.col("change").isin("renamed", "likely")).join(of, "artifact_id").select(*SERIES, "created_seq", F.col("field_path").alias("new"), F.col("other_path").alias("old")))
     # each event's earlier event, the one that made the name it takes away; events are rare against rows
     made = events.select(*SERIES, F.col("new").alias("path"), (2 * F.col("created_seq")).alias("at"), F.concat_ws("\u0001", *SERIES, "created_seq", "new").alias("event"))
     asked = events.select(*SERIES, F.col("old").alias("path"), (2 * F.col("created_seq") - 1).alias("at"), F.lit(None).cast("string").alias("event"), "new", "old", "created_seq")
@@ -301,19 +362,57 @@ def _types(raw: pd.Series) -> pd.Series:
     return raw.map(lambda r: sorted(type_set(r)))
 
 
-def mixed_columns(artifacts: DataFrame, fields: DataFrame, names: DataFrame) -> DataFrame:
-    """(artifact_id, root_key, mixed): the unified paths that have more than one type in the profiles of the capture's series."""
+def _series_paths(artifacts: DataFrame, fields: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(artifact_id, root_key, series) of the captures, and (series, path, types) of their unified paths; series keys in one struct, whose null parts equal each other."""
     valid = F.struct("generation", "ingested_at")
     of = artifacts.where("artifact_id is not null").groupBy("artifact_id").agg(*[F.max_by(c, valid).alias(c) for c in ("upstream_instance_id", "source_tool")])
     own = fields.where("artifact_id is not null and root_key is not null and field_path is not null").select("artifact_id", "root_key", "field_path", "types").distinct()
-    # series keys in one struct, whose null parts equal each other
-    series = F.struct("upstream_instance_id", "source_tool", "root_key").alias("series")
-    paths = own.join(names, ["artifact_id", "root_key"], "left").join(of, "artifact_id").select(series, unified_path("field_path", "names").alias("path"), F.explode(_types("types")).alias("type"))
-    mixed = paths.groupBy("series", "path").agg(F.countDistinct("type").alias("n")).where("n > 1").groupBy("series").agg(F.collect_list("path").alias("mixed"))
+    series = F.struct(*SERIES).alias("series")
+    paths = own.join(names, ["artifact_id", "root_key"], "left").join(of, "artifact_id").select(series, unified_path("field_path", "names").alias("path"), F.explode_outer(_types("types")).alias("type"))
     captures = own.select("artifact_id", "root_key").distinct().join(of, "artifact_id").select("artifact_id", "root_key", series)
+    return captures, paths.groupBy("series", "path").agg(F.array_sort(F.collect_set("type")).alias("types"))
+
+
+def mixed_columns(artifacts: DataFrame, fields: DataFrame, names: DataFrame) -> DataFrame:
+    """(artifact_id, root_key, mixed): the unified paths that have more than one type in the profiles of the capture's series."""
+    captures, paths = _series_paths(artifacts, fields, names)
+    mixed = paths.where("size(types) > 1").groupBy("series").agg(F.collect_list("path").alias("mixed"))
     return captures.join(mixed, "series").select("artifact_id", "root_key", "mixed")
 
 
+def unified_columns(artifacts: DataFrame, fields: DataFrame, names: DataFrame) -> DataFrame:
+    """(upstream_instance_id, source_tool, root_key, path, type): the columns of each series' one table.
+
+    Numbers are double, booleans boolean; texts, columns of several types and columns never seen but
+    null are string; objects and arrays are string too, as JSON text.
+    """
+    _, paths = _series_paths(artifacts, fields, names)
+    only = lambda t: F.col("types") == F.array(F.lit(t))
+    return paths.select("series.*", "path", F.when(only("number"), "double").when(only("boolean"), "boolean").otherwise("string").alias("type"))
+
+
+def typed_table(unified: DataFrame, artifacts: DataFrame, columns: DataFrame, source_tool: str, root_key: str) -> DataFrame:
+    """The typed table of all records of a tool and root: keys, element, and one column per unified top-level field.
+
+    The columns are read off the profiles (as many as the schemas are wide); a column of different types
+    in different upstreams is text. Values a profile gave no notice of, in a column of another type, are null.
+    """
+    path = r"^\$(\[\*\])?(\.[A-Za-z_][A-Za-z0-9_]*|\['([^'\\\\]|\\\\.)*'\])(~[0-9]+)?$"
+    own = columns.where((F.col("source_tool") == source_tool) & (F.col("root_key") == root_key) & F.col("path").rlike(path))
+    known = own.groupBy("path").agg(F.min("type").alias("type"), F.max("type").alias("other")).orderBy("path").collect()
+    valid = F.struct("generation", "ingested_at")
+    of = artifacts.where("artifact_id is not null").groupBy("artifact_id").agg(F.max_by("source_tool", valid).alias("tool")).where(F.col("tool") == source_tool)
+    rows = unified.where(F.col("root_path") == root_key).join(of.drop("tool"), "artifact_id")
+    cast = lambda r: F.try_element_at("fields", F.lit(r.path)).try_cast(r.type) if r.type == r.other and r.type != "string" else _plain_text(F.try_element_at("fields", F.lit(r.path)))
+    shown = lambda p: re.sub(r"^_+|_+$", "", re.sub(r"\W+", "_", p)) or "_"
+    return rows.select("artifact_id", "root_path", "idx", "element", *[cast(r).alias(shown(r.path)) for r in known])
+
+
+def _plain_text(text: Column) -> Column:
+    """A JSON text as a column has it: strings without quotes, null for null."""
+    return F.when(text.startswith('"'), F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$[0]")).when(text != "null", text)
+
+
 UNIFIED = "artifact_id string, root_path string, idx int, element string, fields map<string,string>, value string"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import drift, hierarchy, nesting, references
 from tessera.operators.references import Reference, Target, composed, normal_hash
-from tessera.queries import nesting_sql
+from tessera.queries import drift_sql, nesting_sql
 from tessera.session import cut_lineage, table
 
 VALID_BY = ("generation", "ingested_at")
@@ -41,11 +41,32 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.schema_changes(*(table(spark, sf_dir, n) for n in ("artifacts", "artifact_schema_roots", "artifact_schema_fields")))
 
 
-def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records as one table whose columns go by one name, at every depth, and have one type through all changes."""
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs the matching picked: renames for certain, and ambiguous ones that are likely the same column."""
+    found = drift.differences(*(table(spark, sf_dir, n) for n in ("artifacts", "artifact_schema_roots", "artifact_schema_fields")))
+    return found.where(F.col("change").isin("renamed", "likely"))
+
+
+def _unified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tables = artifacts, _, fields = [table(spark, sf_dir, n) for n in ("artifacts", "artifact_schema_roots", "artifact_schema_fields")]
     names = cut_lineage(drift.column_names(*tables))
-    return drift.unified_records(table(spark, sf_dir, "artifact_records"), names, mixed=drift.mixed_columns(artifacts, fields, names))
+    return drift.unified_records(table(spark, sf_dir, "artifact_records"), names, mixed=drift.mixed_columns(artifacts, fields, names)), drift.unified_columns(artifacts, fields, names)
+
+
+def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as one table whose columns go by one name, at every depth, and have one type through all changes."""
+    return _unified(spark, sf_dir)[0]
+
+
+def p2_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of every series' unified table with their types."""
+    return _unified(spark, sf_dir)[1]
+
+
+def p2_table_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of one tool's records through all renames and retypings."""
+    rows, columns = _unified(spark, sf_dir)
+    return drift.typed_table(rows, table(spark, sf_dir, "artifacts"), columns, "crew.people", "$")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +161,7 @@ def p4_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id").alias("artifact_id"), "ancestor_id", "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p2_unified, p3_found, p3_subtypes, p3_columns, p3_variant_columns, p3_objects, p3_cells, p3_table_releases, p3_table_assets, p3_table_coordinates, p3_envelopes, p3_envelope_cells, p3_field_paths, p4_found, p4_paths, p4_ancestors)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p2_matches, p2_unified, p2_columns, p2_table_people, p3_found, p3_subtypes, p3_columns, p3_variant_columns, p3_objects, p3_cells, p3_table_releases, p3_table_assets, p3_table_coordinates, p3_envelopes, p3_envelope_cells, p3_field_paths, p4_found, p4_paths, p4_ancestors)}
 
 _P1 = """
 with h as (select artifact_id, regexp_replace(lower(trim(payload_hash_full, e' \\t\\r\\n')), '^sha256:', '') k, ingested_at from artifacts where artifact_id is not null and payload_hash_full is not null),
@@ -184,7 +205,7 @@ found as (select e.id artifact_id,
 from ends e left join far on far.k = e.k left join first f on f.k = e.k)
 """
 
-ORACLE = nesting_sql.ORACLE | {
+ORACLE = drift_sql.ORACLE | nesting_sql.ORACLE | {
     "p1_found": _P1 + "select * from found where reason is not null",
     "p1_by_period": _P1 + "select ref_table, reason, period, count(*)::bigint n from found where reason is not null group by 1, 2, 3",
     "p4_ancestors": _P4 + "select x.id artifact_id, y.id ancestor_id, d::bigint distance from pairs join v x using (k) join v y on y.k = pairs.a",

@@ -2,7 +2,7 @@ import itertools
 import random
 from datetime import datetime
 
-from tessera.operators.drift import Profile, compare, max_weight_matching, schema_changes, type_set
+from tessera.operators.drift import Profile, compare, matches, max_weight_matching, schema_changes, type_set
 from tessera.operators.paths import normal_steps, show
 from tessera.operators.series import with_previous
 
@@ -44,14 +44,35 @@ def test_types_and_paths():
 
 def test_matching_is_best():
     rng = random.Random(3)
-    for _ in range(60):
+    for _ in range(120):
         n, m = rng.randint(1, 4), rng.randint(1, 4)
-        w = [[rng.choice([None, rng.random()]) for _ in range(m)] for _ in range(n)]
+        w = {(i, j): rng.random() + 0.01 for i in range(n) for j in range(m) if rng.random() < 0.6}
         got = max_weight_matching(w)
-        value = lambda f: (sum(j is not None for j in f), sum(w[i][j] for i, j in enumerate(f) if j is not None))
-        options = itertools.product(*[[None, *[j for j in range(m) if w[i][j] is not None]] for i in range(n)])
-        best = max(value(f) for f in options if len({j for j in f if j is not None}) == sum(j is not None for j in f))
-        assert value(got)[0] == best[0] and abs(value(got)[1] - best[1]) < 1e-9
+        assert len(set(got.values())) == len(got) and all(e in w for e in got.items())
+        options = itertools.product(*[[None, *[j for j in range(m) if (i, j) in w]] for i in range(n)])
+        best = max(sum(w[i, j] for i, j in enumerate(f) if j is not None) for f in options if len({j for j in f if j is not None}) == sum(j is not None for j in f))
+        assert abs(sum(w[e] for e in got.items()) - best) < 1e-9
+
+
+def test_likeness_decides_where_several_pairs_are_possible():
+    column = lambda p, example: {"field_path": p, "types": '["string"]', "example_value": example, "distinct_values": None}
+    old = Profile([column("$.customer_name", "Ada"), column("$.ship_code", "K9-1")])
+    new = Profile([column("$.shipping_code", "B2-7"), column("$.customer_full_name", "Eve")])
+    found = {x[:3] for x in compare(old, new)}
+    assert {("likely", "$.customer_full_name", "$.customer_name"), ("likely", "$.shipping_code", "$.ship_code")} == {x for x in found if x[0] == "likely"}
+    assert len([x for x in found if x[0] in ("removed", "added")]) == 4
+    # nothing alike: no pair; the only possible pair needs no likeness
+    far = Profile([column("$.qq", "1"), column("$.zz", "[]")])
+    assert not [x for x in compare(old, far) if x[0] in ("likely", "renamed")]
+    assert ("renamed", "$.qq", "$.customer_name") in {x[:3] for x in compare(Profile([column("$.customer_name", "Ada")]), Profile([column("$.qq", "1")]))}
+
+
+def test_many_vanished_names_are_matched_by_component():
+    column = lambda p: {"field_path": p, "types": '["number"]', "example_value": "1", "distinct_values": None}
+    rng = random.Random(8)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(300)]
+    old, new = Profile([column(f"$.{n}") for n in names]), Profile([column(f"$.{n}_v") for n in names])
+    assert {a: b for a, (b, _, _) in matches(old, new).items()} == {normal_steps(f"$.{n}"): normal_steps(f"$.{n}_v") for n in names}
 
 
 def test_rules_against_brute_force():
@@ -68,7 +89,7 @@ def test_rules_against_brute_force():
                         out |= {f"$.{n}.{k}": rng.choice(types) for k in "xy" if rng.random() < 0.7}
             return out
         old, new = profile(d=tree()), profile(d=tree())
-        assert set(compare(old, new)) == brute(old.types, new.types)
+        assert {x[:3] for x in compare(old, new) if x[0] != "likely"} == brute(old.types, new.types)
 
 
 def test_changes_over_series(spark):
@@ -157,3 +178,20 @@ def test_unified_records_at_every_depth(spark):
     assert got["a1"] == got["a2"] == same
     assert {k: v for k, v in got["a3"].items() if k == "$.l"} == {"$.l": '[{"y":"p"}]'}
     assert got["a3"]["$.a"] == '{"k":2,"new":"n","x":"1"}' and got["a3"]["$.v"] == '"{\\"q\\":null}"'
+
+
+def test_typed_table_of_a_series(spark):
+    from tessera.operators.drift import column_names, mixed_columns, typed_table, unified_columns, unified_records
+
+    a = [(f"a{i}", "u", "t", i, 1, D(2025, 1, 1), "x") for i in (1, 2)]
+    r = [(f"a{i}", "$", "exact", "complete") for i in (1, 2)]
+    columns = {1: {"$.id": '["number"]', "$.ok": '["boolean","null"]', "$.name": '["string"]', "$.v": '["number"]', "$.o": '["object"]'}, 2: {"$.id": '["number"]', "$.ok": '["boolean"]', "$.title": '["string"]', "$.v": '["string"]', "$.o": '["object"]'}}
+    f = [(f"a{i}", "$", p, t, None, None) for i, own in columns.items() for p, t in own.items()]
+    artifacts, roots, fields = spark.createDataFrame(a, ARTIFACTS), spark.createDataFrame(r, ROOTS), spark.createDataFrame(f, FIELDS)
+    texts = ['{"id":1,"ok":true,"name":"n \\"q\\"","v":2.50,"o":{"k":1}}', '{"id":2,"ok":null,"title":null,"v":"2"}']
+    records = spark.createDataFrame([(f"a{i + 1}", "$", 0, x) for i, x in enumerate(texts)], "artifact_id string, root_path string, idx int, record string")
+    names = column_names(artifacts, roots, fields)
+    unified = unified_records(records, names, mixed=mixed_columns(artifacts, fields, names))
+    table = typed_table(unified, artifacts, unified_columns(artifacts, fields, names), "t", "$")
+    assert dict(table.dtypes) == {"artifact_id": "string", "root_path": "string", "idx": "int", "element": "string", "id": "double", "name": "string", "o": "string", "ok": "boolean", "v": "string"}
+    assert {x.artifact_id: (x.id, x.name, x.o, x.ok, x.v) for x in table.collect()} == {"a1": (1.0, 'n "q"', '{"k":1}', True, "2.50"), "a2": (2.0, None, None, None, "2")}
