@@ -9,7 +9,7 @@ from tessera.session import table
 
 PROFILE = ["artifact_id", "root_key"]
 #: Size of the sample in production, and of one that is smaller than any of the tables.
-SAMPLE_SIZE, SMALL_SAMPLE_SIZE, SEED = 10_000, 50, 20250711
+SAMPLE_SIZE, SMALL_SAMPLE_SIZE, SEED = 500, 50, 20250711
 
 
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

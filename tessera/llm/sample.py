@@ -15,6 +15,7 @@ then by the key; k of 0 or an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ from tessera.session import cut_lineage
 #: Hexadecimal digits of the digest that make up a draw: 52 bits, exact in a double.
 _DIGITS = 13
 _SPAN = 16**_DIGITS
+#: A probability of failure under which the bounds are 0 and 1.
+_SURE = 1e-100
 
 
 def digest(keys: list[str], seed: int) -> Column:
@@ -34,6 +37,8 @@ def digest(keys: list[str], seed: int) -> Column:
 
 def bounds(n: int, k: int, fail: float) -> tuple[float, float]:
     """Draws below the first are among the k smallest of n, those from the second on are not, each but for a probability of ``fail``."""
+    if fail < _SURE:
+        return 0.0, 1.0
     p, reach = k / n, -math.log(fail) / n
     # Chernoff: the number of draws below q exceeds k (falls short of it) with a probability of at most fail
     accept = p + 2 * reach / 3 - math.sqrt((2 * reach / 3) ** 2 + 2 * reach * p)
@@ -41,7 +46,7 @@ def bounds(n: int, k: int, fail: float) -> tuple[float, float]:
     return max(0.0, accept), min(1.0, reject)
 
 
-def fixed_size_sample(pieces: list[DataFrame] | DataFrame, keys: list[str], k: int, seed: int = 0, fail: float = 1e-6) -> DataFrame:
+def fixed_size_sample(pieces: list[DataFrame] | DataFrame, keys: list[str], k: int, seed: int = 0, fail: float = 1e-6, find_bounds: Callable[[int, int, float], tuple[float, float]] = bounds) -> DataFrame:
     """Exactly k distinct ``keys`` of the pieces (all, if fewer), each equally likely."""
     pieces = pieces if isinstance(pieces, list) else [pieces]
     rows = reduce(DataFrame.unionByName, [p.select(*keys) for p in pieces])
@@ -52,7 +57,7 @@ def fixed_size_sample(pieces: list[DataFrame] | DataFrame, keys: list[str], k: i
     if k <= 0:
         return rows.limit(0)
     while True:
-        accept, reject = bounds(n, k, fail)
+        accept, reject = find_bounds(n, k, fail)
         low, high = math.floor(accept * _SPAN), math.ceil(reject * _SPAN)
         near = cut_lineage(drawn.where(F.col("_draw") < high).distinct())
         sure = near.where(F.col("_draw") < low)
@@ -60,4 +65,4 @@ def fixed_size_sample(pieces: list[DataFrame] | DataFrame, keys: list[str], k: i
         if taken <= k <= there:
             waitlist = near.where(F.col("_draw") >= low).orderBy("_draw", "_digest", *keys).limit(k - taken)
             return sure.unionByName(waitlist).select(*keys)
-        fail = fail**4  # ends at the latest when the bounds are 0 and 1
+        fail = fail**4  # ends when the bounds are 0 and 1, which cannot miss

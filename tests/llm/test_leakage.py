@@ -40,5 +40,25 @@ def test_rows(spark):
     expected = sorted((a, b) for a in (1, 5, 6) for b in (10, 11))
     assert sorted(tuple(r) for r in leaked(d, i).collect()) == expected
     # items in several blocks give the same
-    assert sorted(tuple(r) for r in leaked(d, i, item_bytes=20).collect()) == expected
+    assert sorted(tuple(r) for r in leaked(d, i, windows=1).collect()) == expected
     assert leaked(d.limit(0), i).collect() == [] and leaked(d, i.limit(0)).collect() == []
+
+
+def test_long_items_are_cut_into_pieces_that_overlap(spark):
+    words = [f"w{i}" for i in range(5000)]
+    d = spark.createDataFrame([(k, " ".join(words[k : k + 13])) for k in (0, 1995, 1999, 2000, 3990, 4987)] + [(9000, " ".join(words[4988:]))], "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert sorted(r.doc_id for r in leaked(d, i).collect()) == [0, 1995, 1999, 2000, 3990, 4987]
+    assert sorted(r.doc_id for r in leaked(d, i, windows=1500).collect()) == [0, 1995, 1999, 2000, 3990, 4987]
+
+
+def test_memory_of_a_block():
+    import tracemalloc
+
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(100_000)]
+    tracemalloc.start()
+    search = WindowSearch([(1, words)])
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 250 * 100_000 and search.find(" ".join(words[500:513])) == {1}

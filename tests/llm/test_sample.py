@@ -32,6 +32,18 @@ def test_bounds_hold_and_are_retried(spark):
     assert set(fixed_size_sample(df, ["a"], 20, fail=0.999999).collect()) == set(fixed_size_sample(df, ["a"], 20).collect())
 
 
+def test_bounds_may_fail_again_and_again(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("a"))
+    tried = []
+
+    def too_narrow(n, k, fail):
+        tried.append(fail)
+        return bounds(n, k, fail) if fail < 1e-100 else (0.0, 0.001)
+
+    assert set(fixed_size_sample(df, ["a"], 20, find_bounds=too_narrow).collect()) == set(fixed_size_sample(df, ["a"], 20).collect())
+    assert len(tried) == 4 and bounds(500, 20, 0.0) == (0.0, 1.0)
+
+
 def test_equally_likely(spark):
     df = spark.range(60).select(F.col("id").cast("string").alias("a"))
     hits = Counter(r.a for seed in range(40) for r in fixed_size_sample(df, ["a"], 20, seed=seed).collect())
