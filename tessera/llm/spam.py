@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import spread
+from tessera.session import cut_lineage, spread
 
 _LINK = r"(?:https?://|www\.)[^\s<>\"')\]]+"
 _SPLIT = r"[,;:/|•·»›>、،؛\t\"()\[\]{}&*]+|\s[-–—]\s"
@@ -380,7 +380,8 @@ def prose_words(documents: DataFrame, text: str = "text") -> list[str]:
 
     rows = documents.select(documents[text].cast("string").alias("text")).where("text is not null")
     counted = spread(rows).mapInArrow(run, "word string, n bigint, within bigint, texts bigint")
-    counted = counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("within").alias("within"), F.sum("texts").alias("texts"))
+    # read twice, as large as the vocabulary
+    counted = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("within").alias("within"), F.sum("texts").alias("texts")))
     common = counted.where((F.col("texts") > 0) | ((F.col("within") >= 2) & (F.col("within") >= IN_SENTENCES * F.col("n"))))
     # the one row of the number of texts is joined to every word
     texts = counted.where("word = ''").select(F.col("texts").alias("of"))
