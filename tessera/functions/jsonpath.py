@@ -12,8 +12,11 @@ from tessera.operators.paths import name_step
 
 MAX_LENGTH, MAX_SEGMENTS = 4096, 64
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+# What may stand behind a backslash in a quoted name.
 _ESCAPES = {"\\": "\\", "'": "'", "n": "\n", "r": "\r", "t": "\t"}
 
+_END = object()  # behind the last step; no field can be called so
+
 Step = str | int | None  # a name, a position, or None for every element
 
 
@@ -110,8 +113,8 @@ def evaluate(rows: DataFrame, column: str, path: str, max_matches: int | None =
     steps = parse(path)
     out = rows.withColumn("match", F.col(column)).withColumn("match_pos", F.expr("cast(array() as array<int>)"))
     plain: list[Step] = []
-    for step in [*steps, "end"]:
-        if step is not None and len(plain) < len(steps) and step != "end":
+    for step in [*steps, _END]:
+        if step is not None and step is not _END:
             plain.append(step)
             continue
         if plain:

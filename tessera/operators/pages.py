@@ -1,87 +1,15 @@
-"""Pagination: what a page says about the next one, and merging pages."""
+"""Pages of one response after the other: their records, merging them, the roots they have."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import jsonpath
-from tessera.functions.text import query_parameters
 from tessera.functions.variants import elements, members, type_name
 
-# Where responses say whether there is more, and where the next page starts.
-HAS_NEXT = ("$.has_next", "$.hasNext", "$.has_next_page", "$.hasNextPage", "$.paging.has_next", "$.paging.hasNext", "$.paging.has_next_page", "$.paging.hasNextPage", "$.page_info.has_next_page", "$.pageInfo.hasNextPage")
-HAS_MORE = ("$.has_more", "$.hasMore", "$.paging.has_more", "$.paging.hasMore", "$.pagination.has_more", "$.pagination.hasMore", "$.meta.has_more", "$.meta.hasMore")
-IS_LAST = ("$.is_last", "$.isLast", "$.last_page", "$.lastPage", "$.paging.is_last", "$.paging.isLast", "$.paging.last_page", "$.paging.lastPage", "$.page_info.is_last_page", "$.pageInfo.isLastPage")
-NEXT_VALUE = ("$.next", "$.next_page", "$.nextPage", "$.next_url", "$.nextUrl", "$.paging.next", "$.paging.next_url", "$.paging.nextUrl", "$.pagination.next", "$.pagination.next_url", "$.pagination.nextUrl", "$.links.next", "$.links.next.href")
-CURSORS = (
-    ("$.paging.cursors.after", "after", 0.99),
-    ("$.paging.after", "after", 0.95),
-    ("$.paging.next_cursor", "next_cursor", 0.94),
-    ("$.paging.nextCursor", "nextCursor", 0.94),
-    ("$.pagination.next_cursor", "next_cursor", 0.93),
-    ("$.pagination.nextCursor", "nextCursor", 0.93),
-    ("$.next_cursor", "next_cursor", 0.9),
-    ("$.nextCursor", "nextCursor", 0.9),
-    ("$.cursor", "cursor", 0.82),
-    ("$.page_info.end_cursor", "after", 0.92),
-    ("$.pageInfo.endCursor", "after", 0.92),
-    ("$.next_page_token", "next_page_token", 0.92),
-    ("$.nextPageToken", "nextPageToken", 0.92),
-    ("$.continuation_token", "continuation_token", 0.9),
-    ("$.continuationToken", "continuationToken", 0.9),
-    ("$.response_metadata.next_page_token", "next_page_token", 0.88),
-)
-LISTS = ("$.data", "$.results", "$.items", "$.records", "$.entries", "$.nodes")
-#: Most of the paths are also looked for in a wrapper.
-WRAPPER = "result"
-
-
-def _wrapped(v: Column, paths: tuple[str, ...]) -> list[list[Column]]:
-    """The values at the paths, and at the same paths in the wrapper."""
-    inner = jsonpath.get(v, f"$.{WRAPPER}")
-    return [[jsonpath.get(x, p) for p in paths] for x in (v, inner)]
-
-
-def _first(v: Column, groups: list[list[Column]], fits: Callable[[Column], Column]) -> Column:
-    """The first candidate that fits, those in the wrapper only where there is one.
-
-    A lambda over an array, so the plan stays small however many candidates there are.
-    """
-    plain, wrapped = groups
-    first = lambda xs: F.get(F.filter(F.array(*xs), fits), F.lit(0))
-    return F.coalesce(first(plain), F.when(jsonpath.get(v, f"$.{WRAPPER}").isNotNull(), first(wrapped)))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _first_bool(v: Column, paths: tuple[str, ...]) -> Column:
-    return _first(v, _wrapped(v, paths), lambda x: F.coalesce(F.schema_of_variant(x) == "BOOLEAN", F.lit(False))).cast("boolean")
-
-
-def _filled(x: Column) -> Column:
-    kind = F.schema_of_variant(x)
-    return F.coalesce((kind == "BIGINT") | (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")) | ((kind == "STRING") & (F.trim(F.try_variant_get(x, "$", "string")) != "")), F.lit(False))
-
-
-def _first_filled(v: Column, paths: tuple[str, ...]) -> Column:
-    return _first(v, _wrapped(v, paths), _filled).cast("string")
-
-
-def next_value(v: Column) -> Column:
-    return _first_filled(v, NEXT_VALUE)
-
-
-def has_more(v: Column) -> Column:
-    """Whether a response says that more follows; null if it does not say."""
-    return F.coalesce(_first_bool(v, HAS_NEXT), _first_bool(v, HAS_MORE), ~_first_bool(v, IS_LAST), F.when(next_value(v).isNotNull(), True))
-
-
+# Where responses have their records.
+LISTS = ("$.data", "$.results", "$.items", "$.records", "$.entries", "$.nodes", "$.result.data", "$.result.items")
 def is_true(x: Column) -> Column:
     """Truth of a configured has-more value: missing, null, false, blank and empty lists are not."""
     kind = type_name(x)
@@ -90,58 +18,7 @@ def is_true(x: Column) -> Column:
 
 def record_count(v: Column) -> Column:
     """The length of the response, or of its first usual list; null if there is none."""
-    plain, wrapped = _wrapped(v, LISTS)
-    first = _first(v, [[v, *plain], wrapped], lambda x: F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("ARRAY")), F.lit(False)))
-    return F.size(F.try_variant_get(first, "$", "array<variant>"))
-
-
-def cursor(v: Column) -> Column:
-    """struct(param, value, confidence) of the first known cursor; null without one."""
-    at = lambda x: [F.struct(F.lit(n).alias("param"), jsonpath.get(x, p).alias("x"), F.lit(c).alias("confidence")) for p, n, c in CURSORS]
-    found = _first(v, [at(v), at(jsonpath.get(v, f"$.{WRAPPER}"))], lambda s: _filled(s["x"]))
-    return _let(found, lambda s: F.when(s.isNotNull(), F.struct(s["param"].alias("param"), s["x"].cast("string").alias("value"), s["confidence"].alias("confidence"))))
-
-
-def next_url_parameters(v: Column) -> Column:
-    """The parameters of the address of the next page as a map."""
-    whole = lambda url: F.when(F.contains(url, F.lit("?")), F.when(F.startswith(url, F.lit("http")), url).otherwise(F.concat(F.lit("http://host/"), F.ltrim(url, F.lit("/")))))
-    return _let(next_value(v), lambda url: query_parameters(whole(url)))
-
-
-def _argument(args: Column, *names: str) -> Column:
-    return F.coalesce(*[F.try_element_at(args, F.lit(n)).try_cast("bigint") for n in names])
-
-
-def next_arguments(args: Column, more: Column, limit_hit: Column) -> Column:
-    """struct(param, value) of the arguments' numeric progression: offset by the limit, or the page by one."""
-    limit, offset, page = _argument(args, "limit", "per_page", "page_size"), _argument(args, "offset", "skip"), _argument(args, "page", "page_number")
-    step = F.when(limit.isNotNull() & offset.isNotNull(), F.struct(F.lit("offset").alias("param"), (offset + limit).alias("value"))).when(page.isNotNull(), F.struct(F.lit("page").alias("param"), (page + 1).alias("value")))
-    return F.when(F.coalesce(more, F.lit(False)) | limit_hit, step)
-
-
-def assess(v: Column, args: Column) -> Column:
-    """struct(state, reason, param, value): COMPLETE or PARTIAL, and how to ask for the next page."""
-    seen = F.struct(has_more(v).alias("more"), record_count(v).alias("count"), cursor(v).alias("cursor"))
-    none = F.lit(None)
-
-    def make(state: str, reason: str, param: Column = none, value: Column = none) -> Column:
-        return F.struct(F.lit(state).alias("state"), F.lit(reason).alias("reason"), param.cast("string").alias("param"), value.cast("string").alias("value"))
-
-    def decide(s: Column) -> Column:
-        more, found = s["more"], s["cursor"]
-        hit = F.coalesce(s["count"] >= _argument(args, "limit", "per_page", "page_size"), F.lit(False))
-        step = next_arguments(args, more, hit)
-        stuck = F.coalesce(found["value"] == F.try_element_at(args, found["param"]), F.lit(False))
-        return (
-            F.when(F.coalesce(~more, F.lit(False)), make("COMPLETE", "NO_MORE"))
-            .when(stuck, make("PARTIAL", "CURSOR_NOT_ADVANCING"))
-            .when(found.isNotNull(), make("PARTIAL", "CURSOR", found["param"], found["value"]))
-            .when(step.isNotNull(), make("PARTIAL", "NUMERIC", step["param"], step["value"]))
-            .when(F.coalesce(more, F.lit(False)), make("PARTIAL", "NEXT_UNKNOWN"))
-            .otherwise(make("COMPLETE", "NO_SIGNAL"))
-        )
-
-    return _let(seen, decide)
+    return F.size(F.coalesce(elements(v), *[elements(jsonpath.get(v, p)) for p in LISTS]))
 
 
 def merge_pages(pages: DataFrame, chain: str, order: list[str], value: str = "v") -> DataFrame:

@@ -335,74 +335,4 @@ def s40_placeholders(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("lang", (text.placeholder_cursor(lang) | (F.lower(F.trim(lang)) == "en")).alias("is_placeholder")).distinct()
 
 
-_PAGE = """case o_orderkey % 5 when 0 then '{"has_more":true,"next_cursor":"c' || o_orderkey || '","items":[1,2]}'
-  when 1 then '{"result":{"pageInfo":{"hasNextPage":false}},"data":[]}' when 2 then '{"paging":{"next":"https://h/p?after=k' || o_orderkey || '&limit=2"},"items":[1]}'
-  when 3 then '{"isLast":true,"items":[]}' else '{"items":[1,2,3]}' end"""
-
-
-def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "orders").select("o_orderkey")).select("o_orderkey", F.expr(_PAGE).alias("page")).select("o_orderkey", once(F.parse_json("page")).alias("v"))
-
-
-@R("g2_has_more", "select o_orderkey, case o_orderkey % 5 when 0 then true when 1 then false when 2 then true when 3 then false end more from orders")
-def g2_has_more(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf).select("o_orderkey", pages.has_more(F.col("v")).alias("more"))
-
-
-@R("g4_cursor", "select o_orderkey, 'next_cursor' param, 'c' || o_orderkey as value from orders where o_orderkey % 5 = 0")
-def g4_cursor(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf).withColumn("c", pages.cursor(F.col("v"))).where("c is not null").select("o_orderkey", "c.param", "c.value")
-
-
-@R("g5_next_url", "select o_orderkey, 'k' || o_orderkey after_key, '2' lim from orders where o_orderkey % 5 = 2")
-def g5_next_url(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _pages(spark, sf).withColumn("p", pages.next_url_parameters(F.col("v"))).where("p is not null and size(p) > 0")
-    return rows.select("o_orderkey", F.col("p")["after"].alias("after_key"), F.col("p")["limit"].alias("lim"))
-
-
-@R("g8_numeric", "select o_orderkey, case when o_orderkey % 2 = 0 then 'offset' else 'page' end param, case when o_orderkey % 2 = 0 then o_orderkey + 3 else o_orderkey + 1 end as value from orders where o_orderkey % 5 in (0, 2, 4)")
-def g8_numeric(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.col("o_orderkey").cast("string")
-    args = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("limit"), F.lit("3"), F.lit("offset"), key)).otherwise(F.create_map(F.lit("page"), key))
-    hit = F.coalesce(pages.record_count(F.col("v")) >= 3, F.lit(False))
-    rows = _pages(spark, sf).withColumn("s", pages.next_arguments(args, pages.has_more(F.col("v")), hit)).where("s is not null")
-    return rows.select("o_orderkey", "s.param", "s.value")
-
-
-@R("g9_limit_hit", "select o_orderkey, o_orderkey % 5 = 4 hit from orders")
-def g9_limit_hit(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf).select("o_orderkey", F.coalesce(pages.record_count(F.col("v")) >= 3, F.lit(False)).alias("hit"))
-
-
-@R("g1_assess", "select o_orderkey, case o_orderkey % 5 when 0 then 'PARTIAL' when 1 then 'COMPLETE' when 2 then 'PARTIAL' when 3 then 'COMPLETE' else 'PARTIAL' end state, case o_orderkey % 5 when 0 then 'CURSOR' when 1 then 'NO_MORE' when 2 then 'NUMERIC' when 3 then 'NO_MORE' else 'NUMERIC' end reason from orders")
-def g1_assess(spark: SparkSession, sf: str) -> DataFrame:
-    args = F.create_map(F.lit("limit"), F.lit("3"), F.lit("offset"), F.col("o_orderkey").cast("string"))
-    return _pages(spark, sf).withColumn("a", pages.assess(F.col("v"), args)).select("o_orderkey", "a.state", "a.reason")
-
-
-@R("g10_stuck_cursor", "select o_orderkey, case when o_orderkey % 5 = 0 then 'CURSOR_NOT_ADVANCING' end reason from orders where o_orderkey % 5 = 0")
-def g10_stuck_cursor(spark: SparkSession, sf: str) -> DataFrame:
-    args = F.create_map(F.lit("next_cursor"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")))
-    return _pages(spark, sf).withColumn("a", pages.assess(F.col("v"), args)).where("o_orderkey % 5 = 0").select("o_orderkey", "a.reason")
-
-
-@R("g12_truth", "select o_orderkey, o_orderkey % 5 = 0 more from orders")
-def g12_truth(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf).select("o_orderkey", pages.is_true(at(F.col("v"), "$.has_more")).alias("more"))
-
-
-@R("d6_page_merge", "select o_custkey, sum(case o_orderkey % 5 when 0 then 2 when 2 then 1 when 4 then 3 else 0 end)::bigint merged from orders group by 1 having sum(case o_orderkey % 5 when 0 then 2 when 2 then 1 when 4 then 3 else 0 end) > 0")
-def d6_page_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Records of a customer's pages one after the other."""
-    rows = _pages(spark, sf).join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
-    return pages.merge_pages(rows, "o_custkey", ["o_orderkey"]).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("merged"))
-
-
-@R("d6_latest_wrapper", "with p as (select o_custkey, max(o_orderkey) k from orders group by 1) select o_custkey, case k % 5 when 0 then true end more from p")
-def d6_latest_wrapper(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _pages(spark, sf).join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
-    w = pages.merged_wrapper(rows, "o_custkey", ["o_orderkey"])
-    return w.select("o_custkey", F.get_json_object("wrapper", "$.has_more").cast("boolean").alias("more"))
-
-
 QUERIES, ORACLE = R.queries, R.sql

@@ -9,10 +9,11 @@ from tessera.functions.variants import parse, parse_or_text, text_as_json, type_
 from tessera.operators.filters import FilterError, check, compile_filter, filter_hash
 from tessera.operators.select import Order, Select, count, select
 
-PEOPLE = [
-    {"id": 1, "name": "alice", "age": 30, "active": True, "tags": ["python", "sql"]},
-    {"id": 2, "name": "bob", "age": 25, "active": False, "tags": ["go"]},
-    {"id": 3, "name": "carol", "age": 35, "active": True, "tags": ["python", "rust"]},
+BOATS = [
+    {"id": 11, "name": "Petrel", "length": 12.5, "afloat": True, "rig": ["sloop", "genoa"]},
+    {"id": 12, "name": "osprey", "length": 9, "afloat": False, "rig": ["ketch"]},
+    {"id": 13, "name": "Tern%", "length": 17, "afloat": True, "rig": ["genoa", "cutter", None]},
+    {"id": 14, "name": None, "length": "long", "afloat": None, "rig": "sloop"},
 ]
 
 
@@ -32,30 +33,33 @@ def p(path, op, value=None):
 @pytest.mark.parametrize(
     ("raw", "expected"),
     [
-        (p("$.name", "eq", "bob"), [2]),
-        (p("$.name", "ne", "bob"), [1, 3]),
-        (p("$.age", "gt", 28), [1, 3]),
-        (p("$.age", "gte", 30), [1, 3]),
-        (p("$.age", "lt", 30), [2]),
-        (p("$.age", "lte", 30), [1, 2]),
-        (p("$.age", "in", [25, 35]), [2, 3]),
-        (p("$.age", "in", []), []),
-        (p("$.age", "in", [None]), []),
-        (p("$.name", "contains", "AL"), [1]),
-        (p("$.name", "contains", "%"), []),
-        (p("$.tags", "array_contains", "python"), [1, 3]),
-        (p("$.active", "eq", True), [1, 3]),
-        (p("$.missing", "exists"), []),
-        (p("$.missing", "not_exists"), [1, 2, 3]),
-        ({"logic": "and", "filters": [p("$.active", "eq", True), p("$.age", "gt", 30)]}, [3]),
-        ({"logic": "or", "filters": [p("$.id", "eq", 1), {"not": p("$.active", "eq", True)}]}, [1, 2]),
-        ({"logic": "and", "filters": []}, [1, 2, 3]),
+        (p("$.name", "eq", "osprey"), [12]),
+        (p("$.name", "ne", "osprey"), [11, 13]),
+        (p("$.length", "gt", 9), [11, 13, 14]),  # text sorts above numbers
+        (p("$.length", "gte", 12.5), [11, 13, 14]),
+        (p("$.length", "lt", 12.5), [12]),
+        (p("$.length", "lte", 12.5), [11, 12]),
+        (p("$.length", "in", [17, 9, "x"]), [12, 13]),
+        (p("$.length", "in", []), []),
+        (p("$.length", "in", [None]), []),
+        (p("$.name", "contains", "PRE"), [12]),
+        (p("$.name", "contains", "%"), [13]),
+        (p("$.rig", "array_contains", "genoa"), [11, 13]),
+        (p("$.rig", "array_contains", "sloop"), [11]),
+        (p("$.afloat", "eq", True), [11, 13]),
+        (p("$.name", "eq", None), [14]),
+        (p("$.keel", "exists"), []),
+        (p("$.name", "exists"), [11, 12, 13, 14]),
+        (p("$.keel", "not_exists"), [11, 12, 13, 14]),
+        ({"logic": "and", "filters": [p("$.afloat", "eq", True), p("$.length", "gt", 15)]}, [13]),
+        ({"logic": "or", "filters": [p("$.id", "eq", 11), {"not": p("$.afloat", "eq", True)}]}, [11, 12]),
+        ({"logic": "and", "filters": []}, [11, 12, 13, 14]),
         ({"logic": "or", "filters": []}, []),
-        ({"not": p("$.missing", "eq", 1)}, []),  # unknown stays unknown
+        ({"not": p("$.keel", "eq", 1)}, []),  # unknown stays unknown
     ],
 )
 def test_predicates(spark, raw, expected):
-    assert ids(spark, PEOPLE, raw) == expected
+    assert ids(spark, BOATS, raw) == expected
 
 
 def test_storage_classes(spark):
@@ -72,11 +76,11 @@ def test_storage_classes(spark):
 
 
 def test_array_contains_needs_an_array(spark):
-    values = [{"id": i, "t": t} for i, t in enumerate([["python", "sql"], "python", 42, ["go", None], [True]])]
-    assert ids(spark, values, p("$.t", "array_contains", "python")) == [0]
+    values = [{"id": i, "t": t} for i, t in enumerate([["cutter", "jib"], "cutter", 42, ["yawl", None], [True]])]
+    assert ids(spark, values, p("$.t", "array_contains", "cutter")) == [0]
     assert ids(spark, values, p("$.t", "array_contains", 1)) == [4]
     assert ids(spark, values, p("$.t", "array_contains", None)) == [3]
-    assert ids(spark, values, {"not": p("$.t", "array_contains", "python")}) == [1, 2, 3, 4]
+    assert ids(spark, values, {"not": p("$.t", "array_contains", "cutter")}) == [1, 2, 3, 4]
 
 
 def test_filter_errors_and_hash():
@@ -109,6 +113,10 @@ def test_evaluate(spark):
     got = [(r.pos, list(r.match_pos), r.m) for r in jsonpath.evaluate(df, "v", "$.a[*].b").select("pos", "match_pos", F.col("match").cast("int").alias("m")).collect()]
     assert sorted(got) == [(0, [0], 1), (0, [2], 3), (1, [0], 4), (1, [1], 5)]
     assert [r.pos for r in jsonpath.evaluate(df, "v", "$").collect()] == [0, 1, 2, 3]
+    # a field may have any name
+    odd = frame(spark, [{"a": {"end": 5, "x": 6}, "end": {"end": [{"end": 7}, {"end": None}]}}])
+    at = lambda path: [json.loads(r.m) for r in jsonpath.evaluate(odd, "v", path).select(F.to_json("match").alias("m")).collect()]
+    assert at("$.a.end") == [5] and at("$.end.end[*].end") == [7, None] and at("$.end.end[1]") == [{"end": None}] and at("$.a[*]") == [5, 6]
     with pytest.raises(Exception, match="more than 2"):
         jsonpath.evaluate(df, "v", "$.a[*]", max_matches=2).collect()
 
@@ -137,3 +145,41 @@ def test_parsing_text(spark):
     for t in ("", " ", "{} tail", "[1] 2", "1] x", "1} x", "plain"):
         assert got[t] == (None, "string", None), t
     assert got['{"a":1}'][2] == "object" and got['"{\\"a\\":1}"'] == ("string", "string", "object") and got["[1,2]"][2] == "array"
+
+
+def test_evaluate_against_a_walk(spark):
+    """Random trees and paths against a plain walk over them."""
+    import random
+
+    rng = random.Random(21)
+    names = ["a", "end", "b c", "None", "0"]
+
+    def tree(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.25:
+            return rng.choice([1, "x", None, True, []])
+        if kind < 0.7:
+            return {n: tree(depth - 1) for n in rng.sample(names, rng.randint(0, 3))}
+        return [tree(depth - 1) for _ in range(rng.randint(0, 3))]
+
+    def walk(value, steps):
+        if not steps:
+            return [value]
+        step, rest = steps[0], steps[1:]
+        if step is None:
+            inner = value if isinstance(value, list) else [value[k] for k in sorted(value)] if isinstance(value, dict) else []
+        elif isinstance(step, int):
+            inner = [value[step]] if isinstance(value, list) and step < len(value) else []
+        else:
+            inner = [value[step]] if isinstance(value, dict) and step in value else []
+        return [x for v in inner for x in walk(v, rest)]
+
+    trees = [tree(4) for _ in range(60)]
+    df = frame(spark, trees)
+    for _ in range(8):
+        steps = [rng.choice([None, 0, 1, *names]) for _ in range(rng.randint(1, 3))]
+        got = {}
+        for r in jsonpath.evaluate(df, "v", jsonpath.canonical(steps)).select("pos", "match_pos", F.to_json("match").alias("m")).collect():
+            got.setdefault(r.pos, []).append((list(r.match_pos), json.loads(r.m)))
+        for i, t in enumerate(trees):
+            assert [m for _, m in sorted(got.get(i, []), key=lambda x: x[0])] == walk(t, steps), (steps, t)

@@ -104,18 +104,29 @@ def test_profile(spark):
     assert profile.path_profile(df.limit(0), ["g", "idx"], ["g"]).collect() == []
 
 
-def test_pages(spark):
-    def note(page, args):
-        df = spark.createDataFrame([(json.dumps(page), args)], "j string, a map<string,string>").select(F.parse_json("j").alias("v"), "a")
-        return tuple(df.select(pages.assess(F.col("v"), F.col("a")).alias("s")).first().s)
-
-    assert note({"has_more": False, "next_cursor": "x"}, {}) == ("COMPLETE", "NO_MORE", None, None)
-    assert note({"result": {"paging": {"cursors": {"after": "k"}}}}, {}) == ("PARTIAL", "CURSOR", "after", "k")
-    assert note({"next_cursor": "k"}, {"next_cursor": "k"})[1] == "CURSOR_NOT_ADVANCING"
-    assert note({"items": [1, 2]}, {"limit": "2", "offset": "4"}) == ("PARTIAL", "NUMERIC", "offset", "6")
-    assert note({"hasMore": True}, {"page": "3"}) == ("PARTIAL", "NUMERIC", "page", "4")
-    assert note({"items": [1]}, {"limit": "2"}) == ("COMPLETE", "NO_SIGNAL", None, None)
-    assert note({"is_last": False}, {}) == ("PARTIAL", "NEXT_UNKNOWN", None, None)
+def test_next_page():
+    from tessera.operators.nextpage import assess, link_next, more_of
+
+    note = lambda page, args=None, meta=None, **kw: assess(page, args or {}, meta, **kw)
+    assert note({"has_more": False, "next_cursor": "x"})[:4] == ("COMPLETE", None, False, None)
+    assert note({"result": {"paging": {"cursors": {"after": "k"}}}})[3:6] == ('{"after":"k"}', 0.99, "cursor_path")
+    stuck = note({"next_cursor": "k", "has_more": True}, {"Next-Cursor": "k"})
+    assert stuck[:2] == ("PARTIAL", "NEXT_TOKEN_MISSING") and stuck[6]
+    assert note({"next_cursor": "k2"}, {"after": "k"})[3] == '{"after":"k2"}' and note({"cursor": True, "nextCursor": " "})[3] is None
+    assert note({"items": [1, 2]}, {"limit": 2, "offset": 4})[3:6] == ('{"offset":6}', 0.72, "numeric_args")
+    assert note({"hasMore": True}, {"page": 3})[3] == '{"page":4}' and note({"hasMore": True}, {"page": True})[3] is None
+    assert note({"items": [1]}, {"limit": 2})[0] is None and note({"items": [1]}, {"limit": 2}, first=False)[0] == "COMPLETE"
+    assert note({"is_last": False})[:2] == ("PARTIAL", "NEXT_TOKEN_MISSING") and note([1, 2])[0] is None and note({})[0] is None
+    # an address that only repeats the position is no next page, its size alone neither
+    assert note({"next": "/p?after=x&limit=50"}, {"after": "x"})[6] and note({"next": "/p?page=2"}, {"page": 2})[3:6] == ('{"page":3}', 0.68, "numeric_args") and note({"next": "?limit=50"}, {"limit": 10})[3] is None
+    assert note({"next": {"page": 3, "limit": 5}}, {"page": 2})[3] == '{"page":3}'
+    assert link_next('<a>; rel="prev", <b,c>; title="x, y"; rel="next last"') == "b,c" and link_next("<a>; rel=prev") is None and link_next("") is None
+    assert more_of({"next": {"a": ""}}, {}) is False and more_of({}, {"x-has-more": "No"}) is False and more_of({}, {"x-cursor": "c"}) is True
+    assert note({}, {}, {"headers": {"X-Next-Page": "https://h/?page=2"}})[5] == "header_next_url"
+    assert note({"n": None}, {}, config={"strategy": "param_map", "next_params_response_paths": {"a": "$.n"}})[:2] == ("PARTIAL", "SIGNAL_INCONCLUSIVE")
+
+
+def test_leaf_roots(spark):
     roots = spark.createDataFrame([("a", "$"), ("a", "$.x"), ("a", "$.x.y"), ("a", "$.xy"), ("b", "$")], "g string, p string")
     assert sorted(tuple(r) for r in pages.leaf_roots(roots, ["g"], "p").collect()) == [("a", "$.x.y"), ("a", "$.xy"), ("b", "$")]
 
