@@ -89,6 +89,11 @@ def truncated_bytes(c: Column, most: int) -> Column:
     return F.when(F.octet_length(c) <= most, c).otherwise(F.coalesce(whole, *shorter))
 
 
+def without_reserved(args: Column, reserved: str = "_gateway_") -> Column:
+    """A map of arguments without those whose names begin with ``reserved``."""
+    return F.map_filter(args, lambda k, v: ~F.startswith(k, F.lit(reserved)))
+
+
 def placeholder_cursor(c: Column) -> Column:
     """Whether a cursor value is one that callers write when they have none."""
     return F.lower(F.trim(c)).isin("", "null", "none", "undefined", "string", "<cursor>", "cursor", "next_cursor", "...")

@@ -2,90 +2,95 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import TYPE_ORDER, path_step, truncated
-from tessera.functions.variants import elements, members, text_of, type_name
-from tessera.operators.nesting import _utf8, parse
+from tessera.functions.text import TYPE_ORDER
+from tessera.functions.variants import members, type_name
+from tessera.operators.nesting import Number, _utf8, parse_exact
 from tessera.operators.paths import name_step
-from tessera.session import cut_lineage
 
 FIELDS_TOP_LIMIT = 50
 
 
-def nodes(records: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """(keys, path, kind, x): every value of every record below its root, positions left out.
+_KINDS = {type(None): 1, bool: 2, Number: 4, str: 8, list: 16, dict: 32}  # bits in the order of TYPE_ORDER
+_MOST_PATHS = 100_000  # paths a task holds before it passes them on
+_COUNTS = "root_path string, path string, kinds int, n bigint, example struct<artifact_id:string,idx:int,value:string>, scalar struct<artifact_id:string,idx:int,value:string>"
 
-    One level of the tree a round, as deep as the deepest record; scalars leave the loop at once. Each
-    level is written down, so no level is worked out again for the next.
-    """
-    frontier = records.select(*keys, F.lit("$").alias("path"), F.col(value).alias("x")).withColumn("kind", type_name(F.col("x")))
-    levels = []
-    while True:
-        inner = frontier.where(F.col("kind").isin("object", "array"))
-        if not inner.limit(1).count():
-            break
-        named = inner.where("kind = 'object'").select(*keys, "path", F.explode(members(F.col("x"))).alias("name", "x")).withColumn("path", F.concat("path", path_step(F.col("name")))).drop("name")
-        listed = inner.where("kind = 'array'").select(*keys, F.concat("path", F.lit("[*]")).alias("path"), F.explode(elements(F.col("x"))).alias("x"))
-        frontier = cut_lineage(named.unionByName(listed).withColumn("kind", type_name(F.col("x"))))
-        levels.append(frontier)
-    empty = records.select(*keys, F.lit("").alias("path"), F.col(value).alias("x"), F.lit("").alias("kind")).limit(0)
-    return reduce(DataFrame.unionByName, levels, empty)
-
-
-def path_profile(records: DataFrame, keys: list[str], group: list[str], value: str = "v") -> DataFrame:
-    """Per group and path: types, records that have it, nullable, required, and an example."""
-    found = nodes(records, keys, value)
-    # a record counts once for a path, whatever the number of places it has it at
-    per_record = found.groupBy(*keys, "path").agg(F.collect_set("kind").alias("kinds"), F.min(F.when(F.col("kind") != "null", text_of(F.col("x")))).alias("example"))
-    totals = records.groupBy(*group).agg(F.countDistinct(*keys).alias("total"))
-    merged = per_record.groupBy(*group, "path").agg(F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"), F.count(F.lit(1)).alias("observed"), F.min("example").alias("example"))
-    order = F.array(*[F.lit(t) for t in TYPE_ORDER])
-    types = F.filter(order, lambda t: F.array_contains(F.col("kinds"), t))
-    return merged.join(totals, group).select(*group, "path", types.alias("types"), "observed", F.array_contains("kinds", "null").alias("nullable"), (F.col("observed") == F.col("total")).alias("required"), truncated(F.col("example")).alias("example"))
-
-
-_KINDS = {type(None): 1, bool: 2, int: 4, float: 4, str: 8, list: 16, dict: 32}  # bits in the order of TYPE_ORDER
-_MOST_PATHS = 100_000  # counts a task holds before it passes them on
-
-
-def _paths(text: str) -> dict[str, int] | None:
-    """The paths below a record's root with the kinds they have, None if it is no valid JSON."""
-    ok, value = parse(text)
+
+def _preview(value: object) -> str:
+    """A value as an example shows it: texts as they are, all else as JSON with sorted names; long ones cut."""
+    text = value if isinstance(value, str) else _json(value)
+    return _utf8(text if len(text) <= 30 else f"[{text[:30]}]({len(text) - 30} more chars truncated)")
+
+
+def _json(value: object) -> str:
+    if isinstance(value, Number):
+        return str(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_json, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _paths(text: str) -> dict[str, list] | None:
+    """The paths below a record's root with their kinds, first value and first scalar, names in sorted order; None if it is no valid JSON."""
+    ok, value = parse_exact(text)
     if not ok:
         return None
-    found: dict[str, int] = {}
-    left = [("$", value)]
+    found: dict[str, list] = {}
+    left: list[tuple[str, object]] = [("", value)]
     while left:
         path, x = left.pop()
-        inner = [(path + name_step(k), v) for k, v in x.items()] if type(x) is dict else [(path + "[*]", v) for v in x] if type(x) is list else ()
-        for at, v in inner:
-            found[at] = found.get(at, 0) | _KINDS[type(v)]
-            if type(v) is dict or type(v) is list:
-                left.append((at, v))
+        kind = type(x)
+        if path:
+            own = found.get(path)
+            if own is None:
+                own = found[path] = [0, x, _MISSING]
+            own[0] |= _KINDS[kind]
+            if own[2] is _MISSING and kind is not dict and kind is not list:
+                own[2] = x
+        if kind is dict:
+            at = path or "$"
+            left.extend([(at + name_step(k), x[k]) for k in sorted(x, reverse=True)])
+        elif kind is list:
+            at = (path or "$") + "[*]"
+            left.extend([(at, v) for v in reversed(x)])
     return found
 
 
+_MISSING = object()
+
+
 def _count_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("root_path", pa.string()), ("path", pa.string()), ("kinds", pa.int32()), ("n", pa.int64())])
-    counts: dict[tuple, list[int]] = {}
+    first = pa.struct([("artifact_id", pa.string()), ("idx", pa.int32()), ("value", pa.string())])
+    schema = pa.schema([("root_path", pa.string()), ("path", pa.string()), ("kinds", pa.int32()), ("n", pa.int64()), ("example", first), ("scalar", first)])
+    counts: dict[tuple, list] = {}
     key: tuple | None = None
-    record: dict[str, int] | None = None  # of all rows of one key
+    record: dict[str, list] | None = None  # of all rows of one key
 
     def close() -> None:
-        if record is not None:
-            for path, kinds in [("", 0), *record.items()]:
-                own = counts.setdefault((key[1], path), [0, 0])
-                own[0] |= kinds
-                own[1] += 1
+        if record is None:
+            return
+        counts.setdefault((key[1], ""), [0, 0, None, None])[1] += 1
+        at = {"artifact_id": key[0], "idx": key[2]}
+        for path, (kinds, value, scalar) in record.items():
+            own = counts.setdefault((key[1], path), [0, 0, None, None])
+            own[0] |= kinds
+            own[1] += 1
+            # keys come in order, so the first of a task is its least
+            if own[2] is None:
+                own[2] = at | {"value": _preview(value)}
+            if own[3] is None and scalar is not _MISSING:
+                own[3] = at | {"value": _utf8(_json(scalar))}
 
     def flush() -> pa.RecordBatch:
-        rows = [(r, _utf8(p), k, n) for (r, p), (k, n) in counts.items()]
+        rows = [(r, _utf8(p), *own) for (r, p), own in counts.items()]
         counts.clear()
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -96,8 +101,16 @@ def _count_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 close()
                 key, record = own, None
             found = _paths(text)
-            if found is not None:
-                record = found if record is None else {p: record.get(p, 0) | found.get(p, 0) for p in record | found}
+            if found is None:
+                continue
+            if record is None:
+                record = found
+            else:
+                for path, (kinds, value, scalar) in found.items():
+                    known = record.setdefault(path, [0, value, scalar])
+                    known[0] |= kinds
+                    if known[2] is _MISSING:
+                        known[2] = scalar
         if len(counts) > _MOST_PATHS:
             yield flush()
     close()
@@ -105,22 +118,37 @@ def _count_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def record_profile(records: DataFrame) -> DataFrame:
-    """Per root_path and path: types, records that have it, nullable, required.
+    """Per root_path and path: types, records that have it, nullable, required, example, distinct_values, cardinality.
 
     A record is what has one (artifact_id, root_path, idx), null parts equal each other; rows that repeat
     a key count once, with all their paths. Null records and texts that are no valid JSON count as none.
+    ``example`` is the value seen first, by artifact, index and sorted names; ``distinct_values`` has the
+    first scalar as JSON text and ``cardinality`` tells that there is one, as the catalog keeps them.
     Each task adds up its own records, so only counts are shuffled; there is no limit of depth but the
     parser's.
     """
     key = ["artifact_id", "root_path", "idx"]
-    rows = records.where("record is not null").select(*key, "record").repartition(*key).sortWithinPartitions(*key)
-    counts = rows.mapInArrow(_count_paths, "root_path string, path string, kinds int, n bigint")
-    counts = counts.groupBy("root_path", "path").agg(F.bit_or("kinds").alias("kinds"), F.sum("n").alias("observed"))
+    rows = records.where("record is not null").select(*key, "record").repartition(*key).sortWithinPartitions(*key, "record")
+    counts = rows.mapInArrow(_count_paths, _COUNTS)
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.col(c)))["value"].alias(c)
+    counts = counts.groupBy("root_path", "path").agg(F.bit_or("kinds").alias("kinds"), F.sum("n").alias("observed"), first("example"), first("scalar"))
     totals = counts.where("path = ''").select(F.col("root_path").alias("of"), F.col("observed").alias("total"))
     out = counts.where("path <> ''").join(totals, F.col("root_path").eqNullSafe(F.col("of")))
     kind = lambda i: F.col("kinds").bitwiseAND(1 << i) != 0
     types = F.filter(F.array(*[F.when(kind(i), t) for i, t in enumerate(TYPE_ORDER)]), lambda t: t.isNotNull())
-    return out.select("root_path", "path", types.alias("types"), "observed", kind(0).alias("nullable"), (F.col("observed") == F.col("total")).alias("required"))
+    values = F.when(F.col("scalar").isNotNull(), F.concat(F.lit("["), F.col("scalar"), F.lit("]")))
+    return out.select("root_path", "path", types.alias("types"), "observed", kind(0).alias("nullable"), (F.col("observed") == F.col("total")).alias("required"), "example", values.alias("distinct_values"), F.when(F.col("scalar").isNotNull(), 1).alias("cardinality"))
+
+
+def merged_profile(profiles: DataFrame, group: list[str]) -> DataFrame:
+    """Profiles of several roots as one per ``group`` and path: types united, counts added, nullable if one is, the first root's example.
+
+    Rows have root_path, path, types, observed, nullable, example.
+    """
+    first = F.min(F.when(F.col("example").isNotNull(), F.struct("root_path", "example")))["example"]
+    seen = profiles.groupBy(*group, "path").agg(F.array_distinct(F.flatten(F.collect_set("types"))).alias("kinds"), F.sum("observed").alias("observed"), F.max("nullable").alias("nullable"), first.alias("example"))
+    types = F.filter(F.array(*[F.lit(t) for t in TYPE_ORDER]), lambda t: F.array_contains(F.col("kinds"), t))
+    return seen.select(*group, "path", types.alias("types"), "observed", "nullable", "example")
 
 
 def fields_top(records: DataFrame, group: list[str], index: str = "idx", value: str = "v", limit: int = FIELDS_TOP_LIMIT) -> DataFrame:

@@ -33,24 +33,45 @@ def a6_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("artifact_id", "root_path").agg(F.countDistinct("idx").alias("records"), F.count(F.when(type_name(F.col("v")) == "object", 1)).alias("objects"), F.max("idx").alias("last_idx"))
 
 
+#: Every value below a record's root: path, value and where it comes in the order of sorted names.
+_NODES = r"""with recursive r as (select distinct artifact_id a, root_path rp, idx i, record t, record::json j from artifact_records where json_valid(record)),
+n as (
+  select a, rp, i, t, '$' path, j v, []::varchar[] ord from r
+  union all
+  select a, rp, i, t, n.path || case when json_type(v) = 'ARRAY' then '[*]' when regexp_full_match(e.key, '[A-Za-z_][A-Za-z0-9_]*') then '.' || e.key else '[''' || replace(replace(e.key, '\', '\\'), '''', '\''') || ''']' end,
+    e.value, list_append(ord, case when json_type(v) = 'ARRAY' then lpad(e.key, 9, '0') else e.key end)
+  from n, json_each(case when json_type(v) in ('OBJECT', 'ARRAY') then v else '[]'::json end) e),
+total as (select rp, count(distinct {'a': a, 'i': i}) total from r group by 1)
+"""
+
+
 @R(
     "a7_path_profile",
-    """with r as (select distinct root_path, record from artifact_records where json_valid(record) and root_path <> '$'), n as (select root_path, record, t.* from r, json_tree(r.record) t),
-    p as (select root_path, record, type, regexp_replace(regexp_replace(fullkey, '\\[\\d+\\]', '[*]', 'g'), '\\."([A-Za-z_][A-Za-z0-9_]*)"', '.\\1', 'g') path from n where fullkey <> '$'),
-    q as (select root_path, record, regexp_replace(path, '\\."([^"]*)"', '[''\\1'']', 'g') path, type from p),
-    total as (select root_path, count(*) total from r group by 1)
-    select root_path, path, count(distinct record)::bigint observed, bool_or(type = 'NULL') nullable, count(distinct record) = any_value(total) required from q join total using (root_path) group by 1, 2""",
-)
+    _NODES
+    + "select rp root_path, path, list_filter(['null', 'boolean', 'number', 'string', 'array', 'object'], lambda x: list_contains(kinds, x)) types, observed, nullable, observed = total required from ("
+    + "select rp, path, list(distinct " + _TYPE.format(t="json_type(v)") + ") kinds, count(distinct {'a': a, 'i': i})::bigint observed, bool_or(json_type(v) = 'NULL') nullable from n where path <> '$' group by 1, 2) join total using (rp)",
+)
 def a7_path_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Every path of the records below named roots, with how many different texts have it (M3); ``a7_record_profile`` is of all records."""
-    rows = table(spark, sf, "artifact_records").where("root_path <> '$'").select("root_path", "record").distinct().select("root_path", "record", once(F.try_parse_json("record")).alias("v")).where("v is not null")
-    return profile.path_profile(rows, ["root_path", "record"], ["root_path"]).select("root_path", "path", "observed", "nullable", "required")
+    """Every path of the records of every root with its types and how many records have it (M3)."""
+    return profile.record_profile(table(spark, sf, "artifact_records")).select("root_path", "path", "types", "observed", "nullable", "required")
 
 
-@R("a7_record_profile")
-def a7_record_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Every path of the records of every root, ``$`` too, with how many records have it (M3)."""
-    return profile.record_profile(table(spark, sf, "artifact_records"))
+@R(
+    "a9_first_values",
+    _NODES + ", f as (select rp, path, arg_min(v, {'a': a, 'i': i, 't': t, 'o': ord}) v from n where path <> '$' and json_type(v) not in ('OBJECT', 'ARRAY') group by 1, 2) "
+    "select rp root_path, path, case when json_type(v) in ('VARCHAR', 'BOOLEAN', 'NULL') then '[' || v::varchar || ']' end \"values\", case when json_type(v) not in ('VARCHAR', 'BOOLEAN', 'NULL') then (v->>'$')::double end number, 1 cardinality from f",
+)
+def a9_first_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The first scalar of every path, by artifact, index and sorted names."""
+    found = profile.record_profile(table(spark, sf, "artifact_records")).where("cardinality is not null")
+    number = F.regexp_extract("distinct_values", r"^\[(-?[0-9].*)\]$", 1).try_cast("double")
+    return found.select("root_path", "path", F.when(number.isNull(), F.col("distinct_values")).alias("values"), number.alias("number"), "cardinality")
+
+
+@R("a10_merged_profile", _NODES + ", k as (select distinct a, rp, i, path, " + _TYPE.format(t="json_type(v)") + " kind from n where path <> '$') select path, list_filter(['null', 'boolean', 'number', 'string', 'array', 'object'], lambda x: list_contains(list(distinct kind), x)) types, count(distinct {'a': a, 'r': rp, 'i': i})::bigint observed, bool_or(kind = 'null') nullable from k group by 1")
+def a10_merged_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The profiles of all roots as one."""
+    return profile.merged_profile(profile.record_profile(table(spark, sf, "artifact_records")), []).drop("example")
 
 
 @R("m13_schema_hash", "with f as (select distinct artifact_id, root_key, field_path, types from artifact_schema_fields where types is not null) select artifact_id, root_key, 'sha256:' || sha256('[' || string_agg('{\"path\":' || to_json(field_path) || ',\"types\":' || to_json(types) || '}', ',' order by '{\"path\":' || to_json(field_path) || ',\"types\":' || to_json(types) || '}') || ']') schema_hash from f group by 1, 2")
@@ -82,13 +103,13 @@ def m6_reservoir(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.reservoir(rows, ["artifact_id", "root_path"], "idx", "size", "seed")
 
 
-@R("m5_streamed_roots", ENVELOPES + "select payload_hash_full, json_array_length(j, '$.content')::bigint elements from e")
+@R("m5_streamed_roots", ENVELOPES + "select payload_hash_full, '$.content' root_path, json_array_length(j, '$.content')::bigint elements, true closed, null::varchar stop_reason from e")
 def m5_streamed_roots(spark: SparkSession, sf: str) -> DataFrame:
-    """Outermost arrays found in one pass over the text, within budgets (SRC15, M10, M11)."""
+    """Outermost arrays found in one pass over the text, with why the pass stopped where it did (SRC15, M10, M11)."""
     from tessera.operators.partial import map_payloads
 
     roots = map_payloads(envelopes(spark, sf), "payload_hash_full", "envelope")
-    return roots.where("root_path = '$.content' and closed").select("payload_hash_full", "elements")
+    return roots.where("root_path = '$.content'").select("payload_hash_full", "root_path", "elements", "closed", "stop_reason")
 
 
 @R("m12_collapsed")
@@ -139,11 +160,10 @@ def a16_cardinality(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("root_type in ('array', 'object')")
 
 
-@R("src3_json_or_text", "select doc_id, case when json_valid(text) then " + _TYPE.format(t="json_type(text)") + " else 'string' end kind from documents where text is not null and text <> '' and not regexp_matches(text, '^\\s*(-?\\d|[A-Za-z\"])')")
+@R("src3_json_or_text", "select doc_id, case when json_valid(text) then " + _TYPE.format(t="json_type(text)") + " else 'string' end kind from documents where text is not null")
 def src3_json_or_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that start like JSON objects or arrays, by what they parse to."""
-    rows = table(spark, sf, "documents").where("text is not null and text <> ''").where(~F.rlike("text", F.lit('^\\s*(-?\\d|[A-Za-z"])')))
-    return rows.select("doc_id", type_name(parse_or_text(F.col("text"))).alias("kind"))
+    """Documents by what they parse to, text if they are no JSON."""
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", type_name(parse_or_text(F.col("text"))).alias("kind"))
 
 
 @R("src5_envelope_faults", ENVELOPES + "select payload_hash_full, j->>'$.status' status, (j->>'$.status' = 'error') <> (coalesce(json_type(j, '$.error'), 'NULL') <> 'NULL') bad_error from e")
@@ -154,12 +174,11 @@ def src5_envelope_faults(spark: SparkSession, sf: str) -> DataFrame:
     return envelopes(spark, sf).select("payload_hash_full", status.alias("status"), ((status == "error") != F.coalesce(~F.is_variant_null(error), F.lit(False))).alias("bad_error"))
 
 
-@R("src6_reserved_args", "select doc_id, lang from documents where not starts_with(coalesce(source, ''), 'outputs.')")
+@R("src6_reserved_args", "select doc_id, case when source is null then '{}' else json_object('source', source) end::varchar args from documents")
 def src6_reserved_args(spark: SparkSession, sf: str) -> DataFrame:
-    """Arguments without reserved names: a map filter on names with a reserved start."""
-    args = F.create_map(F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
-    left = F.map_filter(args, lambda k, v: ~F.startswith(k, F.lit("outputs.")))
-    return table(spark, sf, "documents").where(F.size(left) > 0).select("doc_id", "lang")
+    """A call's arguments without those kept for the gateway."""
+    args = F.map_filter(F.create_map(F.lit("_gateway_context"), F.lit("x"), F.lit("source"), F.col("source"), F.lit("_gateway_chain"), F.col("lang")), lambda k, v: v.isNotNull())
+    return table(spark, sf, "documents").select("doc_id", F.to_json(text.without_reserved(args)).alias("args"))
 
 
 @R("src7_oversize_parts", ENVELOPES + "select payload_hash_full, (length(j->>'$.content[0].value') > 1000) oversize from e where json_type(j, '$.content[0].type') = 'VARCHAR' and j->>'$.content[0].type' = 'json'")
@@ -249,9 +268,9 @@ def s2_path_step(spark: SparkSession, sf: str) -> DataFrame:
     return keys.select("k", text.path_step(F.col("k")).alias("step"))
 
 
-@R("s7_truncate", "select doc_id, case when length(text) > 30 then '[' || left(text, 30) || '](' || (length(text) - 30) || ' more chars truncated)' else text end short from documents where regexp_full_match(text, '[ -~]*')")
+@R("s7_truncate", "select doc_id, case when length(text) > 30 then '[' || left(text, 30) || '](' || (length(text) - 30) || ' more chars truncated)' else text end short from documents")
 def s7_truncate(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where(F.rlike("text", F.lit("^[ -~]*$")) & ~F.contains("text", F.lit("\n"))).select("doc_id", text.truncated(F.col("text")).alias("short"))
+    return table(spark, sf, "documents").select("doc_id", text.truncated(F.col("text")).alias("short"))
 
 
 @R("s11_sha", "select doc_id, substr(sha256(text), 1, 32) h from documents where text is not null")
@@ -264,22 +283,30 @@ def s12_base64url(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "artifacts").select("artifact_id", text.base64url(F.col("artifact_id").cast("binary")).alias("b")).distinct()
 
 
-_SECRETS = "'https://h/p?access_token=t' || doc_id || 'x&x=1 Authorization: Bearer abcdef' || doc_id || ' sk_live_12345678' || doc_id || ' ghp_123456789012345678901234' || ' end'"
-_REDACTED = "'https://h/p?access_token=[REDACTED_SECRET]&x=1 Authorization: Bearer [REDACTED_SECRET] [REDACTED_SECRET] [REDACTED_SECRET] end'"
+_SECRETS = "' https://h/p?access_token=t' || doc_id || 'x&x=1 Authorization: Bearer abcdef' || doc_id || ' sk_live_12345678' || doc_id || ' ghp_123456789012345678901234 github_pat_12345678901234567890 xoxb-1234567890 EAabcdefghij1234567890'"
+
+
+def _redacted(c: str) -> str:
+    for kept, secret in redaction.PATTERNS:
+        c = f"regexp_replace({c}, '{kept}{secret}', '\\1[REDACTED_SECRET]', '{'gi' if kept.startswith('(?i)') else 'g'}')".replace("(?i)", "")
+    return c
 
 
-@R("s14_redact", f"select doc_id, coalesce(lang, '') || {_REDACTED} as text, 4::int n from documents")
+@R("s14_redact", f"with d as (select doc_id, coalesce(text, '') || {_SECRETS} t from documents) select doc_id, case when octet_length(encode(t)) <= 32768 then md5({_redacted('t')}) else md5(t) end as text_md5, case when octet_length(encode(t)) <= 32768 then 7 else 0 end::int n from d")
 def s14_redact(spark: SparkSession, sf: str) -> DataFrame:
-    """Secrets of four kinds put behind every document's language are all replaced."""
-    rows = table(spark, sf, "documents").select("doc_id", F.expr("coalesce(lang, '') || " + _SECRETS).alias("t"))
-    return rows.select("doc_id", redaction.redact(F.col("t")).alias("text"), redaction.secrets(F.col("t")).cast("int").alias("n"))
+    """Secrets of seven kinds behind every document's whole text are all replaced; texts over the scan limit stay."""
+    rows = table(spark, sf, "documents").select("doc_id", F.expr("coalesce(text, '') || " + _SECRETS).alias("t"))
+    return rows.select("doc_id", F.md5(redaction.redact(F.col("t"))).alias("text_md5"), redaction.secrets(F.col("t")).cast("int").alias("n"))
 
 
-@R("s20_redact_json", "select doc_id, '{\"a\":[\"Bearer [REDACTED_SECRET]\"],\"b\":\"{\\\"c\\\":\\\"sk [REDACTED_SECRET]\\\"}\"}' as text from documents")
+@R("s20_redact_json", "select artifact_id, root_path, idx, 'Bearer [REDACTED_SECRET]' secret, '{\"c\":\"sk [REDACTED_SECRET]\"}' inner_text, true same from artifact_records where json_valid(record)")
 def s20_redact_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Secrets in trees, also in JSON inside strings."""
-    tree = F.expr("""'{"a":["Bearer abcdef' || doc_id || '"],"b":"{\\\\"c\\\\":\\\\"sk sk_live_12345678' || doc_id || '\\\\"}"}'""")
-    return table(spark, sf, "documents").select("doc_id", redaction.redact_json(tree).alias("text"))
+    """Secrets beside every record in a tree, also in JSON inside a string, are replaced; the record stays as it is."""
+    rows = spread(table(spark, sf, "artifact_records").where(F.try_parse_json("record").isNotNull()).select(*KEY, "record"))
+    tree = F.concat(F.lit('{"a":"Bearer abcdef'), F.coalesce(F.col("idx").cast("string"), F.lit("")), F.lit('1","b":"{\\"c\\":\\"sk sk_live_12345678\\"}","r":'), F.col("record"), F.lit("}"))
+    clean = rows.select(*KEY, "record", redaction.redact_json(tree).alias("clean")).select(*KEY, "record", once(F.parse_json("clean")).alias("v"))
+    same = F.to_json(at(F.col("v"), "$.r")) == F.to_json(F.parse_json("record"))
+    return clean.select(*KEY, F.try_variant_get("v", "$.a", "string").alias("secret"), F.try_variant_get("v", "$.b", "string").alias("inner_text"), same.alias("same"))
 
 
 @R("s27_names", "select distinct source_tool, replace(replace(replace(replace(lower(trim(source_tool)), '-', ''), '_', ''), '.', ''), ' ', '') as name from artifacts")
@@ -299,10 +326,10 @@ def s29_link_header(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.link_next(header).alias("next_url"))
 
 
-@R("s32_probe_hash", "select doc_id, sha256(encode(text)[1:16]) head, sha256(encode(text)[greatest(octet_length(encode(text)) - 15, 1):]) tail from documents where text is not null and regexp_full_match(text, '[ -~]+')")
+@R("s32_probe_hash", "select doc_id, sha256(encode(text)[1:16]) head, sha256(encode(text)[greatest(octet_length(encode(text)) - 15, 1):]) tail from documents where text is not null")
 def s32_probe_hash(spark: SparkSession, sf: str) -> DataFrame:
     h = text.probe_hashes(F.col("text").cast("binary"), 16)
-    return table(spark, sf, "documents").where(F.rlike("text", F.lit("^[ -~]+$")) & ~F.contains("text", F.lit("\n"))).select("doc_id", h["head"].alias("head"), h["tail"].alias("tail"))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", h["head"].alias("head"), h["tail"].alias("tail"))
 
 
 @R("s33_fts_tokens", "select doc_id, len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))::int n from documents where text is not null")
@@ -329,10 +356,15 @@ def s37_primary_root(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "artifacts").select("artifact_id").distinct().join(roots, "artifact_id", "left").select("artifact_id", F.coalesce("p", F.lit("$")).alias("root_path"))
 
 
-@R("s40_placeholders", "select distinct lang, lower(trim(lang)) in ('', 'null', 'none', 'undefined', 'string', 'en') is_placeholder from documents")
+_CURSOR_TEXTS = ["", "null", " None ", "UNDEFINED", "string", "<cursor>", "cursor", "next_cursor", "..."]
+
+
+@R("s40_placeholders", "select doc_id, c.\"at\"::int \"at\", c.\"at\" < 9 is_placeholder from documents, (select unnest(range(10)) \"at\") c where lang is not null")
 def s40_placeholders(spark: SparkSession, sf: str) -> DataFrame:
-    lang = F.col("lang")
-    return table(spark, sf, "documents").select("lang", (text.placeholder_cursor(lang) | (F.lower(F.trim(lang)) == "en")).alias("is_placeholder")).distinct()
+    """Cursor values that callers write when they have none, beside a real one."""
+    given = F.array(*map(F.lit, _CURSOR_TEXTS), F.concat("lang", F.lit("-"), F.col("doc_id").cast("string")))
+    rows = table(spark, sf, "documents").where("lang is not null").select("doc_id", F.posexplode(given).alias("at", "c"))
+    return rows.select("doc_id", "at", text.placeholder_cursor(F.col("c")).alias("is_placeholder"))
 
 
 QUERIES, ORACLE = R.queries, R.sql

@@ -97,13 +97,6 @@ def test_sampling_invariants(spark):
     assert g.state[0] == 0xE220A8397B1DCDAF and 0 <= g.random() < 1
 
 
-def test_profile(spark):
-    df = spark.createDataFrame([("a", 0, '{"x":[{"y":1},{"y":null}],"z w":"s"}'), ("a", 1, '{"x":[]}')], "g string, idx int, j string").select("g", "idx", F.parse_json("j").alias("v"))
-    got = {r.path: (r.types, r.observed, r.nullable, r.required) for r in profile.path_profile(df, ["g", "idx"], ["g"]).collect()}
-    assert got == {"$.x": (["array"], 2, False, True), "$.x[*]": (["object"], 1, False, False), "$.x[*].y": (["null", "number"], 1, True, False), "$['z w']": (["string"], 1, False, False)}
-    assert profile.path_profile(df.limit(0), ["g", "idx"], ["g"]).collect() == []
-
-
 def test_next_page():
     from tessera.operators.nextpage import assess, link_next, more_of
 
@@ -227,3 +220,10 @@ def test_record_profile_of_all_records(spark):
         (None, "$.x"): (["string"], 1, False, True),
     }
     assert got["$.r", "$" + ".d" * 100] == (["number"], 1, False, True) and sum(k[0] == "$.r" for k in got) == 100
+    rows = [("b", "$", 0, '{"x":"late"}'), ("a", "$", 3, '{"x":{"k":1}}'), ("a", "$", 4, '{"x":7.50,"l":[{"z":1},{"b":"' + "y" * 40 + '"}]}'), ("a", "$.o", 0, '{"x":null}')]
+    profiles = profile.record_profile(spark.createDataFrame(rows, "artifact_id string, root_path string, idx int, record string"))
+    seen = {(r.root_path, r.path): (r.example, r.distinct_values, r.cardinality) for r in profiles.collect()}
+    assert seen["$", "$.x"] == ('{"k":1}', "[7.50]", 1) and seen["$.o", "$.x"] == ("null", "[null]", 1) and seen["$", "$.l[*]"] == ('{"z":1}', None, None)
+    assert seen["$", "$.l[*].b"][0] == "[" + "y" * 30 + "](10 more chars truncated)"
+    merged = {r.path: (r.types, r.observed, r.nullable, r.example) for r in profile.merged_profile(profiles.withColumn("g", F.lit(1)), ["g"]).collect()}
+    assert merged["$.x"] == (["null", "number", "string", "object"], 4, True, '{"k":1}')
