@@ -136,3 +136,30 @@ shape_of = _on_json(lambda v: json.dumps(shape(v), sort_keys=True))
 def canonical_hash(text: Column) -> Column:
     """sha256 of the canonical form."""
     return F.sha2(canonical(text), 256)
+
+
+def _cut(value: Any) -> tuple[Any, bool]:
+    if isinstance(value, str) and len(value) > 30:
+        return f"[{value[:30]}]({len(value) - 30} more chars truncated)", True
+    if isinstance(value, list):
+        parts = [_cut(v) for v in value]
+        return [v for v, _ in parts], any(t for _, t in parts)
+    if isinstance(value, dict):
+        own = {k: _cut(v) for k, v in value.items()}
+        return {k: v for k, (v, _) in own.items()}, any(t for _, t in own.values())
+    return value, False
+
+
+def _sample(value: Any) -> str | None:
+    if not isinstance(value, list) or not value:
+        return None
+    first = shape(value[0])
+    if any(shape(v) != first for v in value[1:]):
+        return None
+    item, cut = _cut(value[0])
+    out = {"sample_item": item, "sample_item_source_index": 0, "sample_item_count": len(value)} | ({"sample_item_text_truncated": True} if cut else {})
+    return canonical_text(out)
+
+
+#: The first of a list's items with long texts cut, as JSON, if all items have its structure; else null.
+representative_sample = _on_json(_sample)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.canonical import canonical as canonical_json
+
 # Spellings of media types and the file endings of the usual ones.
 MIME_ALIASES = {"image/jpg": "image/jpeg", "text/json": "application/json", "application/x-json": "application/json", "text/x-csv": "text/csv", "application/csv": "text/csv"}
 EXTENSIONS = {"application/json": ".json", "text/csv": ".csv", "text/plain": ".txt", "application/pdf": ".pdf", "image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "text/html": ".html", "application/zip": ".zip"}
@@ -89,6 +91,26 @@ def truncated_bytes(c: Column, most: int) -> Column:
     return F.when(F.octet_length(c) <= most, c).otherwise(F.coalesce(whole, *shorter))
 
 
+def request_identity(upstream: str, prefix: str, tool: str, args: str) -> Column:
+    """A hash that names a request: the same for all serialisations of its arguments (JSON text, null for none)."""
+    canonical = canonical_json(F.coalesce(F.col(args), F.lit("{}")))
+    return F.sha2(F.concat_ws("|", F.coalesce(upstream, F.lit("")), F.coalesce(prefix, F.lit("")), F.coalesce(tool, F.lit("")), canonical), 256)
+
+
+def utc_time(text: Column) -> Column:
+    """An ISO time with ``Z`` or an offset as UTC, one without as it is; null for other text."""
+    zoned = F.try_to_timestamp(F.when(F.rlike(text, F.lit(r"(?i)(Z|[+-]\d\d:?\d\d)$")), text))
+    return F.coalesce(F.to_utc_timestamp(zoned, F.current_timezone()).cast("timestamp_ntz"), text.try_cast("timestamp_ntz"))
+
+
+def with_locator(record: Column, artifact: Column, root: Column, index: Column) -> Column:
+    """A record's JSON text with where it comes from: objects get a ``_locator``, other values are wrapped as ``value``."""
+    place = F.to_json(F.struct(artifact.alias("artifact_id"), root.alias("root_path"), index.alias("index")))
+    body = F.btrim(record, F.lit(" \t\r\n"))
+    inner = F.regexp_replace(body, r"^\{\s*", "")
+    return F.when(F.startswith(body, F.lit("{")), F.concat(F.lit('{"_locator":'), place, F.when(F.startswith(inner, F.lit("}")), F.lit("")).otherwise(","), inner)).otherwise(F.concat(F.lit('{"_locator":'), place, F.lit(',"value":'), body, F.lit("}")))
+
+
 def without_reserved(args: Column, reserved: str = "_gateway_") -> Column:
     """A map of arguments without those whose names begin with ``reserved``."""
     return F.map_filter(args, lambda k, v: ~F.startswith(k, F.lit(reserved)))

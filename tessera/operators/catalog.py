@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.hierarchy import hierarchy
+from tessera.operators.series import numbered, with_previous
+
 
 def valid_rows(artifacts: DataFrame) -> DataFrame:
     """One row per artifact_id: the highest generation, then the latest delivery."""
@@ -33,9 +36,25 @@ def blob_list(links: DataFrame) -> DataFrame:
     return links.groupBy("binary_hash").agg(F.countDistinct("artifact_id").alias("artifacts"), F.min("artifact_id").alias("first_artifact"), F.max("byte_count").alias("byte_count"))
 
 
-def previous_capture(artifacts: DataFrame, value: str) -> Column:
-    """The value of the capture before, of the same session and tool."""
-    return F.lag(value).over(Window.partitionBy("session_id", "source_tool").orderBy("created_seq", "artifact_id"))
+def previous_capture(artifacts: DataFrame, value: str, out: str) -> DataFrame:
+    """``artifacts`` with the value of the capture before, of the same session and tool, however many these have."""
+    rows = artifacts.withColumn("_own", F.struct("artifact_id", F.col(value).alias("value")))
+    return with_previous(rows, ["session_id", "source_tool"], "created_seq", "_own", "_before").withColumn(out, F.col("_before.value")).drop("_own", "_before")
+
+
+def chains(artifacts: DataFrame, valid_by: tuple[str, ...] = ("generation", "ingested_at")) -> DataFrame:
+    """(artifact_id, chain_id): the artifacts tied together by parent links in any direction.
+
+    Going up from anywhere in a chain ends at one place, its root or its cycle, which names the chain.
+    """
+    found = hierarchy(artifacts, "artifact_id", "parent_artifact_id", valid_by)
+    return found.select(F.col("id").alias("artifact_id"), F.col("root_id").alias("chain_id"))
+
+
+def chain_places(artifacts: DataFrame) -> DataFrame:
+    """(artifact_id, chain_id, place): the order of a chain's valid rows, by chain_seq (nulls first), created_seq and id."""
+    rows = valid_rows(artifacts).select("artifact_id", "chain_seq", "created_seq").join(chains(artifacts), "artifact_id")
+    return numbered(rows, ["chain_id"], [F.col("chain_seq").asc_nulls_first(), F.col("created_seq").asc_nulls_first(), F.col("artifact_id")], "place").select("artifact_id", "chain_id", "place")
 
 
 def root_signature() -> Column:

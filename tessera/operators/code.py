@@ -11,7 +11,7 @@ import ast
 import hashlib
 import json
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import Any
 
 import pandas as pd
@@ -19,8 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # What code may import, and what it may not call.
-IMPORTS = frozenset("bisect calendar collections copy dataclasses datetime decimal enum fractions functools heapq itertools json math numbers numpy operator pandas random re statistics string textwrap typing unicodedata".split())
+IMPORTS = frozenset(
+    "array base64 bisect calendar cmath collections copy csv dataclasses datetime decimal difflib enum fnmatch fractions functools heapq html io itertools jmespath json math numbers numpy operator pandas pprint random re statistics string struct textwrap typing unicodedata urllib uuid".split()
+)
+ONLY = {"urllib": {"urllib.parse"}}
 BLOCKED = frozenset("__import__ breakpoint compile delattr dir eval exec exit getattr globals help input locals memoryview open quit setattr super vars".split())
+BLOCKED_ATTRIBUTES = frozenset("open open_code FileIO urlopen request read_csv read_json read_parquet read_pickle to_csv to_json to_parquet to_pickle fromfile tofile load save".split())
 SIGNATURES = (("data", "schema", "params"), ("artifacts", "schemas", "params"))
 MAX_RECORDS, MAX_BYTES = 100_000, 50_000_000
 
@@ -44,8 +48,13 @@ def check(source: str) -> tuple[str, ...]:
             if node.level:
                 raise CodeError("IMPORT_NOT_ALLOWED", "relative import")
             _allow(node.module or "")
+            for a in node.names:
+                if a.name in BLOCKED_ATTRIBUTES or (node.module in ONLY and f"{node.module}.{a.name}" not in ONLY[node.module]):
+                    raise CodeError("IMPORT_NOT_ALLOWED", f"{node.module}.{a.name}")
         elif isinstance(node, ast.Attribute) and node.attr.startswith("__"):
             raise CodeError("AST_REJECTED", f"attribute {node.attr}")
+        elif isinstance(node, ast.Attribute) and node.attr in BLOCKED_ATTRIBUTES:
+            raise CodeError("AST_REJECTED", f"attribute {node.attr}")
         elif isinstance(node, ast.Name) and (node.id in BLOCKED or node.id.startswith("__")):
             raise CodeError("AST_REJECTED", f"name {node.id}")
         elif isinstance(node, (ast.Global, ast.Nonlocal)):
@@ -62,7 +71,8 @@ def check(source: str) -> tuple[str, ...]:
 
 def _allow(*modules: str) -> None:
     for m in modules:
-        if m.split(".")[0] not in IMPORTS:
+        root = m.split(".")[0]
+        if root not in IMPORTS or (root in ONLY and m != root and m not in ONLY[root]):
             raise CodeError("IMPORT_NOT_ALLOWED", m)
 
 
@@ -90,32 +100,62 @@ def rows_of(result: Any) -> list[Any]:
     return list(result) if isinstance(result, (list, tuple)) else [result]
 
 
-def run_grouped(records: DataFrame, source: str, group: list[str], params: dict | None = None, record: str = "record", order: tuple[str, ...] = ("idx",), max_records: int = MAX_RECORDS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(group, item): the code applied to each group's records, in order; items are JSON text.
-
-    A group's input is limited as the language demands (more is an error, INPUT_TOO_LARGE, never cut),
-    and the limit is checked by an aggregation before any code runs.
+def targets(records: DataFrame, roots: DataFrame) -> DataFrame:
+    """The records of target roots; ``roots`` has artifact_id and, one for all or each its own, root_path."""
+    wanted = roots.select(F.col("artifact_id").alias("_artifact"), F.col("root_path").alias("_root")).distinct()
+    return records.join(wanted, records["artifact_id"].eqNullSafe(F.col("_artifact")) & records["root_path"].eqNullSafe(F.col("_root")), "left_semi")
+
+
+def run_grouped(
+    records: DataFrame,
+    source: str,
+    group: list[str],
+    params: dict | None = None,
+    record: str = "record",
+    order: tuple[str, ...] = ("idx",),
+    max_records: int = MAX_RECORDS,
+    max_bytes: int = MAX_BYTES,
+    artifact: str = "artifact_id",
+    schemas: dict | None = None,
+) -> DataFrame:
+    """(group, item, error): the code applied to each group's records, in order; items are JSON text.
+
+    ``run(data, schema, params)`` gets the group's records as one list, ``run(artifacts, schemas, params)``
+    as one list for each artifact. A group's input is limited as the language demands: one with more is
+    a row with the error INPUT_TOO_LARGE and no code runs for it, one whose code fails a row with
+    RUNTIME_EXCEPTION; the others are not touched by it. Generators of random numbers start the same.
     """
-    check(source)
+    many = check(source) == SIGNATURES[1]
     sizes = records.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length(record)).alias("_b"))
-    if sizes.where((F.col("_n") > max_records) | (F.col("_b") > max_bytes)).limit(1).count():
-        raise CodeError("INPUT_TOO_LARGE", f"a group has more than {max_records} records or {max_bytes} bytes")
+    large = sizes.where((F.col("_n") > max_records) | (F.col("_b") > max_bytes)).select(*[F.col(g).alias(f"_{g}") for g in group])
     types = dict(records.dtypes)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
+        import random
+
         frame = frame.sort_values(list(order), kind="stable")
-        data = [json.loads(x) for x in frame[record] if x is not None]
+        error = None
+        random.seed(0)
         try:
-            items = rows_of(compiled(source)(data, None, params or {}))
-        except CodeError:
-            raise
-        except Exception as e:
-            raise CodeError("RUNTIME_EXCEPTION", f"{type(e).__name__}: {e}") from e
-        rows = [json.dumps(x, sort_keys=True, default=str) for x in items]
-        return pd.DataFrame({g: pd.Series([frame[g].iloc[0]] * len(rows), dtype=object) for g in group} | {"item": pd.Series(rows, dtype=object)})
-
-    ddl = ", ".join([*(f"{g} {types[g]}" for g in group), "item string"])
-    return records.groupBy(*group).applyInPandas(one, ddl)
+            if many:
+                data: Any = {}
+                for a, x in zip(frame[artifact], frame[record]):
+                    own = data.setdefault(a, [])
+                    if x is not None:
+                        own.append(json.loads(x))
+            else:
+                data = [json.loads(x) for x in frame[record] if x is not None]
+            rows = [json.dumps(x, sort_keys=True, default=str) for x in rows_of(compiled(source)(data, schemas, params or {}))]
+        except CodeError as e:
+            rows, error = [None], str(e)
+        except Exception as e:  # noqa: BLE001 - whatever the caller's code raises
+            rows, error = [None], f"RUNTIME_EXCEPTION: {type(e).__name__}: {e}"
+        return pd.DataFrame({g: pd.Series([frame[g].iloc[0]] * len(rows), dtype=object) for g in group} | {"item": pd.Series(rows, dtype=object), "error": pd.Series([error] * len(rows), dtype=object)})
+
+    ddl = ", ".join([*(f"{g} {types[g]}" for g in group), "item string", "error string"])
+    fits = records.join(large, reduce(lambda a, b: a & b, [records[g].eqNullSafe(F.col(f"_{g}")) for g in group]), "left_anti")
+    errors = large.select(*[F.col(f"_{g}").alias(g) for g in group], F.lit(None).cast("string").alias("item"), F.lit(f"INPUT_TOO_LARGE: more than {max_records} records or {max_bytes} bytes").alias("error"))
+    return fits.groupBy(*group).applyInPandas(one, ddl).unionByName(errors)
 
 
 def run_rows(records: DataFrame, source: str, params: dict | None = None, record: str = "record") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 
 def expired(artifacts: DataFrame, now: Column, batch: int | None = None) -> DataFrame:
     """Visible artifacts whose time is over, the longest expired first."""
@@ -35,16 +37,18 @@ def storage_usage(payloads: DataFrame, blobs: DataFrame) -> DataFrame:
     return p.crossJoin(b).withColumn("total_bytes", F.col("payload_bytes") + F.col("binary_bytes"))  # one row each
 
 
-def running_total(rows: DataFrame, order: list[str], value: str, out: str, bucket: Column) -> DataFrame:
+def running_total(rows: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """A running sum along an order without one task for all rows.
 
-    ``bucket`` grows with the order; sums run within buckets, and bucket totals (one row a bucket) give each its start.
+    Rows are dealt out by ranges of the order; sums run within a part, and the parts' totals (one row a
+    part) give each its start.
     """
-    rows = rows.withColumn("_b", bucket)
-    within = F.sum(value).over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    totals = rows.groupBy("_b").agg(F.sum(value).alias("_t"))
-    starts = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return rows.withColumn("_in", within).join(starts, "_b").withColumn(out, F.col("_in") + F.col("_start")).drop("_b", "_in", "_start")
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = cut_lineage(ranged.withColumn("_in", within))
+    totals = placed.groupBy("_part").agg(F.sum(value).alias("_t"))
+    starts = totals.select("_part", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return placed.join(starts, "_part").withColumn(out, F.col("_in") + F.col("_start")).drop("_part", "_in", "_start")
 
 
 def quota_victims(artifacts: DataFrame, excess: int) -> DataFrame:
@@ -55,7 +59,7 @@ def quota_victims(artifacts: DataFrame, excess: int) -> DataFrame:
     live = artifacts.where("deleted_at is null and payload_hash_full is not null").select("artifact_id", "payload_hash_full", "payload_total_bytes", F.struct("last_referenced_at", "artifact_id").alias("rank"))
     freed = live.groupBy("payload_hash_full").agg(F.max("rank").alias("rank"), F.max("payload_total_bytes").alias("freed"))
     rows = live.join(freed.select("rank", "freed"), "rank", "left").select("rank.last_referenced_at", "artifact_id", F.coalesce("freed", F.lit(0)).alias("freed"))
-    total = running_total(rows, ["last_referenced_at", "artifact_id"], "freed", "running", F.date_trunc("DAY", "last_referenced_at"))
+    total = running_total(rows, ["last_referenced_at", "artifact_id"], "freed", "running")
     return total.where(F.col("running") - F.col("freed") < excess).select("artifact_id", "freed", F.col("running").cast("bigint").alias("running"))
 
 

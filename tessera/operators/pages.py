@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tessera.functions import jsonpath
+from tessera.functions.canonical import canonical_text, loads_decimal
 from tessera.functions.variants import elements, members, type_name
+from tessera.operators.nextpage import read
 
 # Where responses have their records.
 LISTS = ("$.data", "$.results", "$.items", "$.records", "$.entries", "$.nodes", "$.result.data", "$.result.items")
@@ -21,6 +27,30 @@ def record_count(v: Column) -> Column:
     return F.size(F.coalesce(elements(v), *[elements(jsonpath.get(v, p)) for p in LISTS]))
 
 
+_SIGNATURE = StructType([StructField("root_path", StringType()), StructField("dataset_hash", StringType()), StructField("records", IntegerType())])
+
+
+def _signature(text: str | None) -> tuple[str | None, str | None, int | None]:
+    try:
+        value = loads_decimal(text) if text is not None else None
+        lists = [(len(x), len(p), p, x) for p in ("$", *LISTS) if isinstance(x := read(value, p), list) and len(x) >= 2]
+        if not lists:
+            return None, None, None
+        n, _, path, found = max(lists, key=lambda c: c[:3])
+        return path, hashlib.sha256(canonical_text(found).encode("utf-8", "surrogatepass")).hexdigest(), n
+    except (ValueError, RecursionError):
+        return None, None, None
+
+
+@F.pandas_udf(_SIGNATURE)
+def collection_signature(texts: pd.Series) -> pd.DataFrame:
+    """struct(root_path, dataset_hash, records) of a response's largest usual list of two records or more, by length, then the longer path; nulls without one.
+
+    The hash is the same for all serialisations of the list.
+    """
+    return pd.DataFrame([_signature(t) for t in texts], columns=_SIGNATURE.names)
+
+
 def merge_pages(pages: DataFrame, chain: str, order: list[str], value: str = "v") -> DataFrame:
     """(chain, pos, record): the records of a chain's pages one after the other.
 

@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.variants import ascii_lower
+from tessera.functions.variants import ascii_lower, once
+from tessera.session import cut_lineage
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 ORDERS = {
@@ -52,21 +53,72 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
+Term = tuple[str | None, tuple[str, ...], bool]  # column, words of a phrase, whether the last is a prefix
+_PIECE = re.compile(r'\s*(?:(\w+):)?(?:"([^"]*)"|(\w+)(\*)?)(?=\s|$)', re.UNICODE)
+
+
+def parse_query(query: str, columns: list[str]) -> list[tuple[list[Term], list[Term]]]:
+    """Alternatives, each with the terms it wants and those it must not have.
+
+    Terms are words, ``prefix*`` or ``"phrases"``, in all columns or in one (``column:term``); terms side by
+    side are and-ed, ``NOT`` goes before the one it rules out, ``OR`` binds least.
+    """
+    out: list[tuple[list[Term], list[Term]]] = []
+    for part in re.split(r"\s+OR\s+", query.strip()) if query.strip() else []:
+        wanted: list[Term] = []
+        barred: list[Term] = []
+        at, negate = 0, False
+        while at < len(part):
+            m = _PIECE.match(part, at)
+            if not m:
+                raise ValueError(f"no term is possible at {part[at:]!r}")
+            at = m.end()
+            column, phrase, word, star = m.groups()
+            if word == "NOT" and column is None and not star:
+                if negate or not wanted:
+                    raise ValueError("NOT goes between terms")
+                negate = True
+                continue
+            if column is not None and column not in columns:
+                raise ValueError(f"no such column: {column}")
+            words = tuple(w for w in re.split(r"[\W_]+", (phrase if phrase is not None else word).lower()) if w)
+            if words:
+                (barred if negate else wanted).append((column, words, bool(star)))
+            negate = False
+        if negate:
+            raise ValueError("NOT goes between terms")
+        if wanted:
+            out.append((wanted, barred))
+    return out
+
+
+def _hits(words: Column, term: Term) -> Column:
+    """How often a term occurs in an array of words."""
+    _, phrase, prefix = term
+    fits = lambda w, p, last: F.startswith(w, F.lit(p)) if prefix and last else w == p
+    if len(phrase) == 1:
+        return F.size(F.filter(words, lambda w: fits(w, phrase[0], True)))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - len(phrase) + 1, F.lit(1)))
+    at = lambda i, k: F.try_element_at(words, i + k)
+    whole = lambda i: reduce(lambda a, b: a & b, [F.coalesce(at(i, k) == p, F.lit(False)) for k, p in enumerate(phrase)])
+    return F.when(F.size(words) >= len(phrase), F.size(F.filter(starts, whole))).otherwise(0)
+
+
 def bm25(documents: DataFrame, key: str, columns: list[str], query: str) -> DataFrame:
-    """(key, score) of the rows that match ``query``, best (lowest) score first by convention.
+    """(key, score) of the rows that match ``query`` (see ``parse_query``), best (lowest) score first by convention.
 
-    Terms are and-ed; ``OR`` between terms joins alternatives; a trailing ``*`` matches prefixes. One pass
-    counts terms and lengths of all rows, a second aggregation of one row a term gives the
-    frequencies; only matching rows leave the scan.
+    Words of all rows are counted once and kept as numbers, in a written table; one aggregation of it
+    gives the frequencies, and only matching rows leave the second reading.
     """
-    groups = [[t.lower() for t in part.split()] for part in re.split(r"\s+OR\s+", query.strip()) if part.strip()]
-    terms = sorted({t for g in groups for t in g})
+    groups = parse_query(query, columns)
+    terms = sorted({t for wanted, barred in groups for t in (*wanted, *barred)}, key=repr)
     if not terms:
         return documents.select(key, F.lit(0.0).alias("score")).limit(0)
-    words = tokens(F.concat_ws(" ", *columns))
-    rows = documents.select(key, words.alias("_w"))
-    count = lambda t: F.size(F.filter("_w", lambda w: F.startswith(w, F.lit(t[:-1])) if t.endswith("*") else w == t))
-    counted = rows.select(key, F.size("_w").alias("_dl"), *[count(t).alias(f"_f{i}") for i, t in enumerate(terms)])
+    rows = documents.select(key, *[once(F.coalesce(tokens(F.col(c)), F.array().cast("array<string>"))).alias(f"_w{i}") for i, c in enumerate(columns[:1])], *columns[1:])
+    rows = rows.select(key, "_w0", *[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias(f"_w{i}") for i, c in enumerate(columns[1:], 1)])
+    total = lambda cs: reduce(lambda a, b: a + b, cs)
+    count = lambda t: total([_hits(F.col(f"_w{i}"), t) for i, c in enumerate(columns) if t[0] in (None, c)])
+    counted = cut_lineage(rows.select(key, total([F.size(f"_w{i}") for i in range(len(columns))]).alias("_dl"), *[count(t).alias(f"_f{i}") for i, t in enumerate(terms)]))
     totals = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("bigint")).alias(f"_df{i}") for i in range(len(terms))])
     scored = counted.crossJoin(F.broadcast(totals))  # totals is one row
 
@@ -75,8 +127,10 @@ def bm25(documents: DataFrame, key: str, columns: list[str], query: str) -> Data
         f = F.col(f"_f{i}")
         return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
 
-    hit = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(f"_f{terms.index(t)}") > 0 for t in g]) for g in groups])
-    return scored.where(hit).select(key, (-reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))])).alias("score"))
+    has = lambda t: F.col(f"_f{terms.index(t)}") > 0
+    hit = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [*map(has, wanted), *(~has(t) for t in barred)]) for wanted, barred in groups])
+    asked = sorted({terms.index(t) for wanted, _ in groups for t in wanted})
+    return scored.where(hit).select(key, (-total([part(i) for i in asked])).alias("score"))
 
 
 def page(rows: DataFrame, order: str | list[Column], limit: int, offset: int = 0) -> DataFrame:

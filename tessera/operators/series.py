@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 #: Sequence numbers per block; the sort of one task never holds more distinct positions of a series.
 BLOCK = 65_536
 
@@ -40,3 +44,20 @@ def as_of(rows: DataFrame, series: list[str], seq: str, value: str, out: str, bl
     carried = starts.select(*series, "_block", F.last("_end", ignorenulls=True).over(before).alias("_carry")).where("_carry is not null")
     joined = within.join(carried, [*series, "_block"], "left")
     return joined.select(*[c for c in rows.columns if c != "_block"], F.coalesce("_last", "_carry").alias(out))
+
+
+def numbered(rows: DataFrame, series: list[str], order: list[str | Column], out: str) -> DataFrame:
+    """Add to each row its place, from 1, in its series by ``order`` (nulls first unless it says otherwise).
+
+    Rows are dealt out by ranges of series and order, so a series of any length lies in many parts; rows
+    are numbered within their part, and the sizes of a series' earlier parts (one row a part) are added.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = rows.repartitionByRange(*[F.col(s).asc_nulls_first() for s in series], *keys).withColumn("_part", F.spark_partition_id())
+    within = F.row_number().over(Window.partitionBy("_part", *series).orderBy(*keys))
+    placed = cut_lineage(ranged.withColumn("_in", within))
+    before = Window.partitionBy(*series).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part", *series).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select(F.col("_part").alias("_p"), *[F.col(s).alias(f"_{i}") for i, s in enumerate(series)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    on = reduce(lambda a, b: a & b, [placed[s].eqNullSafe(starts[f"_{i}"]) for i, s in enumerate(series)], placed["_part"] == starts["_p"])
+    return placed.join(starts, on).select(*[placed[c] for c in rows.columns], (F.col("_in") + F.col("_start")).alias(out))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.queries import language, paging, problems, profiles, store, surface, workload
+from tessera.queries import language, mapping, paging, problems, profiles, store, surface, workload
 
-MODULES = (problems, language, store, profiles, paging, workload, surface)
+MODULES = (problems, language, store, profiles, mapping, paging, workload, surface)
 
 
 def queries() -> dict[str, Callable]:

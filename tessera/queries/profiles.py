@@ -13,12 +13,12 @@ from tessera.session import spread, table
 
 R = Registry()
 KEY = ["artifact_id", "root_path", "idx"]
-_TYPE = "case {t} when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end"
+TYPE = "case {t} when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end"
 
 
 @R(
     "a5_fields_top",
-    RECORDS + ", d as (select * from r where idx < 50 and json_type(j) = 'OBJECT'), k as (select root_path, j, unnest(json_keys(j)) f from d) select root_path, f field, " + _TYPE.format(t="json_type(j, '$.\"' || f || '\"')") + " as type, count(*)::bigint n from k group by all",
+    RECORDS + ", d as (select * from r where idx < 50 and json_type(j) = 'OBJECT'), k as (select root_path, j, unnest(json_keys(j)) f from d) select root_path, f field, " + TYPE.format(t="json_type(j, '$.\"' || f || '\"')") + " as type, count(*)::bigint n from k group by all",
 )
 def a5_fields_top(spark: SparkSession, sf: str) -> DataFrame:
     return profile.fields_top(records(spark, sf), ["root_path"])
@@ -34,7 +34,7 @@ def a6_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Every value below a record's root: path, value and where it comes in the order of sorted names.
-_NODES = r"""with recursive r as (select distinct artifact_id a, root_path rp, idx i, record t, record::json j from artifact_records where json_valid(record)),
+NODES = r"""with recursive r as (select distinct artifact_id a, root_path rp, idx i, record t, record::json j from artifact_records where json_valid(record)),
 n as (
   select a, rp, i, t, '$' path, j v, []::varchar[] ord from r
   union all
@@ -47,9 +47,9 @@ total as (select rp, count(distinct {'a': a, 'i': i}) total from r group by 1)
 
 @R(
     "a7_path_profile",
-    _NODES
+    NODES
     + "select rp root_path, path, list_filter(['null', 'boolean', 'number', 'string', 'array', 'object'], lambda x: list_contains(kinds, x)) types, observed, nullable, observed = total required from ("
-    + "select rp, path, list(distinct " + _TYPE.format(t="json_type(v)") + ") kinds, count(distinct {'a': a, 'i': i})::bigint observed, bool_or(json_type(v) = 'NULL') nullable from n where path <> '$' group by 1, 2) join total using (rp)",
+    + "select rp, path, list(distinct " + TYPE.format(t="json_type(v)") + ") kinds, count(distinct {'a': a, 'i': i})::bigint observed, bool_or(json_type(v) = 'NULL') nullable from n where path <> '$' group by 1, 2) join total using (rp)",
 )
 def a7_path_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Every path of the records of every root with its types and how many records have it (M3)."""
@@ -58,7 +58,7 @@ def a7_path_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 @R(
     "a9_first_values",
-    _NODES + ", f as (select rp, path, arg_min(v, {'a': a, 'i': i, 't': t, 'o': ord}) v from n where path <> '$' and json_type(v) not in ('OBJECT', 'ARRAY') group by 1, 2) "
+    NODES + ", f as (select rp, path, arg_min(v, {'a': a, 'i': i, 't': t, 'o': ord}) v from n where path <> '$' and json_type(v) not in ('OBJECT', 'ARRAY') group by 1, 2) "
     "select rp root_path, path, case when json_type(v) in ('VARCHAR', 'BOOLEAN', 'NULL') then '[' || v::varchar || ']' end \"values\", case when json_type(v) not in ('VARCHAR', 'BOOLEAN', 'NULL') then (v->>'$')::double end number, 1 cardinality from f",
 )
 def a9_first_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +68,7 @@ def a9_first_values(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("root_path", "path", F.when(number.isNull(), F.col("distinct_values")).alias("values"), number.alias("number"), "cardinality")
 
 
-@R("a10_merged_profile", _NODES + ", k as (select distinct a, rp, i, path, " + _TYPE.format(t="json_type(v)") + " kind from n where path <> '$') select path, list_filter(['null', 'boolean', 'number', 'string', 'array', 'object'], lambda x: list_contains(list(distinct kind), x)) types, count(distinct {'a': a, 'r': rp, 'i': i})::bigint observed, bool_or(kind = 'null') nullable from k group by 1")
+@R("a10_merged_profile", NODES + ", k as (select distinct a, rp, i, path, " + TYPE.format(t="json_type(v)") + " kind from n where path <> '$') select path, list_filter(['null', 'boolean', 'number', 'string', 'array', 'object'], lambda x: list_contains(list(distinct kind), x)) types, count(distinct {'a': a, 'r': rp, 'i': i})::bigint observed, bool_or(kind = 'null') nullable from k group by 1")
 def a10_merged_profile(spark: SparkSession, sf: str) -> DataFrame:
     """The profiles of all roots as one."""
     return profile.merged_profile(profile.record_profile(table(spark, sf, "artifact_records")), []).drop("example")
@@ -153,14 +153,14 @@ def a15_estimate_records(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("n is not null").select("payload_hash_full", "n")
 
 
-@R("a16_cardinality", ENVELOPES + ", v as (select payload_hash_full, j->'$.content[0].value' v from e where json_type(j, '$.content[0].value') is not null) select payload_hash_full, " + _TYPE.format(t="json_type(v)") + " root_type, (case json_type(v) when 'ARRAY' then json_array_length(v) when 'OBJECT' then len(json_keys(v)) end)::int n from v where json_type(v) in ('ARRAY', 'OBJECT')")
+@R("a16_cardinality", ENVELOPES + ", v as (select payload_hash_full, j->'$.content[0].value' v from e where json_type(j, '$.content[0].value') is not null) select payload_hash_full, " + TYPE.format(t="json_type(v)") + " root_type, (case json_type(v) when 'ARRAY' then json_array_length(v) when 'OBJECT' then len(json_keys(v)) end)::int n from v where json_type(v) in ('ARRAY', 'OBJECT')")
 def a16_cardinality(spark: SparkSession, sf: str) -> DataFrame:
     v = at(F.col("v"), "$.content[0].value")
     rows = envelopes(spark, sf).select("payload_hash_full", type_name(v).alias("root_type"), F.coalesce(F.size(elements(v)), F.size(F.when(type_name(v) == "object", F.json_object_keys(F.to_json(v))))).alias("n"))
     return rows.where("root_type in ('array', 'object')")
 
 
-@R("src3_json_or_text", "select doc_id, case when json_valid(text) then " + _TYPE.format(t="json_type(text)") + " else 'string' end kind from documents where text is not null")
+@R("src3_json_or_text", "select doc_id, case when json_valid(text) then " + TYPE.format(t="json_type(text)") + " else 'string' end kind from documents where text is not null")
 def src3_json_or_text(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by what they parse to, text if they are no JSON."""
     return table(spark, sf, "documents").where("text is not null").select("doc_id", type_name(parse_or_text(F.col("text"))).alias("kind"))

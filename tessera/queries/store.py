@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import catalog, hierarchy, lifecycle, search
-from tessera.queries.registry import Registry
-from tessera.session import table
+from tessera.functions import canonical, text
+from tessera.functions.variants import at, once, type_name
+from tessera.operators import catalog, lifecycle, pages, search
+from tessera.operators.series import numbered
+from tessera.queries.registry import ENVELOPES, RECORDS, Registry, envelopes, records
+from tessera.session import spread, table
 
 R = Registry()
 VALID_BY = ("generation", "ingested_at")
@@ -71,6 +74,25 @@ def c1_bm25_or(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("artifact_id", F.round("score", 6).alias("score"))
 
 
+_NOT = "greatest(ln((n - {d} + 0.5) / ({d} + 0.5)), 1e-6) * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+
+
+@R(
+    "c1_phrases",
+    V
+    + """, f as (select artifact_id, string_agg(field_path, ' ') field_names, string_agg(coalesce(example_value, ''), ' ') samples from (select distinct artifact_id, field_path, example_value from artifact_schema_fields) group by 1),
+    w as (select artifact_id, list_transform([source_tool, kind, coalesce(field_names, ''), coalesce(samples, '')], lambda t: list_filter(string_split_regex(lower(coalesce(t, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) w from a left join f using (artifact_id)),
+    c as (select artifact_id, list_sum(list_transform(w, lambda x: len(x))) dl, len(list_filter(range(1, len(w[1])), lambda i: w[1][i] = 'forge' and w[1][i + 1] = 'list')) f0, len(list_filter(flatten(w), lambda x: x = 'derived')) f1, len(list_filter(w[1], lambda x: starts_with(x, 'med'))) f2 from w),
+    s as (select count(*) n, avg(dl) avgdl, sum((f0 > 0)::int) d0, sum((f2 > 0)::int) d2 from c)
+    """
+    + "select artifact_id, round(-(" + _NOT.format(d="d0", f="f0") + " + " + _NOT.format(d="d2", f="f2") + "), 6) score from c, s where (f0 > 0 and f1 = 0) or f2 > 0",
+)
+def c1_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases, columns, exclusions and alternatives."""
+    hits = search.bm25(search_documents(spark, sf), "artifact_id", ["source_tool", "kind", "field_names", "sample_values"], 'source_tool:"forge list" NOT derived OR source_tool:med*')
+    return hits.select("artifact_id", F.round("score", 6).alias("score"))
+
+
 @R("c2_search", V + _TEXT + ", x as (select artifact_id, round(-(" + _PART.format(d="d2", f="f2") + "), 6) score from c, s where f2 > 0) select artifact_id, score, created_seq from x join a using (artifact_id) where deleted_at is null order by score, created_seq desc limit 11")
 def c2_search(spark: SparkSession, sf: str) -> DataFrame:
     """Text search joined with the catalog, best first."""
@@ -104,24 +126,27 @@ def j4_chain_edges(spark: SparkSession, sf: str) -> DataFrame:
     return a.where("chain_seq is not null").withColumn("parent_id", F.lower(F.trim("parent_artifact_id"))).join(parents, "parent_id").select("artifact_id", "parent_id", "chain_seq")
 
 
-@R(
-    "j5_chain_members",
+#: The artifacts that can be reached from each along parent links in any direction.
+_REACH = (
     "with recursive a as (select * exclude (n) from (select *, row_number() over (partition by artifact_id order by generation desc, ingested_at desc) n from artifacts) where n = 1), "
     "e as (select c.artifact_id x, p.artifact_id y from a c join a p on lower(trim(c.parent_artifact_id)) = p.artifact_id), "
-    "up(id, top) as (select artifact_id, artifact_id from a union select up.id, e.y from up join e on e.x = up.top), "
-    "roots as (select artifact_id from a where not exists (select 1 from e where e.x = a.artifact_id)) "
-    "select top chain_id, count(*)::bigint members from up join roots on top = artifact_id group by 1",
+    "reach(id, x) as (select artifact_id, artifact_id from a union select reach.id, case when e.x = reach.x then e.y else e.x end from reach join e on e.x = reach.x or e.y = reach.x), "
+    "chain as (select id artifact_id, min(x) chain from reach group by 1) "
 )
+
+
+@R("j5_chain_members", _REACH + "select id artifact_id, count(distinct x)::bigint members from reach group by 1")
 def j5_chain_members(spark: SparkSession, sf: str) -> DataFrame:
-    """The size of each chain of related artifacts that has a root."""
-    h = hierarchy.hierarchy(table(spark, sf, "artifacts"), "artifact_id", "parent_artifact_id", VALID_BY)
-    return h.where("state in ('tree', 'dangling')").groupBy(F.col("root_id").alias("chain_id")).agg(F.count(F.lit(1)).alias("members"))
+    """For each artifact the size of its chain, whatever the direction of the links, cycles too."""
+    chains = catalog.chains(table(spark, sf, "artifacts"))
+    sizes = chains.groupBy("chain_id").agg(F.count(F.lit(1)).alias("members"))
+    return chains.join(sizes, "chain_id").select("artifact_id", "members")
 
 
-@R("o5_chain_order", V + "select artifact_id, row_number() over (partition by session_id, source_tool order by chain_seq nulls first, created_seq, artifact_id)::int place from a where deleted_at is null")
+@R("o5_chain_order", _REACH + "select artifact_id, row_number() over (partition by chain order by chain_seq nulls first, created_seq nulls first, artifact_id)::bigint place from a join chain using (artifact_id)")
 def o5_chain_order(spark: SparkSession, sf: str) -> DataFrame:
-    w = F.row_number().over(Window.partitionBy("session_id", "source_tool").orderBy(F.col("chain_seq").asc_nulls_first(), "created_seq", "artifact_id"))
-    return artifacts(spark, sf).where("deleted_at is null").select("artifact_id", w.alias("place"))
+    """Each artifact's place in its chain."""
+    return catalog.chain_places(table(spark, sf, "artifacts")).select("artifact_id", F.col("place").cast("bigint").alias("place"))
 
 
 @R("a11_root_catalog", "with r as (select distinct artifact_id, root_key, root_path, lower(trim(mode)) m, lower(trim(completeness)) c, schema_hash, observed_records from artifact_schema_roots) select root_path, count(distinct artifact_id)::bigint artifacts, sum(observed_records)::bigint records, count(distinct concat_ws('|', m, c, schema_hash))::bigint signatures, count(distinct concat_ws('|', m, c, schema_hash)) <= 1 compatible from r group by 1")
@@ -141,9 +166,12 @@ def a17_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("dataset_hash").agg(F.countDistinct("artifact_id").alias("artifacts"), F.min("artifact_id").alias("first_artifact")).where("artifacts > 1")
 
 
-@R("c9_related_set_hash", V + "select session_id, sha256('[\"' || string_agg(artifact_id || ':' || generation, '\",\"' order by artifact_id || ':' || generation) || '\"]') related_set_hash from a group by 1")
+@R("c9_related_set_hash", _REACH + ", h as (select chain, sha256('[\"' || string_agg(artifact_id || ':' || generation, '\",\"' order by artifact_id || ':' || generation) || '\"]') related_set_hash from a join chain using (artifact_id) group by 1) select artifact_id, related_set_hash from chain join h using (chain)")
 def c9_related_set_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.related_set_hash(artifacts(spark, sf), "session_id")
+    """For each artifact the hash of the members of its chain."""
+    chains = catalog.chains(table(spark, sf, "artifacts"))
+    members = artifacts(spark, sf).select("artifact_id", "generation").join(chains, "artifact_id")
+    return chains.join(catalog.related_set_hash(members, "chain_id"), "chain_id").select("artifact_id", "related_set_hash")
 
 
 @R("c10_single_root", V + ", r as (select artifact_id, min(root_path) root_path, count(distinct root_path) n from artifact_schema_roots group by 1) select a.artifact_id, coalesce(r.n, 0)::bigint roots, case when n = 1 then root_path end root_path from a left join r using (artifact_id)")
@@ -175,14 +203,66 @@ def j13_missing_roots(spark: SparkSession, sf: str) -> DataFrame:
 
 @R("j14_previous_capture", V + "select artifact_id, lag(payload_hash_full) over (partition by session_id, source_tool order by created_seq, artifact_id) previous_hash from a")
 def j14_previous_capture(spark: SparkSession, sf: str) -> DataFrame:
-    a = artifacts(spark, sf)
-    return a.select("artifact_id", catalog.previous_capture(a, "payload_hash_full").alias("previous_hash"))
+    return catalog.previous_capture(artifacts(spark, sf), "payload_hash_full", "previous_hash").select("artifact_id", "previous_hash")
 
 
 @R("c18_duplicate_page", V + ", p as (select artifact_id, payload_hash_full h, lag(payload_hash_full) over (partition by session_id, source_tool order by created_seq, artifact_id) q from a) select artifact_id from p where h = q")
 def c18_duplicate_page(spark: SparkSession, sf: str) -> DataFrame:
-    a = artifacts(spark, sf)
-    return a.withColumn("q", catalog.previous_capture(a, "payload_hash_full")).where("payload_hash_full = q").select("artifact_id")
+    return catalog.previous_capture(artifacts(spark, sf), "payload_hash_full", "q").where("payload_hash_full = q").select("artifact_id")
+
+
+@R(
+    "c19_collection_signature",
+    ENVELOPES + ", v as (select payload_hash_full, j->'$.content[0].value' v from e), "
+    "c as (select payload_hash_full, p, json_array_length(case when p = '$' then v else json_extract(v, p) end) n from v, (select unnest(['$', '$.data', '$.results', '$.items', '$.records', '$.entries', '$.nodes', '$.result.data', '$.result.items']) p) "
+    "where json_type(case when p = '$' then v else json_extract(v, p) end) = 'ARRAY') select payload_hash_full, arg_max(p, (n, length(p), p)) root_path, max(n)::int records from c where n >= 2 group by 1",
+)
+def c19_collection_signature(spark: SparkSession, sf: str) -> DataFrame:
+    """The list that a response's records are in, and how many."""
+    rows = envelopes(spark, sf).select("payload_hash_full", pages.collection_signature(F.to_json(at(F.col("v"), "$.content[0].value"))).alias("s"))
+    return rows.where("s.root_path is not null").select("payload_hash_full", "s.root_path", "s.records")
+
+
+@R("c20_request_identity", V + "select artifact_id, sha256(coalesce(upstream_instance_id, '') || '|' || split_part(coalesce(source_tool, ''), '.', 1) || '|' || coalesce(source_tool, '') || '|{\"after\":\"' || artifact_id || '\",\"limit\":5}') request_key from a")
+def c20_request_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """One name for a request, however its arguments are written."""
+    args = F.concat(F.lit('{ "limit" : 5.0, "after":"'), F.col("artifact_id"), F.lit('"}'))
+    rows = artifacts(spark, sf).select("artifact_id", F.col("upstream_instance_id").alias("u"), F.substring_index(F.coalesce("source_tool", F.lit("")), ".", 1).alias("p"), F.col("source_tool").alias("t"), args.alias("a"))
+    return rows.select("artifact_id", text.request_identity("u", "p", "t", "a").alias("request_key"))
+
+
+@R("s6_representative_sample", """select doc_id, case when doc_id % 2 = 0 then '{"sample_item":{"id":' || doc_id || ',"t":"[' || repeat('x', 30) || '](6 more chars truncated)"},"sample_item_count":2,"sample_item_source_index":0,"sample_item_text_truncated":true}' end sample from documents""")
+def s6_representative_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The first of two items where it stands for both, with its long text cut."""
+    key = F.col("doc_id").cast("string")
+    items = F.concat(F.lit('[{"id":'), key, F.lit(',"t":"' + "x" * 36 + '"},{"t":"y","id":'), F.when(F.col("doc_id") % 2 == 0, "7").otherwise('"7"'), F.lit("}]"))
+    return table(spark, sf, "documents").select("doc_id", canonical.representative_sample(items).alias("sample"))
+
+
+@R("s13_utc_times", "select distinct created_at, created_at - interval 2 hour utc from artifacts")
+def s13_utc_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Times written with an offset, read as UTC."""
+    shown = F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00"))
+    return table(spark, sf, "artifacts").select("created_at").distinct().select("created_at", text.utc_time(shown).alias("utc"))
+
+
+@R("u4_located_records", RECORDS + "select artifact_id, root_path, idx, json_type(j) <> 'OBJECT' wrapped, true same from r")
+def u4_located_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with where they come from, read back: objects beside their locator, all else as its value."""
+    rows = spread(table(spark, sf, "artifact_records").where(F.try_parse_json("record").isNotNull()).select("artifact_id", "root_path", "idx", "record"))
+    located = rows.select(once(F.parse_json("record")).alias("r"), text.with_locator(F.col("record"), F.col("artifact_id"), F.col("root_path"), F.col("idx")).alias("t")).select("r", once(F.parse_json("t")).alias("v"))
+    place = F.try_variant_get("v", "$._locator", "struct<artifact_id:string,root_path:string,index:int>")
+    wrapped = type_name(F.col("r")) != "object"
+    own = F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, x: k != "_locator")
+    same = F.when(wrapped, F.to_json(at(F.col("v"), "$.value")) == F.to_json("r")).otherwise(F.to_json(own) == F.to_json(F.try_variant_get("r", "$", "map<string,variant>")))
+    return located.select(place["artifact_id"].alias("artifact_id"), place["root_path"].alias("root_path"), place["index"].alias("idx"), wrapped.alias("wrapped"), same.alias("same"))
+
+
+@R("j11_array_membership", RECORDS + "select artifact_id, root_path, idx from r where json_type(j, '$.kinds') = 'ARRAY' and exists (select 1 from json_each(j, '$.kinds') k where k.value::varchar = '\"early\"')")
+def j11_array_membership(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with a value in one of their arrays."""
+    kinds = F.try_variant_get("v", "$.kinds", "array<variant>")
+    return records(spark, sf).where(F.exists(kinds, lambda x: F.coalesce(F.try_variant_get(x, "$", "string") == "early", F.lit(False)))).select("artifact_id", "root_path", "idx")
 
 
 _LINKS = V + B + ", l as (select distinct a.artifact_id, b.binary_hash, b.mime, b.byte_count from a join payload_binary_refs r using (payload_hash_full) join b on b.binary_hash = r.binary_hash) "
@@ -207,9 +287,15 @@ def snk11_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return _links(spark, sf).groupBy("binary_hash").agg(F.array_join(F.array_sort(F.collect_set("artifact_id")), ";").alias("artifact_ids"))
 
 
-@R("c28_blob_by_id", B[1:].replace(" b as", "with b as", 1) + "select blob_id, binary_hash, byte_count from b where byte_count > 1000000")
+@R("c28_blob_by_id", B[1:].replace(" b as", "with b as", 1) + ", d as (select doc_id, 'bin_' || substr(md5(doc_id::varchar), 1, 32) blob_id from documents union all select r.doc_id, b.blob_id from (select distinct doc_id, payload_hash_full from documents join artifacts using (artifact_id)) r join payload_binary_refs f using (payload_hash_full) join b on b.binary_hash = f.binary_hash) select distinct doc_id, blob_id, binary_hash, byte_count from d join b using (blob_id)")
 def c28_blob_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.distinct_blobs(table(spark, sf, "binary_blobs")).where("byte_count > 1000000").select("blob_id", "binary_hash", "byte_count")
+    """Blobs looked up by the ids that documents lead to, some of which there are none of."""
+    blobs = catalog.distinct_blobs(table(spark, sf, "binary_blobs")).select("blob_id", "binary_hash", "byte_count")
+    docs = table(spark, sf, "documents")
+    known = docs.join(table(spark, sf, "artifacts").select("artifact_id", "payload_hash_full"), "artifact_id").join(table(spark, sf, "payload_binary_refs").select("payload_hash_full", "binary_hash"), "payload_hash_full")
+    known = known.join(blobs.select("binary_hash", "blob_id"), "binary_hash").select("doc_id", "blob_id")
+    asked = docs.select("doc_id", F.concat(F.lit("bin_"), F.md5(F.col("doc_id").cast("string").cast("binary"))).alias("blob_id")).unionByName(known)
+    return asked.join(blobs, "blob_id").select("doc_id", "blob_id", "binary_hash", "byte_count").distinct()
 
 
 @R("snk7_blob_id", "select distinct binary_hash, blob_id = 'bin_' || substr(binary_hash, 1, 32) ok from binary_blobs")
@@ -368,10 +454,9 @@ def d3_edge_directions(spark: SparkSession, sf: str) -> DataFrame:
 
 @R("w5_created_seq", "with f as (select artifact_id, min(created_at) created_at from artifacts group by 1) select artifact_id, row_number() over (order by created_at, artifact_id)::bigint seq from f")
 def w5_created_seq(spark: SparkSession, sf: str) -> DataFrame:
-    """Global monotone numbers: per-day numbers plus the counts of the days before, so no task sees all rows."""
-    first = table(spark, sf, "artifacts").groupBy("artifact_id").agg(F.min("created_at").alias("created_at")).withColumn("one", F.lit(1))
-    total = lifecycle.running_total(first, ["created_at", "artifact_id"], "one", "seq", F.date_trunc("DAY", "created_at"))
-    return total.select("artifact_id", F.col("seq").cast("bigint").alias("seq"))
+    """Global monotone numbers, though no task sees all rows."""
+    first = table(spark, sf, "artifacts").groupBy("artifact_id").agg(F.min("created_at").alias("created_at"))
+    return numbered(first, [], ["created_at", "artifact_id"], "seq").select("artifact_id", F.col("seq").cast("bigint").alias("seq"))
 
 
 QUERIES, ORACLE = R.queries, R.sql

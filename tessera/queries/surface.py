@@ -31,7 +31,7 @@ def _first_records(spark: SparkSession, sf: str) -> DataFrame:
 @R("x1_code_query", _DISTINCT + "select artifact_id, count(*)::bigint n, max((record->>'$.stars')::bigint) most from r where json_type(record, '$.stars') in ('UBIGINT', 'BIGINT') group by 1")
 def x1_code_query(spark: SparkSession, sf: str) -> DataFrame:
     """A caller's Python over each artifact's records."""
-    items = code.run_grouped(_first_records(spark, sf), _CODE, ["artifact_id"])
+    items = code.run_grouped(_first_records(spark, sf), _CODE, ["artifact_id"]).where("error is null")
     return items.select("artifact_id", F.get_json_object("item", "$.n").cast("bigint").alias("n"), F.get_json_object("item", "$.most").cast("bigint").alias("most"))
 
 

@@ -75,7 +75,7 @@ def test_lifecycle(spark):
     rows = [("a", "p1", 10, 1), ("b", "p2", 20, 2), ("c", "p1", 10, 3), ("d", None, 5, 4)]
     df = spark.createDataFrame([(i, h, n, datetime(2025, 1, d), None) for i, h, n, d in rows], "artifact_id string, payload_hash_full string, payload_total_bytes long, last_referenced_at timestamp_ntz, deleted_at timestamp_ntz")
     assert sorted((r.artifact_id, r.freed, r.running) for r in quota_victims(df, 25).collect()) == [("a", 0, 0), ("b", 20, 20), ("c", 10, 30)]
-    totals = running_total(spark.range(100).withColumn("one", F.lit(1)), ["id"], "one", "n", F.floor(F.col("id") / 7))
+    totals = running_total(spark.range(100).withColumn("one", F.lit(1)), ["id"], "one", "n")
     assert all(r.n == r.id + 1 for r in totals.collect())
     left, right = (spark.createDataFrame([(x,) for x in v], "k string") for v in (["a", "b"], ["b", "c"]))
     assert sorted(tuple(r) for r in reconcile(left, right, "k").collect()) == [("a", "missing"), ("c", "orphan")]
@@ -146,10 +146,69 @@ def test_code_guard(spark):
             code.check(bad)
     df = spark.createDataFrame([("g", 1, "[2]"), ("g", 0, "1"), ("h", 0, None)], "g string, idx int, record string")
     assert {(r.g, r.item) for r in code.run_grouped(df, "def run(data, schema, params):\n    return data", ["g"]).collect()} == {("g", "1"), ("g", "[2]")}
-    with pytest.raises(code.CodeError, match="INPUT_TOO_LARGE"):
-        code.run_grouped(df, ok, ["g"], max_records=1)
-    with pytest.raises(Exception, match="RUNTIME_EXCEPTION"):
-        code.run_grouped(df, "def run(data, schema, params):\n    return 1 / 0", ["g"]).collect()
+    # a group that is too large, or whose code fails, does not stop the others
+    got = {r.g: (r.item, (r.error or "")[:17]) for r in code.run_grouped(df, ok, ["g"], max_records=1).collect()}
+    assert got == {"g": (None, "INPUT_TOO_LARGE: "), "h": ("0", "")}
+    got = {r.g: (r.error or "")[:36] for r in code.run_grouped(df, "def run(data, schema, params):\n    return 1 / len(data)", ["g"]).collect()}
+    assert got == {"g": "", "h": "RUNTIME_EXCEPTION: ZeroDivisionError"}
+    for bad in ("from urllib.request import urlopen", "import urllib.request", "from io import open", "import io\nx = io.open", "import secrets"):
+        with pytest.raises(code.CodeError):
+            code.check(bad + "\n" + ok)
+    code.check("import csv, io, base64, uuid, pprint\nfrom urllib.parse import parse_qsl\n" + ok)
+
+
+def test_code_over_several_artifacts(spark):
+    rows = [("s", "a", "$", 0, '{"k":1}'), ("s", "b", "$", 0, '{"k":1}'), ("s", "b", "$.x", 0, '{"k":2}'), ("t", "c", "$", 0, None)]
+    df = spark.createDataFrame(rows, "s string, artifact_id string, root_path string, idx int, record string")
+    source = "def run(artifacts, schemas, params):\n    return {a: [r['k'] for r in x] for a, x in artifacts.items()}"
+    assert {r.s: r.item for r in code.run_grouped(df, source, ["s"]).collect()} == {"s": '{"a": [1], "b": [1, 2]}', "t": '{"c": []}'}
+    roots = spark.createDataFrame([("a", "$"), ("b", "$.x")], "artifact_id string, root_path string")
+    assert {r.s: r.item for r in code.run_grouped(code.targets(df, roots), source, ["s"]).collect()} == {"s": '{"a": [1], "b": [2]}'}
+
+
+def test_numbered_over_hot_series(spark):
+    from tessera.operators.series import numbered
+
+    rows = [("hot" if i % 4 else None if i % 8 else "cold", (i * 37) % 400, i) for i in range(400)]
+    got = {r.i: r.place for r in numbered(spark.createDataFrame(rows, "s string, q int, i int"), ["s"], ["q", "i"], "place").collect()}
+    for series in ("hot", "cold", None):
+        own = sorted((q, i) for s, q, i in rows if s == series)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+    assert numbered(spark.createDataFrame([], "s string, q int"), ["s"], ["q"], "place").collect() == []
+
+
+def test_search_language(spark):
+    docs = spark.createDataFrame([(1, "red boat", "lake"), (2, "boat red", "lake"), (3, "red boat", "sea harbour"), (4, "lake", "red boat"), (5, None, None)], "k int, title string, body string")
+    hits = lambda q: {r.k for r in search.bm25(docs, "k", ["title", "body"], q).collect()}
+    assert hits('"red boat"') == {1, 3, 4} and hits('title:"red boat"') == {1, 3} and hits("boat NOT sea") == {1, 2, 4} and hits("title:lake") == {4}
+    assert hits('"boat lake"') == set() and hits("har* OR title:lake") == {3, 4} and hits("red boat NOT title:red") == {4} and hits("") == set()
+    for bad in ('"open', "a NOT", "NOT a", "where:x", "gh.issues"):
+        with pytest.raises(ValueError):
+            search.bm25(docs, "k", ["title", "body"], bad)
+
+
+def test_signature_identity_sample(spark):
+    page = {"data": [1, 2], "result": {"items": [{"b": 1.50, "a": 2}, {"a": 3}, {}]}, "items": [1, 2, 3]}
+    got = one(spark, json.dumps(page), pages.collection_signature)
+    assert (got.root_path, got.records) == ("$.result.items", 3) and got.dataset_hash == one(spark, '[{"a":2,"b":1.5},{"a":3},{}]', pages.collection_signature).dataset_hash
+    assert one(spark, '{"data":[1]}', pages.collection_signature).root_path is None and one(spark, "[1,2]", pages.collection_signature).root_path == "$"
+    key = lambda args: spark.createDataFrame([("u", "forge", "list", args)], "u string, p string, t string, a string").select(text.request_identity("u", "p", "t", "a").alias("k")).first().k
+    assert key('{"b":1.0,"a":"x"}') == key('{ "a":"x", "b":1 }') != key('{"a":"x"}') and key(None) == key("{}")
+    assert json.loads(one(spark, '[{"a":"' + "x" * 40 + '"},{"a":"y"}]', canonical.representative_sample)) == {"sample_item": {"a": "[" + "x" * 30 + "](10 more chars truncated)"}, "sample_item_count": 2, "sample_item_source_index": 0, "sample_item_text_truncated": True}
+    assert one(spark, '[{"a":1},{"b":1}]', canonical.representative_sample) is None and one(spark, "[]", canonical.representative_sample) is None and one(spark, "x", canonical.representative_sample) is None
+
+
+def test_mapping(spark):
+    from tessera.operators import mapping
+
+    df = spark.createDataFrame([("a", '{"l":[1,2]}', 11, False), ("b", '{"l":[1,2,3]}', 13, False), ("c", "[{}]", 4, True), ("d", "[]", None, None), ("e", "[1]", 500, False)], "k string, t string, n int, b boolean")
+    got = {r.k: (r.map_kind, r.root_path, r.elements) for r in mapping.mapped(df, "k", "t", F.col("n"), F.col("b"), full=12, memory=100).collect()}
+    assert got == {"a": ("full", "$.l", 2), "b": ("partial", "$.l", 3), "c": ("partial", "$", 1), "d": ("failed", None, None), "e": ("failed", None, None)}
+    now = spark.createDataFrame([("a", 2, "pending"), ("b", 1, "ready"), ("c", None, "pending")], "artifact_id string, generation int, map_status string")
+    results = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("z", 1), ("c", 1)], "artifact_id string, generation int")
+    judged = mapping.judged_results(now, results)
+    assert {(r.artifact_id, r.generation): r.outcome for r in judged.collect()} == {("a", 1): "stale", ("a", 2): "accepted", ("b", 1): "settled", ("z", 1): "unknown", ("c", 1): "stale"}
+    assert {r.artifact_id: r.map_status for r in mapping.persisted(now, judged).collect()} == {"a": "ready", "b": "ready", "c": "pending"}
 
 
 def test_capture_and_append(spark, tmp_path):
