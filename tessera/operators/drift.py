@@ -403,9 +403,22 @@ def typed_table(unified: DataFrame, artifacts: DataFrame, columns: DataFrame, so
     valid = F.struct("generation", "ingested_at")
     of = artifacts.where("artifact_id is not null").groupBy("artifact_id").agg(F.max_by("source_tool", valid).alias("tool")).where(F.col("tool") == source_tool)
     rows = unified.where(F.col("root_path") == root_key).join(of.drop("tool"), "artifact_id")
-    cast = lambda r: F.try_element_at("fields", F.lit(r.path)).try_cast(r.type) if r.type == r.other and r.type != "string" else _plain_text(F.try_element_at("fields", F.lit(r.path)))
-    shown = lambda p: re.sub(r"^_+|_+$", "", re.sub(r"\W+", "_", p)) or "_"
-    return rows.select("artifact_id", "root_path", "idx", "element", *[cast(r).alias(shown(r.path)) for r in known])
+    # a field has one column whether its record is an object or an element of an array
+    fields: dict[str, list] = defaultdict(list)
+    for r in known:
+        fields[r.path.replace("$[*]", "$", 1)].append(r)
+    taken = {"artifact_id", "root_path", "idx", "element"}
+    columns = []
+    for path, same in fields.items():
+        value = F.coalesce(*[F.try_element_at("fields", F.lit(r.path)) for r in same])
+        kinds = {t for r in same for t in (r.type, r.other)}
+        name = base = re.sub(r"^_+|_+$", "", re.sub(r"\W+", "_", path)) or "_"
+        n = 2
+        while name.lower() in taken:
+            name, n = f"{base}_{n}", n + 1
+        taken.add(name.lower())
+        columns.append((value.try_cast(kinds.pop()) if len(kinds) == 1 and "string" not in kinds else _plain_text(value)).alias(name))
+    return rows.select("artifact_id", "root_path", "idx", "element", *columns)
 
 
 def _plain_text(text: Column) -> Column:

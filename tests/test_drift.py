@@ -188,10 +188,12 @@ def test_typed_table_of_a_series(spark):
     columns = {1: {"$.id": '["number"]', "$.ok": '["boolean","null"]', "$.name": '["string"]', "$.v": '["number"]', "$.o": '["object"]'}, 2: {"$.id": '["number"]', "$.ok": '["boolean"]', "$.title": '["string"]', "$.v": '["string"]', "$.o": '["object"]'}}
     f = [(f"a{i}", "$", p, t, None, None) for i, own in columns.items() for p, t in own.items()]
     artifacts, roots, fields = spark.createDataFrame(a, ARTIFACTS), spark.createDataFrame(r, ROOTS), spark.createDataFrame(f, FIELDS)
-    texts = ['{"id":1,"ok":true,"name":"n \\"q\\"","v":2.50,"o":{"k":1}}', '{"id":2,"ok":null,"title":null,"v":"2"}']
-    records = spark.createDataFrame([(f"a{i + 1}", "$", 0, x) for i, x in enumerate(texts)], "artifact_id string, root_path string, idx int, record string")
+    f += [("a2", "$", p, t, None, None) for p, t in {"$[*].id": '["number"]', "$[*].OK": '["boolean"]', "$.idx": '["number"]'}.items()]
+    fields = spark.createDataFrame(f, FIELDS)
+    texts = ['{"id":1,"ok":true,"name":"n \\"q\\"","v":2.50,"o":{"k":1}}', '{"id":2,"ok":null,"title":null,"v":"2"}', '[{"id":3,"OK":false}]']
+    records = spark.createDataFrame([(f"a{min(i, 1) + 1}", "$", i, x) for i, x in enumerate(texts)], "artifact_id string, root_path string, idx int, record string")
     names = column_names(artifacts, roots, fields)
     unified = unified_records(records, names, mixed=mixed_columns(artifacts, fields, names))
     table = typed_table(unified, artifacts, unified_columns(artifacts, fields, names), "t", "$")
-    assert dict(table.dtypes) == {"artifact_id": "string", "root_path": "string", "idx": "int", "element": "string", "id": "double", "name": "string", "o": "string", "ok": "boolean", "v": "string"}
-    assert {x.artifact_id: (x.id, x.name, x.o, x.ok, x.v) for x in table.collect()} == {"a1": (1.0, 'n "q"', '{"k":1}', True, "2.50"), "a2": (2.0, None, None, None, "2")}
+    assert dict(table.dtypes) == {"artifact_id": "string", "root_path": "string", "idx": "int", "element": "string", "id": "double", "name": "string", "o": "string", "ok": "boolean", "v": "string", "OK_2": "boolean", "idx_2": "double"}
+    assert {x.idx: (x.element, x.id, x.name, x.o, x.ok, x.v, x.OK_2) for x in table.collect()} == {0: (None, 1.0, 'n "q"', '{"k":1}', True, "2.50", None), 1: (None, 2.0, None, None, None, "2", None), 2: ("[0]", 3.0, None, None, None, None, False)}
