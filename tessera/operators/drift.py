@@ -391,18 +391,19 @@ def unified_columns(artifacts: DataFrame, fields: DataFrame, names: DataFrame) -
     return paths.select("series.*", "path", F.when(only("number"), "double").when(only("boolean"), "boolean").otherwise("string").alias("type"))
 
 
-def typed_table(unified: DataFrame, artifacts: DataFrame, columns: DataFrame, source_tool: str, root_key: str) -> DataFrame:
+def typed_table(records: DataFrame, artifacts: DataFrame, names: DataFrame, mixed: DataFrame, columns: DataFrame, source_tool: str, root_key: str) -> DataFrame:
     """The typed table of all records of a tool and root: keys, element, and one column per unified top-level field.
 
     The columns are read off the profiles (as many as the schemas are wide); a column of different types
     in different upstreams is text. Values a profile gave no notice of, in a column of another type, are null.
+    Only the records of the tool and root are unified.
     """
-    path = r"^\$(\[\*\])?(\.[A-Za-z_][A-Za-z0-9_]*|\['([^'\\\\]|\\\\.)*'\])(~[0-9]+)?$"
+    path = r"^\$(\[\*\])?(\.[A-Za-z_][A-Za-z0-9_]*|\['([^'\\]|\\.)*'\])(~[0-9]+)?$"
     own = columns.where((F.col("source_tool") == source_tool) & (F.col("root_key") == root_key) & F.col("path").rlike(path))
     known = own.groupBy("path").agg(F.min("type").alias("type"), F.max("type").alias("other")).orderBy("path").collect()
     valid = F.struct("generation", "ingested_at")
     of = artifacts.where("artifact_id is not null").groupBy("artifact_id").agg(F.max_by("source_tool", valid).alias("tool")).where(F.col("tool") == source_tool)
-    rows = unified.where(F.col("root_path") == root_key).join(of.drop("tool"), "artifact_id")
+    rows = unified_records(records.where(F.col("root_path") == root_key).join(of, "artifact_id", "left_semi"), names, mixed=mixed)
     # a field has one column whether its record is an object or an element of an array
     fields: dict[str, list] = defaultdict(list)
     for r in known:

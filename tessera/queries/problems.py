@@ -47,26 +47,27 @@ def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("change").isin("renamed", "likely"))
 
 
-def _unified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _unifying(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Unified names, mixed columns and all unified columns."""
     tables = artifacts, _, fields = [table(spark, sf_dir, n) for n in ("artifacts", "artifact_schema_roots", "artifact_schema_fields")]
     names = cut_lineage(drift.column_names(*tables))
-    return drift.unified_records(table(spark, sf_dir, "artifact_records"), names, mixed=drift.mixed_columns(artifacts, fields, names)), drift.unified_columns(artifacts, fields, names)
+    return names, drift.mixed_columns(artifacts, fields, names), drift.unified_columns(artifacts, fields, names)
 
 
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records as one table whose columns go by one name, at every depth, and have one type through all changes."""
-    return _unified(spark, sf_dir)[0]
+    names, mixed, _ = _unifying(spark, sf_dir)
+    return drift.unified_records(table(spark, sf_dir, "artifact_records"), names, mixed=mixed)
 
 
 def p2_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of every series' unified table with their types."""
-    return _unified(spark, sf_dir)[1]
+    return _unifying(spark, sf_dir)[2]
 
 
 def p2_table_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed table of one tool's records through all renames and retypings."""
-    rows, columns = _unified(spark, sf_dir)
-    return drift.typed_table(rows, table(spark, sf_dir, "artifacts"), columns, "crew.people", "$")
+    return drift.typed_table(table(spark, sf_dir, "artifact_records"), table(spark, sf_dir, "artifacts"), *_unifying(spark, sf_dir), "crew.people", "$")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

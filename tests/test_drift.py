@@ -181,7 +181,7 @@ def test_unified_records_at_every_depth(spark):
 
 
 def test_typed_table_of_a_series(spark):
-    from tessera.operators.drift import column_names, mixed_columns, typed_table, unified_columns, unified_records
+    from tessera.operators.drift import column_names, mixed_columns, typed_table, unified_columns
 
     a = [(f"a{i}", "u", "t", i, 1, D(2025, 1, 1), "x") for i in (1, 2)]
     r = [(f"a{i}", "$", "exact", "complete") for i in (1, 2)]
@@ -193,7 +193,6 @@ def test_typed_table_of_a_series(spark):
     texts = ['{"id":1,"ok":true,"name":"n \\"q\\"","v":2.50,"o":{"k":1}}', '{"id":2,"ok":null,"title":null,"v":"2"}', '[{"id":3,"OK":false}]']
     records = spark.createDataFrame([(f"a{min(i, 1) + 1}", "$", i, x) for i, x in enumerate(texts)], "artifact_id string, root_path string, idx int, record string")
     names = column_names(artifacts, roots, fields)
-    unified = unified_records(records, names, mixed=mixed_columns(artifacts, fields, names))
-    table = typed_table(unified, artifacts, unified_columns(artifacts, fields, names), "t", "$")
+    table = typed_table(records, artifacts, names, mixed_columns(artifacts, fields, names), unified_columns(artifacts, fields, names), "t", "$")
     assert dict(table.dtypes) == {"artifact_id": "string", "root_path": "string", "idx": "int", "element": "string", "id": "double", "name": "string", "o": "string", "ok": "boolean", "v": "string", "OK_2": "boolean", "idx_2": "double"}
     assert {x.idx: (x.element, x.id, x.name, x.o, x.ok, x.v, x.OK_2) for x in table.collect()} == {0: (None, 1.0, 'n "q"', '{"k":1}', True, "2.50", None), 1: (None, 2.0, None, None, None, "2", None), 2: ("[0]", 3.0, None, None, None, None, False)}
