@@ -422,24 +422,6 @@ def c27_capture_identity(spark: SparkSession, sf: str) -> DataFrame:
     return artifacts(spark, sf).select("artifact_id", F.substring_index("source_tool", ".", 1).alias("origin"), F.expr("substr(source_tool, instr(source_tool, '.') + 1)").alias("tool"), F.coalesce("capture_kind", F.lit("mcp_tool")).alias("capture_kind"))
 
 
-@R("snk2_new_payloads", "select distinct payload_hash_full from payload_blobs where ingested_at >= '2025-05-01' and payload_hash_full not in (select payload_hash_full from payload_blobs where ingested_at < '2025-05-01')")
-def snk2_new_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """What an insert-if-absent of the deliveries since May adds."""
-    rows = table(spark, sf, "payload_blobs").select("payload_hash_full", "ingested_at")
-    cut = F.lit("2025-05-01").cast("timestamp_ntz")
-    return rows.groupBy("payload_hash_full").agg(F.min("ingested_at").alias("first")).where(F.col("first") >= cut).select("payload_hash_full")
-
-
-@R("snk3_session_upsert", "select session_id, min(created_at) first_seen, max(last_referenced_at) last_seen, count(distinct artifact_id)::bigint artifacts from artifacts group by 1")
-def snk3_session_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "artifacts").groupBy("session_id").agg(F.min("created_at").alias("first_seen"), F.max("last_referenced_at").alias("last_seen"), F.countDistinct("artifact_id").alias("artifacts"))
-
-
-@R("snk6_conditional_update", V + "select artifact_id, case when map_status = 'pending' and generation = 1 then 'stale' else map_status end map_status from a")
-def snk6_conditional_update(spark: SparkSession, sf: str) -> DataFrame:
-    return artifacts(spark, sf).select("artifact_id", F.when((F.col("map_status") == "pending") & (F.col("generation") == 1), "stale").otherwise(F.col("map_status")).alias("map_status"))
-
-
 @R("d4_shared_payloads", "select payload_hash_full from (select distinct payload_hash_full from artifacts where generation = 1 and payload_hash_full is not null intersect select payload_hash_full from artifacts where generation > 1)")
 def d4_shared_payloads(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "artifacts").where("payload_hash_full is not null")

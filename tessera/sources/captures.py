@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.canonical import canonical
 from tessera.functions.variants import elements, parse_or_text, type_name
+from tessera.sources.store import Table
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -44,18 +45,11 @@ def capture(payloads: DataFrame, session_id: str, source_tool: str, text: str =
     return {"payload_blobs": blobs, "artifacts": artifacts, "artifact_records": records}
 
 
-def append_absent(spark: SparkSession, rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose key the table lacks; a repeated append changes nothing."""
-    fresh = rows.dropDuplicates(keys)
-    try:
-        there = spark.read.parquet(path).select(*keys)
-    except Exception as e:  # noqa: BLE001 - the first append makes the table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = None
-    if there is not None:
-        fresh = fresh.join(there, keys, "left_anti")
-    fresh.write.mode("append").parquet(path)
+def persist(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> None:
+    """Store new captures: payloads by content, then artifacts, then records, each only where it is not there yet."""
+    keys = {"payload_blobs": ["payload_hash_full"], "artifacts": ["artifact_id"], "artifact_records": ["artifact_id", "root_path", "idx"]}
+    for name, own in keys.items():
+        Table(spark, f"{folder}/{name}").append_absent(tables[name], own)
 
 
 def persist_derived(spark: SparkSession, items: DataFrame, folder: str, parents: list[str], kind: str, expression: str) -> str:
@@ -67,7 +61,7 @@ def persist_derived(spark: SparkSession, items: DataFrame, folder: str, parents:
     artifact = "art_" + hashlib.sha256(request.encode()).hexdigest()[:32]
     items.withColumn("artifact_id", F.lit(artifact)).write.mode("overwrite").parquet(f"{folder}/records/{artifact}")
     edges = spark.createDataFrame([(artifact, p, i) for i, p in enumerate(dict.fromkeys(parents))], "artifact_id string, parent_artifact_id string, ord int")
-    append_absent(spark, edges, f"{folder}/lineage", ["artifact_id", "parent_artifact_id"])
+    Table(spark, f"{folder}/lineage").append_absent(edges, ["artifact_id", "parent_artifact_id"])
     return artifact
 
 

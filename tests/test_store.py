@@ -10,6 +10,7 @@ from tessera.operators import code, pages, profile, results, sampling, search
 from tessera.operators.catalog import valid_rows
 from tessera.operators.lifecycle import quota_victims, reconcile, running_total
 from tessera.sources import captures
+from tessera.sources.store import Table, Taken
 
 
 def one(spark, value, f):
@@ -218,13 +219,13 @@ def test_capture_and_append(spark, tmp_path):
     tables = captures.capture(captures.read_payloads(spark, str(tmp_path / "in")), "s", "tool.x")
     assert tables["payload_blobs"].count() == 3  # equal content is stored once
     assert sorted(r.record for r in tables["artifact_records"].collect()) == ['"plain text"', '{"a":1}', '{"a":2}', '{"b":1}', '{"b":1}']
-    out = str(tmp_path / "payloads")
     for _ in range(2):
-        captures.append_absent(spark, tables["payload_blobs"], out, ["payload_hash_full"])
-    assert spark.read.parquet(out).count() == 3
+        captures.persist(spark, tables, str(tmp_path / "store"))
+    stored = {n: Table(spark, str(tmp_path / "store" / n)) for n in tables}
+    assert {n: t.read().count() for n, t in stored.items()} == {"payload_blobs": 3, "artifacts": 4, "artifact_records": 5} and len(stored["artifacts"].commits()) == 1
     a = captures.persist_derived(spark, spark.range(2).select(F.col("id").cast("string").alias("item")), str(tmp_path / "d"), ["p1", "p2", "p1"], "query", "x")
     assert a == captures.persist_derived(spark, spark.range(2).select(F.col("id").cast("string").alias("item")), str(tmp_path / "d"), ["p2", "p1"], "query", "x")
-    assert spark.read.parquet(str(tmp_path / "d" / "lineage")).count() == 2
+    assert Table(spark, str(tmp_path / "d" / "lineage")).read().count() == 2
     assert captures.read_blobs(spark, str(tmp_path / "in"), content=False).count() == 4
     (tmp_path / "one").mkdir()
     (tmp_path / "one" / "d.json").write_text('{"x":{"b":{"n":2},"a":{"n":1}}}')
@@ -232,6 +233,31 @@ def test_capture_and_append(spark, tmp_path):
     captures.write_manifest(spark.createDataFrame([("h", "a;b")], "hash string, ids string"), str(tmp_path / "m"))
 
 
+def test_store_with_two_writers(spark, tmp_path):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k string, v int")
+    first, second = Table(spark, str(tmp_path / "t")), Table(spark, str(tmp_path / "t"))
+    assert first.read("k string, v int").collect() == [] and first.append_absent(frame(("a", 1), ("a", 1), (None, 0)), ["k"]) == 0
+    # another writer commits between this one's look at the log and its own commit
+    commit, done = first._commit, []
+
+    def late(number, come, gone):
+        if not done:
+            done.append(second.append_absent(frame(("b", 2), ("c", 9)), ["k"]))
+        commit(number, come, gone)
+
+    first._commit = late
+    assert first.append_absent(frame(("b", 3), ("d", 4), (None, 5)), ["k"]) == 2 and done == [1]
+    assert {(r.k, r.v) for r in second.read().collect()} == {("a", 1), (None, 0), ("b", 2), ("c", 9), ("d", 4)}
+    assert second.append_absent(frame(("a", 7)), ["k"]) == -1 and len(second.commits()) == 3
+    # an update bound to a state of the table fails once that is gone
+    with pytest.raises(Taken):
+        second.update(F.col("v") > 3, {"v": F.lit(0)}, expected=2)
+    assert second.update(F.col("v") > 3, {"v": F.lit(0)}, expected=3) == 3
+    assert {(r.k, r.v) for r in first.read().collect()} == {("a", 1), (None, 0), ("b", 2), ("c", 0), ("d", 0)}
+    with pytest.raises(Taken):
+        second._commit(0, [], [])
+
+
 def test_streaming_pages(spark, tmp_path):
     from tessera.streaming import pages as stream
 
