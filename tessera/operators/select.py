@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import jsonpath
-from tessera.functions.variants import ordered, text_of, type_name
+from tessera.functions.variants import elements, ordered, text_of, type_name
 from tessera.operators.filters import compile_filter
 
 _ORDER = re.compile(r"^\s*(?:(?P<cast>to_number|to_string)\(\s*(?P<inner>[^()]+?)\s*\)|(?P<plain>[^()\s]+))(?:\s+(?P<dir>asc|desc))?\s*$", re.IGNORECASE)
@@ -104,3 +104,18 @@ def count(records: DataFrame, spec: Select, value: str = "v") -> DataFrame:
     """One row: the number of selected rows, or of different items."""
     rows = candidates(records, spec, value)
     return rows.agg((F.countDistinct("item") if spec.distinct else F.count(F.lit(1))).alias("n"))
+
+
+def collected(rows: DataFrame, keys: list[str], column: str, path: str) -> DataFrame:
+    """(keys, pos, item): what there is at a path of each row, the elements of a match that is alone and a list, else the matches.
+
+    ``keys`` name a row; a row's own matches are looked at together, never those of several.
+    """
+    steps = jsonpath.parse(path)
+    found = jsonpath.evaluate(rows.select(*keys, column), column, path).select(*keys, "match_pos", "match")
+    alone = F.lit(True) if None not in steps else F.count(F.lit(1)).over(Window.partitionBy(*keys)) == 1
+    found = found.withColumn("_list", F.when(alone, elements(F.col("match"))))
+    inner = found.where("_list is not null").select(*keys, F.posexplode("_list").alias("pos", "item"))
+    order = Window.partitionBy(*keys).orderBy("match_pos")
+    own = found.where("_list is null").select(*keys, (F.lit(0) if None not in steps else F.row_number().over(order) - 1).alias("pos"), F.col("match").alias("item"))
+    return inner.unionByName(own)

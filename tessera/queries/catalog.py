@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.queries import language, mapping, paging, problems, profiles, store, surface, workload, writes
+from tessera.queries import language, mapping, paging, problems, profiles, scalars, store, surface, workload, writes
 
-MODULES = (problems, language, store, profiles, mapping, paging, workload, surface, writes)
+MODULES = (problems, language, store, profiles, mapping, paging, workload, surface, writes, scalars)
 
 
 def queries() -> dict[str, Callable]:
