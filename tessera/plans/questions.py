@@ -60,9 +60,9 @@ def to_duckdb(text: str) -> str:
 
 def records_of(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
     """(v): the records of a tool's captures, repeated deliveries once."""
-    rows = table(spark, sf_dir, "artifact_records").select("artifact_id", "root_path", "idx", "record").distinct()
+    rows = table(spark, sf_dir, "artifact_records").select("artifact_id", "root_path", "idx", "record")
     own = valid_rows(table(spark, sf_dir, "artifacts").select("artifact_id", "source_tool", "generation", "ingested_at")).where(F.col("source_tool") == tool)
-    return rows.join(own.select("artifact_id"), "artifact_id", "left_semi").select(once(F.try_parse_json("record")).alias("v")).where("v is not null")
+    return rows.join(own.select("artifact_id"), "artifact_id", "left_semi").distinct().select(once(F.try_parse_json("record")).alias("v")).where("v is not null")
 
 
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

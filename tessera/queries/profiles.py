@@ -295,7 +295,7 @@ def _redacted(c: str) -> str:
 @R("s14_redact", f"with d as (select doc_id, coalesce(text, '') || {_SECRETS} t from documents) select doc_id, case when octet_length(encode(t)) <= 32768 then md5({_redacted('t')}) else md5(t) end as text_md5, case when octet_length(encode(t)) <= 32768 then 7 else 0 end::int n from d")
 def s14_redact(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets of seven kinds behind every document's whole text are all replaced; texts over the scan limit stay."""
-    rows = table(spark, sf, "documents").select("doc_id", F.expr("coalesce(text, '') || " + _SECRETS).alias("t"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.expr("coalesce(text, '') || " + _SECRETS).alias("t"))
     return rows.select("doc_id", F.md5(redaction.redact(F.col("t"))).alias("text_md5"), redaction.secrets(F.col("t")).cast("int").alias("n"))
 
 
