@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -29,23 +29,43 @@ _SHOWN = MARK.replace("[", "\\[").replace("]", "\\]")
 _COMPILED = [re.compile(kept + secret) for kept, secret in PATTERNS]
 
 
+_ANY = "|".join(f"(?i:{k[4:]}{x})" if k.startswith("(?i)") else f"{k}{x}" for k, x in PATTERNS)
+
+
+def _looks(text: Column) -> Column:
+    """Whether there is anything to replace: one search for most texts, which hold no secret."""
+    return (F.octet_length(text) <= SCAN_BYTES) & F.rlike(text, F.lit(_ANY))
+
+
 def redact(text: Column) -> Column:
     """Text with its secrets replaced, all inside the engine; text that is too long stays as it is."""
     out = text
     for kept, secret in PATTERNS:
         out = F.regexp_replace(out, kept + secret, F.lit("$1" + _SHOWN))
-    return F.when(F.octet_length(text) <= SCAN_BYTES, out).otherwise(text)
+    return F.when(_looks(text), out).otherwise(text)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _counting(kept: str, secret: str) -> Callable[[Column], Column]:
+    def step(s: Column) -> Column:
+        total = s["total"] + F.regexp_count(s["rest"], F.lit(kept + secret))
+        if "^" in secret:  # only this one also matches the mark
+            total = total - F.regexp_count(s["rest"], F.lit(kept + _SHOWN))
+        return F.struct(F.regexp_replace(s["rest"], kept + secret, F.lit("$1" + _SHOWN)).alias("rest"), total.alias("total"))
+
+    return step
 
 
 def secrets(text: Column) -> Column:
     """How many secrets the text holds; values that are redacted already do not count."""
-    total, rest = F.lit(0), text
+    state = F.struct(text.alias("rest"), F.lit(0).alias("total"))
     for kept, secret in PATTERNS:
-        total = total + F.regexp_count(rest, F.lit(kept + secret))
-        if "^" in secret:  # only this one also matches the mark
-            total = total - F.regexp_count(rest, F.lit(kept + _SHOWN))
-        rest = F.regexp_replace(rest, kept + secret, F.lit("$1" + _SHOWN))
-    return F.when(F.octet_length(text) <= SCAN_BYTES, total).otherwise(0)
+        state = _let(state, _counting(kept, secret))
+    return F.when(_looks(text), state["total"]).otherwise(0)
 
 
 def redact_string(text: str) -> str:
