@@ -33,6 +33,11 @@ def extension(c: Column) -> Column:
     return lookup(normal_mime(c), EXTENSIONS, F.lit(".bin"))
 
 
+def safe_filename(name: Column, mime: Column) -> Column:
+    """A name of letters, digits, dots, dashes and underlines, with the ending of its media type."""
+    return F.concat(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), F.coalesce(extension(mime), F.lit(".bin")))
+
+
 def path_step(name: Column) -> Column:
     """``.name`` for identifiers, ``['name']`` with escapes otherwise."""
     escaped = name

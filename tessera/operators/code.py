@@ -106,6 +106,25 @@ def targets(records: DataFrame, roots: DataFrame) -> DataFrame:
     return records.join(wanted, records["artifact_id"].eqNullSafe(F.col("_artifact")) & records["root_path"].eqNullSafe(F.col("_root")), "left_semi")
 
 
+def warnings(artifacts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(artifact_id, warning) for code over the artifacts of a session.
+
+    SAMPLED: mapped in part; NO_ROOT: no root known; OVERLAPPING_DATASETS: another artifact has the same
+    dataset; MIXED_SCHEMAS: its session has the root with several schemas. artifacts: artifact_id, map_kind, session_id.
+    """
+    own = roots.select("artifact_id", "root_path", "dataset_hash", "schema_hash").distinct()
+    again = own.where("dataset_hash is not null").groupBy("dataset_hash").agg(F.countDistinct("artifact_id").alias("n")).where("n > 1")
+    placed = own.join(artifacts.select("artifact_id", F.struct("session_id").alias("s")), "artifact_id")
+    mixed = placed.groupBy("s", "root_path").agg(F.countDistinct("schema_hash").alias("n")).where("n > 1")
+    found = [
+        (artifacts.where("map_kind = 'partial'"), "SAMPLED"),
+        (artifacts.join(own, "artifact_id", "left_anti"), "NO_ROOT"),
+        (own.join(again, "dataset_hash", "left_semi"), "OVERLAPPING_DATASETS"),
+        (placed.join(mixed, ["s", "root_path"], "left_semi"), "MIXED_SCHEMAS"),
+    ]
+    return reduce(DataFrame.unionByName, [df.select("artifact_id", F.lit(w).alias("warning")) for df, w in found]).distinct()
+
+
 def run_grouped(
     records: DataFrame,
     source: str,

@@ -19,6 +19,7 @@ from typing import Any
 from urllib.parse import parse_qsl, urlparse
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -334,3 +335,15 @@ def assessment(config: dict[str, Any] | None = None, first: bool = True):
         return pd.DataFrame(rows, columns=ASSESSMENT.names)
 
     return run
+
+
+@F.pandas_udf(StringType())
+def merged_arguments(args: pd.Series, params: pd.Series) -> pd.Series:
+    """The arguments of the request for the next page: the request's own with the changed ones, as JSON text; null without any."""
+    return pd.Series([None if p is None else json.dumps(_json(a) | _json(p), sort_keys=True, ensure_ascii=False, separators=(",", ":")) for a, p in zip(args, params)], dtype=object)
+
+
+def next_requests(pages: DataFrame, assessment: Column, args: str, artifact: str = "artifact_id", chain_seq: str = "chain_seq") -> DataFrame:
+    """(parent_artifact_id, chain_seq, args): what to ask for after each page that is not the last of its chain."""
+    rows = pages.withColumn("_a", assessment).where("_a.params is not null")
+    return rows.select(F.col(artifact).alias("parent_artifact_id"), (F.coalesce(F.col(chain_seq), F.lit(0)) + 1).alias("chain_seq"), merged_arguments(F.col(args), F.col("_a.params")).alias("args"))

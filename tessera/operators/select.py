@@ -84,7 +84,9 @@ def select(records: DataFrame, spec: Select, position: list[str], value: str = "
     if spec.offset or spec.limit is not None or spec.max_bytes is not None:
         rows = rows.orderBy(*order)
         rows = rows.offset(spec.offset) if spec.offset else rows
-        rows = rows.limit(spec.limit) if spec.limit is not None else rows
+        # no item is shorter than {}, so a budget alone bounds the rows too
+        most = min(n for n in (spec.limit, spec.max_bytes // 2 + 1 if spec.max_bytes is not None else None) if n is not None) if spec.limit is not None or spec.max_bytes is not None else None
+        rows = rows.limit(most) if most is not None else rows
     if spec.max_bytes is not None:
         rows = byte_budget(rows, order, spec.max_bytes)
     return rows.select(*position, "item")
@@ -93,7 +95,7 @@ def select(records: DataFrame, spec: Select, position: list[str], value: str = "
 def byte_budget(rows: DataFrame, order: list[Column], max_bytes: int, item: str = "item") -> DataFrame:
     """The longest prefix of the ordered rows that fits ``max_bytes``; the first row always does.
 
-    Meant for a page of results (after a limit): it orders its rows in one task.
+    Its rows are those of a page (``select`` limits them first): it orders them in one task.
     """
     so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = rows.withColumn("_bytes", F.sum(F.octet_length(item)).over(so_far)).withColumn("_n", F.row_number().over(Window.orderBy(*order)))

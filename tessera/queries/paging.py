@@ -189,6 +189,19 @@ def g1_assess(spark: SparkSession, sf: str) -> DataFrame:
     return _texts(spark, sf).withColumn("a", nextpage.assessment()("page", args, _none())).select("o_orderkey", "a.state", "a.reason", "a.strategy", "a.params")
 
 
+@R(
+    "g13_next_requests",
+    """select 'o' || o_orderkey parent_artifact_id, (case when o_orderkey % 3 = 0 then 0 else o_orderkey % 7 end + 1)::bigint chain_seq,
+    case o_orderkey % 5 when 0 then json_object('limit', 3, 'next_cursor', 'c' || o_orderkey, 'offset', o_orderkey) when 2 then json_object('after', 'k' || o_orderkey, 'limit', 2, 'offset', o_orderkey) else json_object('limit', 3, 'offset', o_orderkey + 3) end::varchar args
+    from orders where o_orderkey % 5 not in (1, 3)""",
+)
+def g13_next_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests that continue every chain of pages: merged arguments, the next place, the page before as parent."""
+    key = F.col("o_orderkey").cast("string")
+    rows = _texts(spark, sf).select("page", F.concat(F.lit('{"limit":3,"offset":'), key, F.lit("}")).alias("args"), F.concat(F.lit("o"), key).alias("artifact_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 7).cast("bigint").alias("chain_seq"))
+    return nextpage.next_requests(rows, nextpage.assessment()("page", "args", _none()), "args")
+
+
 @R("g12_truth", "select o_orderkey, o_orderkey % 5 = 0 more from orders")
 def g12_truth(spark: SparkSession, sf: str) -> DataFrame:
     return _pages(spark, sf).select("o_orderkey", pages.is_true(at(F.col("v"), "$.has_more")).alias("more"))

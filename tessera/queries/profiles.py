@@ -112,7 +112,7 @@ def m5_streamed_roots(spark: SparkSession, sf: str) -> DataFrame:
     return roots.where("root_path = '$.content'").select("payload_hash_full", "root_path", "elements", "closed", "stop_reason")
 
 
-@R("m12_collapsed")
+@R("m12_collapsed", ENVELOPES.replace("with e as", "with recursive e as") + ", n as (select payload_hash_full k, j v, 0 d from e union all select k, x.value, d + 1 from n, json_each(case when json_type(v) = 'OBJECT' and d < 5 then v else '{}'::json end) x) select k payload_hash_full, sum(json_array_length(v))::bigint elements, 0::bigint oversize, true complete from n where json_type(v) = 'ARRAY' group by 1")
 def m12_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     """The roots of every payload laid end to end."""
     from tessera.operators.partial import collapsed, map_payloads
@@ -211,6 +211,13 @@ def src12_mime(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "binary_blobs").select("mime", text.normal_mime(m).alias("normal"), text.is_json_mime(m).alias("is_json"), text.extension(m).alias("ending")).distinct()
 
 
+@R("s38_file_names", "select distinct blob_id, mime, regexp_replace(coalesce(mime, '') || ' ' || blob_id, '[^A-Za-z0-9._-]+', '_', 'g') || case lower(trim(split_part(mime, ';', 1))) when 'image/jpg' then '.jpg' when 'image/jpeg' then '.jpg' when 'image/png' then '.png' when 'application/pdf' then '.pdf' when 'text/csv' then '.csv' when 'application/json' then '.json' else '.bin' end as name from binary_blobs")
+def s38_file_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that any file system takes, with the ending of the media type."""
+    title = F.concat(F.coalesce("mime", F.lit("")), F.lit(" "), F.col("blob_id"))
+    return table(spark, sf, "binary_blobs").select("blob_id", "mime", text.safe_filename(title, F.col("mime")).alias("name")).distinct()
+
+
 @R("src19_artifact_refs", "select doc_id, regexp_extract(text, '(art_[0-9a-f]{8})', 1) ref from documents where regexp_matches(text, 'art_[0-9a-f]{8}')")
 def src19_artifact_refs(spark: SparkSession, sf: str) -> DataFrame:
     """The first artifact a text names."""

@@ -49,6 +49,21 @@ def x10_sampled_warning(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.where("map_kind <> 'full'").select("artifact_id", F.when(F.col("map_kind") == "partial", "SAMPLED").when(F.col("map_kind") == "none", "NO_ROOT").alias("warning"))
 
 
+@R(
+    "x10_warnings",
+    """with a as (select artifact_id, arg_max(map_kind, (generation, ingested_at)) map_kind, arg_max(session_id, (generation, ingested_at)) session_id from artifacts group by 1),
+    r as (select distinct artifact_id, root_path, dataset_hash, schema_hash from artifact_schema_roots),
+    o as (select dataset_hash from r where dataset_hash is not null group by 1 having count(distinct artifact_id) > 1),
+    m as (select session_id, root_path from r join a using (artifact_id) group by 1, 2 having count(distinct schema_hash) > 1)
+    select artifact_id, 'SAMPLED' warning from a where map_kind = 'partial' union select artifact_id, 'NO_ROOT' from a where artifact_id not in (select artifact_id from r)
+    union select artifact_id, 'OVERLAPPING_DATASETS' from r join o using (dataset_hash) union select artifact_id, 'MIXED_SCHEMAS' from r join a using (artifact_id) join m on m.root_path = r.root_path and m.session_id is not distinct from a.session_id""",
+)
+def x10_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """What callers of code over a session's artifacts are warned of: samples, missing roots, equal datasets, schemas that differ."""
+    now = table(spark, sf, "artifacts").groupBy("artifact_id").agg(*[F.max_by(c, F.struct("generation", "ingested_at")).alias(c) for c in ("map_kind", "session_id")])
+    return code.warnings(now, table(spark, sf, "artifact_schema_roots"))
+
+
 @R("a18_histogram", "select event_type, count(*)::bigint n, round(min(value), 4) least, round(max(value), 4) most, round(sum(value), 2) total, round(avg(value), 4) mean from events group by 1")
 def a18_histogram(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("value")

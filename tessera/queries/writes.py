@@ -57,8 +57,8 @@ def snk8_prepared_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Payloads written in two ways, stored by the hash of their canonical form: one each, intact when read back."""
     store, rows = _store(spark, "payloads"), table(spark, sf, "documents").where("source is not null")
     texts = rows.select(F.explode(F.array(F.concat(F.lit('{"b":1.0,"a":"'), F.col("source"), F.lit('"}')), F.concat(F.lit('{ "a" : "'), F.col("source"), F.lit('", "b" : 1 }')))).alias("t"))
-    store.append_absent(prepared(texts, "t").select("payload_hash_full", "canonical", "payload_json_bytes"), ["payload_hash_full"])
-    return verified(store.read("payload_hash_full string, canonical string, payload_json_bytes int")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and("intact"), F.lit(True)).alias("intact"))
+    store.append_absent(prepared(texts, "t").select("payload_hash_full", "stored", "payload_json_bytes"), ["payload_hash_full"])
+    return verified(store.read("payload_hash_full string, stored binary, payload_json_bytes int")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and("intact"), F.lit(True)).alias("intact"))
 
 
 QUERIES, ORACLE = R.queries, R.sql

@@ -11,13 +11,16 @@ other; an empty write commits nothing; a table without commits reads as empty wi
 
 from __future__ import annotations
 
+import gzip
 import json
 import uuid
+import zlib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 from tessera.functions.canonical import canonical
 
@@ -120,12 +123,33 @@ class Table:
                     raise
 
 
-def prepared(payloads: DataFrame, text: str) -> DataFrame:
-    """Payloads in canonical form with their hash and size; those that are no JSON keep their text."""
+@F.pandas_udf(BinaryType())
+def packed(texts: pd.Series) -> pd.Series:
+    """Text as gzip bytes, the same for the same text."""
+    return texts.map(lambda t: gzip.compress(t.encode(), mtime=0), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def unpacked(data: pd.Series) -> pd.Series:
+    """The text of gzip bytes; null if they are damaged."""
+
+    def one(b: bytes) -> str | None:
+        try:
+            return gzip.decompress(b).decode()
+        except (OSError, EOFError, zlib.error, UnicodeDecodeError):
+            return None
+
+    return data.map(one, na_action="ignore").astype(object)
+
+
+def prepared(payloads: DataFrame, text: str, compression: str = "gzip") -> DataFrame:
+    """Payloads in canonical form with their hash, size and stored bytes (gzip or none); those that are no JSON keep their text."""
     canon = F.coalesce(canonical(F.col(text)), F.col(text))
-    return payloads.withColumn("canonical", canon).withColumn("payload_hash_full", F.sha2("canonical", 256)).withColumn("payload_json_bytes", F.octet_length("canonical"))
+    rows = payloads.withColumn("canonical", canon).withColumn("payload_hash_full", F.sha2("canonical", 256)).withColumn("payload_json_bytes", F.octet_length("canonical"))
+    return rows.withColumn("stored", packed(F.col("canonical")) if compression == "gzip" else F.col("canonical").cast("binary"))
 
 
-def verified(stored: DataFrame) -> DataFrame:
-    """Stored payloads with whether their content still has their hash."""
-    return stored.withColumn("intact", F.sha2("canonical", 256) == F.col("payload_hash_full"))
+def verified(stored: DataFrame, compression: str = "gzip") -> DataFrame:
+    """Stored payloads read back: ``envelope`` and whether it still has its hash."""
+    text = unpacked(F.col("stored")) if compression == "gzip" else F.col("stored").cast("string")
+    return stored.withColumn("envelope", text).withColumn("intact", F.coalesce(F.sha2("envelope", 256) == F.col("payload_hash_full"), F.lit(False)))

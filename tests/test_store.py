@@ -10,7 +10,7 @@ from tessera.operators import code, pages, profile, results, sampling, search
 from tessera.operators.catalog import valid_rows
 from tessera.operators.lifecycle import quota_victims, reconcile, running_total
 from tessera.sources import captures
-from tessera.sources.store import Table, Taken
+from tessera.sources.store import Table, Taken, prepared, verified
 
 
 def one(spark, value, f):
@@ -258,6 +258,14 @@ def test_store_with_two_writers(spark, tmp_path):
         second._commit(0, [], [])
 
 
+def test_stored_bytes(spark):
+    rows = prepared(spark.createDataFrame([('{"b":1.0, "a":2}',), ("no json",), ("",)], "t string"), "t")
+    assert {(r.envelope, r.intact) for r in verified(rows).collect()} == {('{"a":2,"b":1}', True), ("no json", True), ("", True)}
+    spoiled = rows.withColumn("stored", F.concat(F.col("stored"), F.lit("x").cast("binary")))
+    assert not any(r.intact for r in verified(spoiled).collect()) and all(r.intact for r in verified(prepared(rows.select("t"), "t", "none"), "none").collect())
+    assert rows.where("t = 'no json'").first().stored == rows.where("t = 'no json'").first().stored
+
+
 def test_streaming_pages(spark, tmp_path):
     from tessera.streaming import pages as stream
 
