@@ -116,6 +116,12 @@ def with_locator(record: Column, artifact: Column, root: Column, index: Column)
     return F.when(F.startswith(body, F.lit("{")), F.concat(F.lit('{"_locator":'), place, F.when(F.startswith(inner, F.lit("}")), F.lit("")).otherwise(","), inner)).otherwise(F.concat(F.lit('{"_locator":'), place, F.lit(',"value":'), body, F.lit("}")))
 
 
+def artifact_ref(value: Column) -> Column:
+    """struct(artifact_id, path) of a reference ``art_<32 hex digits>`` with an optional ``:$path``; null for other text."""
+    pattern = r"^(art_[0-9a-f]{32})(?::(\$.*))?$"
+    return F.when(F.rlike(value, F.lit(pattern)), F.struct(F.regexp_extract(value, pattern, 1).alias("artifact_id"), F.nullif(F.regexp_extract(value, pattern, 2), F.lit("")).alias("path")))
+
+
 def without_reserved(args: Column, reserved: str = "_gateway_") -> Column:
     """A map of arguments without those whose names begin with ``reserved``."""
     return F.map_filter(args, lambda k, v: ~F.startswith(k, F.lit(reserved)))

@@ -224,11 +224,18 @@ def src19_artifact_refs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(F.rlike("text", F.lit("art_[0-9a-f]{8}"))).select("doc_id", F.regexp_extract("text", "(art_[0-9a-f]{8})", 1).alias("ref"))
 
 
-@R("src18_resolve_refs", "select distinct doc_id, payload_hash_full from documents join artifacts using (artifact_id) where regexp_full_match(artifact_id, 'art_[0-9a-f]{32}')")
+@R(
+    "src18_resolve_refs",
+    """with a as (select artifact_id, payload_hash_full from (select *, row_number() over (partition by artifact_id order by generation desc, ingested_at desc) n from artifacts) where n = 1),
+    e as (select payload_hash_full, arg_min(envelope, (ingested_at, envelope))::json j from payload_blobs where json_valid(envelope) and json_type(envelope, '$.content') = 'ARRAY' group by 1)
+    select doc_id, artifact_id, case when doc_id % 2 = 0 then '$.tool' end path, case when doc_id % 2 = 0 then j->>'$.tool' end as value from documents join a using (artifact_id) join e using (payload_hash_full) where regexp_full_match(artifact_id, 'art_[0-9a-f]{32}')""",
+)
 def src18_resolve_refs(spark: SparkSession, sf: str) -> DataFrame:
-    """What the artifacts that documents refer to hold."""
-    refs = table(spark, sf, "documents").select("doc_id", F.regexp_extract("artifact_id", "^(art_[0-9a-f]{32})(?::(\\$.*))?$", 1).alias("artifact_id")).where("artifact_id <> ''")
-    return refs.join(table(spark, sf, "artifacts").select("artifact_id", "payload_hash_full"), "artifact_id").select("doc_id", "payload_hash_full").distinct()
+    """References to artifacts, half of them with a path, and the values they lead to (SRC19)."""
+    refs = table(spark, sf, "documents").select("doc_id", text.artifact_ref(F.concat("artifact_id", F.when(F.col("doc_id") % 2 == 0, ":$.tool").otherwise(""))).alias("ref")).where("ref is not null")
+    now = table(spark, sf, "artifacts").groupBy("artifact_id").agg(F.max_by("payload_hash_full", F.struct("generation", "ingested_at")).alias("payload_hash_full"))
+    held = refs.select("doc_id", "ref.artifact_id", "ref.path").join(now, "artifact_id").join(envelopes(spark, sf), "payload_hash_full")
+    return held.select("doc_id", "artifact_id", "path", F.expr("get_json_object(to_json(v), path)").alias("value"))
 
 
 @R("snk9_payload_sizes", "select payload_hash_full, payload_json_bytes + payload_binary_bytes_total total, payload_json_bytes + payload_binary_bytes_total = payload_total_bytes adds_up from payload_blobs")

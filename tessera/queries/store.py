@@ -441,4 +441,48 @@ def w5_created_seq(spark: SparkSession, sf: str) -> DataFrame:
     return numbered(first, [], ["created_at", "artifact_id"], "seq").select("artifact_id", F.col("seq").cast("bigint").alias("seq"))
 
 
+@R(
+    "c6_describe",
+    V
+    + """, r as (select artifact_id, root_key, max(root_path) root_path, max(observed_records) records from artifact_schema_roots group by 1, 2), f as (select artifact_id, root_key, count(distinct field_path) n from artifact_schema_fields group by 1, 2),
+    x as (select artifact_id, string_agg(root_path || ':' || case when root_path <> '$' or records > 1 then 'array' else 'object' end || ':' || coalesce(n, 0), ',' order by root_path) roots from r left join f using (artifact_id, root_key) group by 1),
+    s as (select session_id, count(*)::bigint session_artifacts, count(case when map_status = 'ready' then 1 end)::bigint session_ready from a where deleted_at is null group by 1)
+    select artifact_id, map_kind, map_status, roots, session_artifacts, session_ready from a left join x using (artifact_id) join s on s.session_id is not distinct from a.session_id where deleted_at is null""",
+)
+def c6_describe(spark: SparkSession, sf: str) -> DataFrame:
+    """Every visible artifact with its roots, their shapes and fields, and the state of its session."""
+    d = catalog.described(artifacts(spark, sf), table(spark, sf, "artifact_schema_roots"), table(spark, sf, "artifact_schema_fields"))
+    shown = F.array_join(F.transform("roots", lambda r: F.concat_ws(":", r["root_path"], r["shape"], r["fields"].cast("string"))), ",")
+    return d.select("artifact_id", "map_kind", "map_status", shown.alias("roots"), "session_artifacts", "session_ready")
+
+
+@R("c11_schema_groups", V + ", o as (select distinct artifact_id, root_path, schema_hash, session_id from artifact_schema_roots join a using (artifact_id) where deleted_at is null), g as (select session_id, root_path, schema_hash, count(*)::bigint artifacts, min(artifact_id) first, max(artifact_id) last from o group by 1, 2, 3) select * from g where (session_id, root_path) in (select (session_id, root_path) from g group by session_id, root_path having count(*) > 1)")
+def c11_schema_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a session has a root with several schemas: the artifacts of each."""
+    return catalog.schema_groups(artifacts(spark, sf), table(spark, sf, "artifact_schema_roots"))
+
+
+_ROOTS = ", r as (select artifact_id, list_sort(list(distinct root_path)) p from artifact_schema_roots group by 1), q as (select artifact_id, coalesce(p, []) p from a left join r using (artifact_id)) "
+
+
+@R("c10_resolved_root", V + _ROOTS + "select artifact_id, case len(p) when 0 then 'missing' when 1 then 'ok' else 'ambiguous' end status, case when len(p) = 1 then p[1] end root_path, case when len(p) <> 1 then array_to_string(p, ',') end suggestions from q")
+def c10_resolved_root(spark: SparkSession, sf: str) -> DataFrame:
+    """The one root of each artifact, or what a caller may choose from."""
+    return catalog.resolved_root(artifacts(spark, sf), table(spark, sf, "artifact_schema_roots"), None)
+
+
+@R("c10_asked_root", V + _ROOTS + "select artifact_id, case when list_contains(p, '$.docs') then 'ok' else 'missing' end status, case when list_contains(p, '$.docs') then '$.docs' end root_path, case when not list_contains(p, '$.docs') then array_to_string(p, ',') end suggestions from q")
+def c10_asked_root(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for a root that was asked for."""
+    return catalog.resolved_root(artifacts(spark, sf), table(spark, sf, "artifact_schema_roots"), "$.docs")
+
+
+@R("c17_blobs_of_session", _LINKS + ", w as (select session_id, binary_hash, max(byte_count) byte_count from l join a using (artifact_id) group by 1, 2), p as (select *, row_number() over (partition by session_id order by byte_count desc nulls last, binary_hash)::bigint place, count(*) over (partition by session_id) > 5 truncated from w) select * from p where place <= 5")
+def c17_blobs_of_session(spark: SparkSession, sf: str) -> DataFrame:
+    """The five largest blobs of every session, and whether it has more."""
+    links = _links(spark, sf).join(artifacts(spark, sf).select("artifact_id", "session_id"), "artifact_id")
+    found = catalog.blobs_in_scope(links, ["session_id"], 5)
+    return found.select("session_id", "binary_hash", "byte_count", F.col("place").cast("bigint").alias("place"), "truncated")
+
+
 QUERIES, ORACLE = R.queries, R.sql

@@ -258,6 +258,37 @@ def test_store_with_two_writers(spark, tmp_path):
         second._commit(0, [], [])
 
 
+def test_draws_in_blocks(spark):
+    a, b = sampling.Generator(b"seed"), sampling.Generator(b"seed")
+    for _ in range(1000):
+        a.random()
+    b.skip(1000)
+    assert a.state == b.state
+    rows = [("r" if i % 5 else None, i, 10 if i % 7 else 10**6, sampling.seed_of("p", str(i % 5 > 0), "f").hex()) for i in range(300)]
+    df = spark.createDataFrame(rows, "root string, idx int, size int, seed string")
+    expected = set()
+    for root in ("r", None):
+        own = [(i, seed) for r, i, n, seed in rows if r == root and n <= 100]
+        g = sampling.Generator(bytes.fromhex(own[0][1]))
+        expected |= {(root, i) for _, i in sorted((g.random(), i) for i, _ in own)[:20]}
+    for block in (7, 1000):
+        got = sampling.reservoir(df, ["root"], "idx", "size", "seed", max_bytes=100, max_records=20, block=block).collect()
+        assert len(got) == 40 and {(r.root, r.idx) for r in got} == expected, block
+
+
+def test_roots_and_references(spark):
+    from tessera.operators import catalog
+
+    a = spark.createDataFrame([("a",), ("b",), ("c",)], "artifact_id string")
+    roots = spark.createDataFrame([("a", "$"), ("b", "$.x"), ("b", "$.y"), ("b", "$.x")], "artifact_id string, root_path string")
+    tell = lambda asked: {r.artifact_id: (r.status, r.root_path, r.suggestions) for r in catalog.resolved_root(a, roots, asked).collect()}
+    assert tell(None) == {"a": ("ok", "$", None), "b": ("ambiguous", None, "$.x,$.y"), "c": ("missing", None, "")}
+    assert tell("$.x") == {"a": ("missing", None, "$"), "b": ("ok", "$.x", None), "c": ("missing", None, "")}
+    ref = lambda v: (r := one(spark, v, text.artifact_ref)) and tuple(r)
+    name = "art_" + "0f" * 16
+    assert ref(name) == (name, None) and ref(f"{name}:$.a[0]") == (name, "$.a[0]") and ref(name + ":a") is None and ref("art_x") is None and ref(None) is None
+
+
 def test_stored_bytes(spark):
     rows = prepared(spark.createDataFrame([('{"b":1.0, "a":2}',), ("no json",), ("",)], "t string"), "t")
     assert {(r.envelope, r.intact) for r in verified(rows).collect()} == {('{"a":2,"b":1}', True), ("no json", True), ("", True)}
