@@ -74,9 +74,6 @@ def c1_bm25_or(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("artifact_id", F.round("score", 6).alias("score"))
 
 
-_NOT = "greatest(ln((n - {d} + 0.5) / ({d} + 0.5)), 1e-6) * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * dl / avgdl))"
-
-
 @R(
     "c1_phrases",
     V
@@ -85,7 +82,7 @@ _NOT = "greatest(ln((n - {d} + 0.5) / ({d} + 0.5)), 1e-6) * {f} * 2.2 / ({f} + 1
     c as (select artifact_id, list_sum(list_transform(w, lambda x: len(x))) dl, len(list_filter(range(1, len(w[1])), lambda i: w[1][i] = 'forge' and w[1][i + 1] = 'list')) f0, len(list_filter(flatten(w), lambda x: x = 'derived')) f1, len(list_filter(w[1], lambda x: starts_with(x, 'med'))) f2 from w),
     s as (select count(*) n, avg(dl) avgdl, sum((f0 > 0)::int) d0, sum((f2 > 0)::int) d2 from c)
     """
-    + "select artifact_id, round(-(" + _NOT.format(d="d0", f="f0") + " + " + _NOT.format(d="d2", f="f2") + "), 6) score from c, s where (f0 > 0 and f1 = 0) or f2 > 0",
+    + "select artifact_id, round(-(" + _PART.format(d="d0", f="f0") + " + " + _PART.format(d="d2", f="f2") + "), 6) score from c, s where (f0 > 0 and f1 = 0) or f2 > 0",
 )
 def c1_phrases(spark: SparkSession, sf: str) -> DataFrame:
     """Phrases, columns, exclusions and alternatives."""
