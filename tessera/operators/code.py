@@ -185,7 +185,8 @@ def run_rows(records: DataFrame, source: str, params: dict | None = None, record
         call = compiled(source)
         for frame in frames:
             items = rows_of(call([json.loads(x) for x in frame[record] if x is not None], None, params or {}))
-            yield pd.DataFrame({"item": [json.dumps(x, sort_keys=True, default=str) for x in items]})
+            # typed, as a batch without items would be a column of floats
+            yield pd.DataFrame({"item": pd.Series([json.dumps(x, sort_keys=True, default=str) for x in items], dtype=object)})
 
     return records.select(record).mapInPandas(batches, "item string")
 

@@ -167,6 +167,19 @@ def test_code_over_several_artifacts(spark):
     assert {r.s: r.item for r in code.run_grouped(code.targets(df, roots), source, ["s"]).collect()} == {"s": '{"a": [1], "b": [2]}'}
 
 
+def test_code_by_batches(spark):
+    source = "def run(data, schema, params):\n    return [x for x in data if x > 1]"
+    items = lambda rows: [r.item for r in code.run_rows(spark.createDataFrame(rows, "record string").coalesce(1), source).collect()]
+    size, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 2, 10_000):  # batches in the beginning, middle and end, or all of them, give no items
+            spark.conf.set(size, n)
+            assert items([(x,) for x in ("1", "1", "2", None, "1", "1", "3", "0")]) == ["2", "3"]
+            assert items([("1",), (None,), ("0",)]) == items([]) == []
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_numbered_over_hot_series(spark):
     from tessera.operators.series import numbered
 
